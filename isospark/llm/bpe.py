@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ from .common import as_bytes, table
 SPACE_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 SPACES = "".join(f"{chr(a)}-{chr(b)}" for a, b in SPACE_RANGES)
 #: Pre-tokens that a Python worker keeps before it starts afresh (between batches).
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 400_000
+#: Characters of texts that are encoded together, at least one text; this bounds a worker's memory.
+TOGETHER = 2_000_000
 
 
 class RankQueue:
@@ -96,7 +99,7 @@ NEAR = 0x180
 
 
 def near_pattern(pattern: str) -> str | None:
-    """The pattern for texts of characters below NEAR, its classes spelt out; None where it has others than \s, \S, \p{L}, \p{N}."""
+    r"""The pattern for texts of characters below NEAR, its classes spelt out; None where it has others than \s, \S, \p{L}, \p{N}."""
     out, inside = [], False
     for token in re.findall(r"\\p\{\w+\}|\\.|.", pattern, re.S):
         if token in ("[", "]"):
@@ -115,7 +118,7 @@ def near_pattern(pattern: str) -> str | None:
 
 
 def splitter(pattern: str):
-    """A function that lists a text's matches; \s and \S mean Unicode White_Space."""
+    r"""A function that lists a text's matches; \s and \S mean Unicode White_Space."""
     spelt = pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")
     anywhere, near = regex.compile(spelt).findall, near_pattern(pattern)
     if near is None:
@@ -228,8 +231,6 @@ class Encoder(dict):
 
     def encode_batch(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
         """The ids of each text, in two passes: number the pre-tokens, then look their tokens up."""
-        if len(self) >= CACHE_ENTRIES:
-            self.forget()
         numbered = [array("i", map(self.__getitem__, self.split(text))) for text in texts]
         if self.fresh:
             self.learn()
@@ -240,6 +241,19 @@ class Encoder(dict):
             shift = np.cumsum(sizes) - sizes
             yield self.flat[np.repeat(starts - shift, sizes) + np.arange(int(sizes.sum()))]
 
+    def encode_all(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, some texts at a time."""
+        batch, size = [], 0
+        for text in texts:
+            batch.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield from self.encode_batch(batch)
+                batch, size = [], 0
+                if len(self) >= CACHE_ENTRIES:
+                    self.forget()
+        yield from self.encode_batch(batch)
+
     def encode(self, text: str) -> list[int]:
         return next(self.encode_batch([text])).tolist()
 
@@ -280,9 +294,12 @@ class Codec:
         def bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = worker_encoder(ranks, pattern)
             for batch in batches:
-                ids = list(encoder.encode_batch(raw.decode() if raw else "" for raw in as_bytes(batch)))
-                ends = np.cumsum([0, *map(len, ids)])
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+                packed, ends = bytearray(), [0]
+                for ids in encoder.encode_all(raw.decode() if raw else "" for raw in as_bytes(batch)):
+                    packed += ids.tobytes()
+                    ends.append(len(packed) // 4)
+                values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(packed)])
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
         return bpe_encode.asNondeterministic()(text)
 
@@ -294,10 +311,14 @@ class Codec:
             tokens = {i: t for t, i in ranks.value.items()}
             known = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 2)]  # the last is of ids outside
             for batch in batches:
-                ends, values = batch.offsets.to_numpy(), batch.values.fill_null(-1).to_numpy()
-                values = np.where((values < 0) | (values >= len(known)), len(known) - 1, values)
-                valid = batch.is_valid().to_pylist()
-                yield pa.array([b"".join(map(known.__getitem__, values[ends[k] : ends[k + 1]].tolist())) if ok else None for k, ok in enumerate(valid)], pa.binary())
+                decoded = []
+                for k in range(0, len(batch), 256):
+                    part = batch.slice(k, 256)
+                    ids = part.flatten().fill_null(-1).to_numpy()
+                    ids = np.where((ids < 0) | (ids >= len(known)), len(known) - 1, ids)
+                    ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(part).to_pylist())])
+                    decoded += [b"".join(map(known.__getitem__, ids[a:b].tolist())) if ok else None for a, b, ok in zip(ends, ends[1:], part.is_valid().to_pylist())]
+                yield pa.array(decoded, pa.binary())
 
         return bpe_decode.asNondeterministic()(ids)
 

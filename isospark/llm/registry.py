@@ -1,8 +1,8 @@
 """All queries of the training-data operators, and their SQL where it can express them."""
 
-from . import bpe
+from . import bpe, decontam, licenses, pii, simhash, urls
 
-MODULES = (bpe,)
+MODULES = (bpe, simhash, licenses, pii, decontam, urls)
 
 
 def queries() -> dict:
