@@ -199,11 +199,11 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE = {
     "op9_decontamination": rf"""
-with bw as (select item_id, coalesce(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), x -> x <> ''), []) w from benchmark),
-win as (select item_id, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), i -> array_to_string(w[i:i + 12], ' '))) p, least(len(w), 13) k from bw where len(w) > 0),
-dw as (select row_number() over () r, doc_id, coalesce(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), x -> x <> ''), []) w from documents),
+with bw as (select item_id, coalesce(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), lambda x: x <> ''), []) w from benchmark),
+win as (select item_id, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda i: array_to_string(w[i:i + 12], ' '))) p, least(len(w), 13) k from bw where len(w) > 0),
+dw as (select row_number() over () r, doc_id, coalesce(list_filter(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}'), lambda x: x <> ''), []) w from documents),
 ks as (select distinct k from win),
-grams as (select r, k, unnest(range(1, len(w) - k + 2)) s, unnest(list_transform(range(1, len(w) - k + 2), i -> array_to_string(w[i:i + k - 1], ' '))) p from dw, ks where len(w) >= k),
+grams as (select r, k, unnest(range(1, len(w) - k + 2)) s, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) p from dw, ks where len(w) >= k),
 hits as (select distinct g.r, g.s, g.k, win.item_id from grams g join win on g.p = win.p and g.k = win.k),
 n_hit as (select r, count(distinct i) n from (select r, unnest(range(s, s + k)) i from hits) group by r),
 n_items as (select r, count(*) n, string_agg(i, ',' order by i) l from (select distinct r, cast(item_id as varchar) i from hits) group by r)

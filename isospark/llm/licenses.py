@@ -100,14 +100,14 @@ def _oracle() -> str:
     values = ", ".join(f"({t}, '{x}', {b}, {n}, {g}, {k}, '{w1}', '{w2}')" for t, x, b, n, g, k, w1, w2 in template_grams())
     return rf"""
 with grams(template, label, base, size, n_grams, place, t1, t2) as (values {values}),
-texts as (select row_number() over () r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') w from documents),
+texts as (select row_number() over () r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') w from documents),
 rolling as (select r, unnest(range(0, len(w) - 1)) d, unnest(w[:-2]) w1, unnest(w[2:]) w2 from texts where len(w) > 1),
 lines as (select r, template, label, base, n_grams, d - place diagonal, list(distinct place) places from rolling join grams on w1 = t1 and w2 = t2 group by all),
 marked as (select *, case when base or coalesce(diagonal - lag(diagonal) over (partition by r, template order by diagonal) > {GAP}, true) then 1 else 0 end apart from lines),
 clustered as (select *, sum(apart) over (partition by r, template order by diagonal) c from marked),
-merged as (select r, template, label, base, c, min(diagonal) at, len(list_distinct(flatten(list(places)))) / any_value(n_grams) coverage from clustered group by all),
+merged as (select r, template, label, base, c, min(diagonal) begins, len(list_distinct(flatten(list(places)))) / any_value(n_grams) coverage from clustered group by all),
 spans as (select * from merged where coverage >= case when base then 1 else {ACCEPT}e0 end),
-found as (select r, count(*) filter (base) n_base, min(at) filter (base) first_word, max(at) filter (base) last_word,
+found as (select r, count(*) filter (base) n_base, min(begins) filter (base) first_word, max(begins) filter (base) last_word,
   string_agg(distinct label, ',' order by label) filter (base) base_labels, string_agg(distinct label, ',' order by label) labels, max(coverage) score from spans group by r)
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_base, 0) as bigint) n_base, cast(first_word as bigint) first_word, cast(last_word as bigint) last_word,
   coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, cast(coalesce(score, 0) as double) score from texts left join found using (r)"""

@@ -64,15 +64,15 @@ def simhash(text: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-@F.arrow_udf("bigint")
-def _simhash_udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for batch in batches:
-        yield pa.array(np.fromiter((simhash(raw) if raw else 0 for raw in as_bytes(batch)), np.uint64, len(batch)).view(np.int64))
-
-
 def fingerprint(text: Column) -> Column:
     """The fingerprint as a signed long with the same bits."""
-    return _simhash_udf.asNondeterministic()(text)
+
+    @F.arrow_udf("bigint")
+    def simhash_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(np.fromiter((simhash(raw) if raw else 0 for raw in as_bytes(batch)), np.uint64, len(batch)).view(np.int64))
+
+    return simhash_of.asNondeterministic()(text)
 
 
 class PerfectCode:
