@@ -1,8 +1,8 @@
 """All queries of the training-data operators, and their SQL where it can express them."""
 
-from . import bpe, decontam, licenses, pii, simhash, topk, toxicity, urls
+from . import bpe, decontam, licenses, pii, repeats, simhash, tokens, topk, toxicity, urls
 
-MODULES = (bpe, simhash, licenses, toxicity, topk, pii, decontam, urls)
+MODULES = (bpe, simhash, licenses, repeats, toxicity, tokens, topk, pii, decontam, urls)
 
 
 def queries() -> dict:
