@@ -52,7 +52,7 @@ def hazard_radius(storm, hail, s, spacing) -> str:
 
 
 def r6(c, name=None) -> str:
-    return f"round({c}, 6) + 0e0 as {name or c}"
+    return f"round({c}, {9 if (name or c) in ('sx', 'sy', 'x0', 'y0') else 6}) + 0e0 as {name or c}"
 
 
 def field(src: str, out: str, x="x", y="y") -> str:

@@ -22,13 +22,17 @@ from .sources import lattice
 from .streaming import session
 
 
+SCREEN = ("sx", "sy", "x0", "y0")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def r6(c, name: str | None = None):
+    """To 6 places; screen positions to 9, as halves of a millionth are common there."""
     col = F.col(c) if isinstance(c, str) else c
-    return (F.round(col, 6) + 0.0).alias(name or c)
+    return (F.round(col, 9 if (name or c) in SCREEN else 6) + 0.0).alias(name or c)
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
