@@ -12,6 +12,9 @@ from . import params as P
 PI = "3.141592653589793e0"
 
 
+PLACES, QUOTED = ("sx", "sy", "x0", "y0", "ax", "ay", "bx"), '"by"'
+
+
 def num(x) -> str:
     return f"{float(x)!r}" + ("" if "e" in repr(float(x)) else "e0")
 
@@ -52,7 +55,7 @@ def hazard_radius(storm, hail, s, spacing) -> str:
 
 
 def r6(c, name=None) -> str:
-    return f"round({c}, {9 if (name or c) in ('sx', 'sy', 'x0', 'y0') else 6}) + 0e0 as {name or c}"
+    return f"round({c}, {9 if (name or c) in (*PLACES, QUOTED) else 6}) + 0e0 as {name or c}"
 
 
 def field(src: str, out: str, x="x", y="y") -> str:
@@ -290,13 +293,17 @@ def targets(src: str, out: str) -> str:
 
 
 def cell_rows() -> str:
-    each = " union all ".join(f"select p.frame_id, '{c}' channel, p.py as row, p.px as col, p.{c} a, q.{c} b, r.{c} c, s.{c} d from n32 p join n32 q on q.frame_id = p.frame_id and q.py = p.py and q.px = p.px + 1 join n32 r on r.frame_id = p.frame_id and r.py = p.py + 1 and r.px = p.px + 1 join n32 s on s.frame_id = p.frame_id and s.py = p.py + 1 and s.px = p.px" for c in P.CHANNELS)
+    lists = ", ".join(f"list({f32(c)} order by px) {c}" for c in P.CHANNELS)
+    each = " union all ".join(
+        f"select frame_id, '{c}' channel, py as row, unnest(range(0, len({c}) - 1)) col, unnest({c}[:-2]) a, unnest({c}[2:]) b, unnest({c}_below[2:]) c, unnest({c}_below[:-2]) d from strips" for c in P.CHANNELS
+    )
     return f"""{ONE},
 {BANDS},
 {grid()},
 {gauss('g', 'sg')},
 {nodes(0, 'sg')},
-n32 as materialized (select frame_id, py, px, {', '.join(f'{f32(c)} as {c}' for c in P.CHANNELS)} from nd),
+node_rows as (select frame_id, py, {lists} from nd group by frame_id, py),
+strips as materialized (select u.*, {', '.join(f'l.{c} {c}_below' for c in P.CHANNELS)} from node_rows u join node_rows l on l.frame_id = u.frame_id and l.py = u.py + 1),
 quads as ({each}),
 crossed as (select * from quads join bands using (channel) where least(a, b, c, d) < threshold and threshold <= greatest(a, b, c, d))"""
 
@@ -314,7 +321,7 @@ def segments() -> str:
         when = f"idx = {case}" if isinstance(case, int) else f"idx = {case[0]} and {'' if case[1] else 'not '}((a + b + c + d) / 4 >= threshold)"
         for pair in pairs:
             (ea, ax, ay), (eb, bx, by) = points[pair[0]], points[pair[1]]
-            rows.append(f"select frame_id, channel, band, row, col, {ea} edge_a, {eb} edge_b, {ax} ax, {ay} ay, {bx} bx, {by} by from idx where {when}")
+            rows.append(f"select frame_id, channel, band, row, col, {ea} edge_a, {eb} edge_b, {ax} ax, {ay} ay, {bx} bx, {by} b_y from idx where {when}")
     bit = lambda c, n: f"case when {c} >= threshold then {n} else 0 end"
     return f"""{CELLS},
 idx as materialized (select *, (first_i + col) / 384e0 x0, (first_j + row) / 384e0 y0, row * (cols - 1) + col te, (row + 1) * (cols - 1) + col be, hc + row * cols + col le, hc + row * cols + col + 1 re,
@@ -325,7 +332,7 @@ seg as materialized ({' union all '.join(rows)})"""
 
 SEGMENTS = segments()
 LOOPS = f"""{SEGMENTS},
-half as (select frame_id, channel, band, edge_a e, edge_b f, ax x, ay y from seg union all select frame_id, channel, band, edge_b, edge_a, bx, by from seg),
+half as (select frame_id, channel, band, edge_a e, edge_b f, ax x, ay y from seg union all select frame_id, channel, band, edge_b, edge_a, bx, b_y from seg),
 reach(frame_id, channel, band, s, e) as (select distinct frame_id, channel, band, e, e from half union select r.frame_id, r.channel, r.band, r.s, h.f from reach r join half h on h.frame_id = r.frame_id and h.channel = r.channel and h.band = r.band and h.e = r.e where h.f > r.s),
 labelled as (select frame_id, channel, band, e, min(s) loop_id from reach group by all),
 spot as (select frame_id, channel, band, e, min(x) x, min(y) y from half group by all)"""
@@ -461,7 +468,7 @@ SQL = {
     "coverage_threshold": f"with {REGION}, {BANDS}, {grid()}, {box('g', 'bg', 'row', 'col')}, {long('g', 'lo')}, {long('bg', 'lg')}, {targets('lo', 'tg')}, {hist('lg', 'hh')}, {thresholds('hh', 'tg', 'th')} select frame_id, channel, band, covered, {r6('value')} from th",
     "coverage_bands": _coverage_bands(),
     "contour_cells": f"with {CELLS} select frame_id, channel, band, cast(row as integer) as row, cast(col as integer) col, {', '.join(map(r6, 'abcd'))} from crossed",
-    "contour_segments": f"with {SEGMENTS} select frame_id, channel, band, cast(row as integer) as row, cast(col as integer) col, cast(edge_a as bigint) edge_a, cast(edge_b as bigint) edge_b, {', '.join(map(r6, ('ax', 'ay', 'bx', 'by')))} from seg",
+    "contour_segments": f"with {SEGMENTS} select frame_id, channel, band, cast(row as integer) as row, cast(col as integer) col, cast(edge_a as bigint) edge_a, cast(edge_b as bigint) edge_b, {', '.join(map(r6, ('ax', 'ay', 'bx')))}, {r6('b_y', QUOTED)} from seg",
     "contour_loops": f"with recursive {LOOPS} select frame_id, channel, band, cast(loop_id as bigint) loop_id, count(*) points, {r6('sum(x)', 'sum_x')}, {r6('sum(y)', 'sum_y')} from labelled join spot using (frame_id, channel, band, e) group by all",
     "area_layers": f"with recursive {LOOPS}, pts as (select spot.frame_id, channel, band, center_x + (spot.x - 0.5e0) * field_pixels * zoom px, center_y + (spot.y - 0.5e0) * field_pixels * zoom py, field_pixels * zoom scale from spot join frames using (frame_id)), "
     "st as (select *, case channel when 'rain' then band when 'storm' then 5 else 6 end layer, 'fill' style, case channel when 'rain' then 1e0 when 'storm' then 0.45e0 else 0.35e0 end alpha, cast(null as double) line_width from pts "

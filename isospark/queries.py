@@ -22,7 +22,7 @@ from .sources import lattice
 from .streaming import session
 
 
-SCREEN = ("sx", "sy", "x0", "y0")
+SCREEN = ("sx", "sy", "x0", "y0", "ax", "ay", "bx", "by")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def r6(c, name: str | None = None):
-    """To 6 places; screen positions to 9, as halves of a millionth are common there."""
+    """To 6 places; positions to 9, as halves of a millionth are common there."""
     col = F.col(c) if isinstance(c, str) else c
     return (F.round(col, 9 if (name or c) in SCREEN else 6) + 0.0).alias(name or c)
 
