@@ -1,16 +1,18 @@
 """Toxicity by cumulative-link ordinal regression.
 
 The model gives every text a position s = w.x from sparse word features
-(x = log(1 + count) of the words of a selected vocabulary) and shares w across
+(x = 1 + log(count) of the words of a selected vocabulary that are present) and shares w across
 ordered thresholds: P(grade > j) = logistic(s - t_j), t_0 < t_1 < ... The output
 is the expected grade (the sum of those chances) and P(grade > 0).
 
 Training takes a bounded sample of labelled rows, SAMPLE of each class, chosen
 by hash of the id over all labels and weighted to the classes' true sizes.
-Spark counts the sample's words; the VOCABULARY words that tell the classes
-apart best (z-score of the log odds) reach the driver, and so do the sampled
-rows' counts of them. Grades of toxic rows are terciles of the rate of the words
-that speak for toxicity, so grades rise with density. Scoring reads every text
+Spark counts the sample's words; those that speak for toxicity with at least
+RELATIVE of the best word's likelihood ratio, VOCABULARY at most, reach the
+driver, and so do the sampled rows' counts of them. (Labels hold errors, and a
+group of copies with one wrong label makes many words look telling; against a
+word that truly tells they stay weak.) Weights are kept at zero or above. Grades of toxic rows are terciles of the sum of
+their features (rows without any are in the lowest), so grades rise with them. Scoring reads every text
 whole, in batches, with nothing shuffled.
 
 Defined cases: null or wordless texts have no features and get the score of
@@ -24,7 +26,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from math import log1p
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut, table
 from .decontam import words_of
 
-#: Bounds of training: sampled rows of each class, words of the vocabulary, texts a word must be in.
-SAMPLE, VOCABULARY, MIN_TEXTS, MIN_Z = 3000, 300, 8, 3.5
-GRADES, PENALTY, STEPS, REJECT = 4, 1e-3, 400, 0.5
+#: Bounds of training: sampled rows of each class, words of the vocabulary, texts a word must be in, strength against the best word.
+SAMPLE, VOCABULARY, MIN_TEXTS, RELATIVE = 3000, 300, 5, 0.2
+GRADES, PENALTY, STEPS, REJECT = 4, 1e-4, 1500, 0.5
 
 
 @dataclass(frozen=True)
@@ -47,15 +49,15 @@ class Model:
     def position(self, text: bytes | None) -> float:
         known = self.weights.keys()
         counts = Counter(w for w in words_of(text) if w in known) if text else {}
-        return sum(self.weights[w] * log1p(n) for w, n in sorted(counts.items()))
+        return sum(self.weights[w] * (1 + log(n)) for w, n in sorted(counts.items()))
 
     def chances(self, s: np.ndarray) -> np.ndarray:
         """P(grade > j) for each text and threshold."""
         return 1 / (1 + np.exp(np.clip(np.array(self.thresholds) - s[:, None], -500, 500)))
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps: int = STEPS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising thresholds by gradient descent (Adam) on the weighted likelihood."""
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps: int = STEPS, penalty: float = PENALTY, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (none below least) and rising thresholds by gradient descent (Adam) on the weighted likelihood."""
     levels = int(grade.max())
     weight = weight / weight.sum()
     above = np.array([weight[grade > j].sum() for j in range(levels)]).clip(1e-6, 1 - 1e-6)
@@ -76,6 +78,7 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, steps: int
         g = np.concatenate([-x.T @ (d_up - d_down) + penalty * w, tail[:1], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        p[: x.shape[1]] = np.maximum(p[: x.shape[1]], least)
     gaps = np.exp(p[x.shape[1] + 1 :])
     return p[: x.shape[1]], p[x.shape[1]] + np.concatenate([[0], np.cumsum(gaps)])
 
@@ -105,10 +108,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(total) < 2:
         return none
     held = texts.select("text", "y").mapInArrow(presence, "word binary, y long").groupBy("word").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
-    odds = F.log((F.col("a") + 0.5) / (total[1] - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (total[0] - F.col("b") + 0.5))
-    spread = F.sqrt(sum(1 / (F.col(c) + 0.5) + 1 / (n - F.col(c) + 0.5) for c, n in (("a", total[1]), ("b", total[0]))))
-    scored = held.where(F.col("a") + F.col("b") >= MIN_TEXTS).withColumn("z", odds / spread).where(F.abs("z") >= MIN_Z)
-    picked = scored.orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY).collect()
+    of = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    share, n = total[1] / (total[0] + total[1]), F.col("a") + F.col("b")
+    absent = sum(total.values()) - n
+    ratio = of(F.col("a"), n * share) + of(F.col("b"), n * (1 - share)) + of(total[1] - F.col("a"), absent * share) + of(total[0] - F.col("b"), absent * (1 - share))
+    scored = held.where((n >= MIN_TEXTS) & (F.col("a") > n * share)).withColumn("z", ratio)
+    picked = scored.orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()
+    picked = [r for r in picked if r.z >= RELATIVE * picked[0].z]
     if not picked:
         return none
     vocabulary = [bytes(r.word) for r in picked]
@@ -125,14 +131,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = texts.select("text", "y").mapInArrow(counts, "y long, n long, at array<int>, times array<int>").collect()
     rows.sort(key=lambda r: (r.y, r.n, r["at"], r.times))
-    x, y, n = np.zeros((len(rows), len(vocabulary))), np.array([r.y for r in rows]), np.array([r.n for r in rows])
+    x, y = np.zeros((len(rows), len(vocabulary))), np.array([r.y for r in rows])
     for k, r in enumerate(rows):
         x[k, r["at"]] = r.times
-    speaks = np.array([r.z > 0 for r in picked])
-    rate = x[:, speaks].sum(axis=1) / np.maximum(n, 1)
-    grade = np.where(y > 0, 1 + np.searchsorted(np.quantile(rate[y > 0], [k / (GRADES - 1) for k in range(1, GRADES - 1)]), rate, side="right"), 0)
+    features = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0)
+    amount = features.sum(axis=1)
+    marked = amount[(y > 0) & (amount > 0)]
+    edges = np.quantile(marked, [k / (GRADES - 1) for k in range(1, GRADES - 1)]) if len(marked) else np.full(GRADES - 2, np.inf)
+    grade = np.where(y > 0, 1 + np.searchsorted(edges, amount, side="right"), 0)
     weight = np.where(y > 0, sizes[1] / total[1], sizes[0] / total[0])
-    w, thresholds = fit_ordinal(np.log1p(x), grade, weight)
+    w, thresholds = fit_ordinal(features, grade, weight, least=0.0)
     return Model(dict(zip(vocabulary, w.tolist(), strict=True)), tuple(thresholds.tolist()))
 
 
