@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.scalar import clamp, lit, mix, pulse, smoothstep, total
 
-HOISTED = [f"_w{k}" for k in P.PHASES] + ["_life"] + [f"_{p}{n}" for n in range(len(P.COMPONENTS)) for p in ("sx", "sy", "c", "s", "amp")]
+HOISTED = ["_life"] + [f"_{p}{n}" for n in range(len(P.COMPONENTS)) for p in ("xx", "xy", "yy", "amp")]
 
 
 def _run(value, waves) -> Column:
@@ -20,18 +20,19 @@ def with_time(df: DataFrame, t: str = "t") -> DataFrame:
     time = F.col(t)
     df = df.withColumns({f"_w{k}": pulse(time, phase) for k, phase in P.PHASES.items()} | {"_life": smoothstep(0.0, 0.12, time) * smoothstep(0.0, 0.12, 1.0 - time)})
     waves = {k: F.col(f"_w{k}") for k in P.PHASES}
-    made = {}
+    turned, made = {}, {}
     for n, (_, _, _, _, sx, sy, rotation, amplitude) in enumerate(P.COMPONENTS):
-        turn = _run(rotation, waves)
-        made |= {f"_sx{n}": _run(sx, waves), f"_sy{n}": _run(sy, waves), f"_c{n}": F.cos(turn), f"_s{n}": F.sin(turn), f"_amp{n}": _run(amplitude, waves)}
-    return df.withColumns(made)
+        turn, wx, wy = _run(rotation, waves), _run(sx, waves), _run(sy, waves)
+        turned |= {f"_c{n}": F.cos(turn), f"_s{n}": F.sin(turn), f"_px{n}": 1.0 / (wx * wx), f"_py{n}": 1.0 / (wy * wy), f"_amp{n}": _run(amplitude, waves)}
+        c, s, px, py = (F.col(f"_{k}{n}") for k in ("c", "s", "px", "py"))
+        made |= {f"_xx{n}": -0.5 * (c * c * px + s * s * py), f"_xy{n}": c * s * (py - px), f"_yy{n}": -0.5 * (s * s * px + c * c * py)}
+    df = df.withColumns(turned).withColumns(made)
+    return df.drop(*[f"_w{k}" for k in P.PHASES], *[f"_{k}{n}" for n in range(len(P.COMPONENTS)) for k in ("c", "s", "px", "py")])
 
 
 def gaussian(dx: Column, dy: Column, n: int) -> Column:
-    rx = dx * F.col(f"_c{n}") + dy * F.col(f"_s{n}")
-    ry = dy * F.col(f"_c{n}") - dx * F.col(f"_s{n}")
-    sx, sy = F.col(f"_sx{n}"), F.col(f"_sy{n}")
-    return F.exp(-0.5 * ((rx * rx) / (sx * sx) + (ry * ry) / (sy * sy)))
+    """A turned Gaussian by the quadratic form that with_time() has made of its widths and rotation."""
+    return F.exp((F.col(f"_xx{n}") * dx + F.col(f"_xy{n}") * dy) * dx + F.col(f"_yy{n}") * dy * dy)
 
 
 def with_field(df: DataFrame, x: str = "x", y: str = "y", travel_x: str = "travel_x", names=P.CHANNELS) -> DataFrame:
