@@ -33,13 +33,13 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table
+from .common import as_bytes, release, table, worker_state
 
 #: The ranges of Unicode White_Space, which \s stands for.
 SPACE_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 SPACES = "".join(f"{chr(a)}-{chr(b)}" for a, b in SPACE_RANGES)
 #: Pre-tokens that a Python worker keeps before it starts afresh (between batches).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 #: Characters of texts that are encoded together, at least one text; this bounds a worker's memory.
 TOGETHER = 2_000_000
 
@@ -258,16 +258,9 @@ class Encoder(dict):
         return next(self.encode_batch([text])).tolist()
 
 
-#: The encoder of this Python worker, kept between tasks with what it has met.
-_kept: dict[tuple, Encoder] = {}
-
-
 def worker_encoder(ranks, pattern: str) -> Encoder:
-    key = (getattr(ranks, "_path", None) or id(ranks), pattern)
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Encoder(ranks.value, pattern)
-    return _kept[key]
+    """The encoder of this Python worker, with the pre-tokens that it has met in earlier tasks."""
+    return worker_state(("bpe", getattr(ranks, "_path", None) or id(ranks), pattern), lambda: Encoder(ranks.value, pattern))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -308,6 +301,7 @@ class Codec:
 
         @F.arrow_udf("binary")
         def bpe_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            release()
             tokens = {i: t for t, i in ranks.value.items()}
             known = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 2)]  # the last is of ids outside
             for batch in batches:

@@ -56,3 +56,21 @@ def as_bytes(array: pa.Array, step: int = 256):
     kind = pa.large_binary() if pa.types.is_large_string(array.type) else pa.binary()
     for k in range(0, len(array), step):
         yield from array.slice(k, step).cast(kind).to_pylist()
+
+
+#: What a Python worker keeps between tasks: the state of the operator that ran last, and no other's.
+_state: dict = {}
+
+
+def worker_state(key, make):
+    """make(), or what it gave before if this worker has run nothing else since."""
+    if key not in _state:
+        release()
+        _state[key] = make()
+    return _state[key]
+
+
+def release() -> None:
+    """Gives a worker's kept state and unused Arrow memory back, before another operator needs room."""
+    _state.clear()
+    pa.default_memory_pool().release_unused()

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, table
+from .common import as_bytes, table, worker_state
 
 #: Words of a window, and bytes of a block of the shift table.
 WINDOW, BLOCK = 13, 10
@@ -115,16 +115,9 @@ class WuManber:
         return np.flatnonzero(np.cumsum(marks[:-1]) > 0), {i for _, p in found for i in self.patterns[p] if i is not None}
 
 
-_kept: dict = {}
-
-
 def _searcher(block) -> WuManber:
     """The tables of a broadcast; a worker keeps one set at a time."""
-    key = getattr(block, "_path", None) or id(block)
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = WuManber(block.value)
-    return _kept[key]
+    return worker_state(("wu-manber", getattr(block, "_path", None) or id(block)), lambda: WuManber(block.value))
 
 
 class Benchmark:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, table
+from .common import as_bytes, cut, release, table
 from .components import components
 
 #: Words of a shingle, bits that linked fingerprints may differ in, seed of the hash.
@@ -69,6 +69,7 @@ def fingerprint(text: Column) -> Column:
 
     @F.arrow_udf("bigint")
     def simhash_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for batch in batches:
             yield pa.array(np.fromiter((simhash(raw) if raw else 0 for raw in as_bytes(batch)), np.uint64, len(batch)).view(np.int64))
 

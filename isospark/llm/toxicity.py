@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, table
+from .common import as_bytes, cut, release, table
 from .decontam import words_of
 
 #: Bounds of training: sampled rows of each class, words of the vocabulary, texts a word must be in, strength against the best word.
@@ -149,6 +149,7 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("struct<severity:double,chance:double>")
     def severity_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for batch in batches:
             p = model.chances(np.fromiter((model.position(raw) for raw in as_bytes(batch)), float, len(batch)))
             yield pa.StructArray.from_arrays([pa.array(p.sum(axis=1)), pa.array(p[:, 0])], ["severity", "chance"])
