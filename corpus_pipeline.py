@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isospark.llm import bpe, decontam, pii, simhash, toxicity
+from isospark.llm import bpe, decontam, jaccard, pii, toxicity
 from isospark.llm.common import cut, table
 
 
@@ -15,8 +15,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.keep_one_each(docs)
+    """One document of each group of near duplicates: texts that share four fifths of their five-word shingles."""
+    return jaccard.keep_one_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,190 @@
+"""Near duplicates by the share of common shingles: an exact set similarity join.
+
+Two texts are linked if their sets of SHINGLE consecutive words (words as in
+simhash.py; a shorter text is one shingle) have a Jaccard similarity of
+SIMILARITY hundredths or more. All such pairs count, none is missed:
+
+- Two linked sets of which one has n shingles share at least s*n of them, so
+  whatever order all shingles are put in, their prefixes of n - ceil(s*n) + 1
+  shingles have one in common. Shingles are ordered by their number in a sample
+  of texts, rare ones first. The sample only decides how many rows meet.
+- Sets that meet are candidates if their sizes allow the similarity, and so do
+  256 parities of their shingles (each parity that differs stands for one
+  shingle at least that only one of the sets has).
+- Candidates are confirmed on the words of both texts.
+
+A shingle that more than CLOSE sets meet at (large families of near copies)
+links each set with the next ones in an order by hash first. Then only pairs
+whose ends aren't connected yet are compared, which changes no component.
+Components follow by components.py.
+
+Defined cases: null and wordless texts are copies of each other. Repeated rows
+and texts with equal sets of shingles are one node. Input columns are chosen by
+name, others are not looked at.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import as_bytes, cut, release
+from .components import components
+from .simhash import LOWER
+
+#: Words of a shingle, hundredths of similarity that link.
+SHINGLE, SIMILARITY = 5, 80
+#: Sets at one shingle that are compared pair by pair; next ones that each is compared with where there are more.
+CLOSE, NEXT = 64, 4
+#: One of so many texts is in the sample, and its most frequent shingles, found in so many texts at least, are put last.
+ONE_OF, FREQUENT, IN_TEXTS = 16, 50_000, 4
+
+FEATURES = "struct<digest:binary,size:int,b0:bigint,b1:bigint,b2:bigint,b3:bigint,prefix:array<bigint>>"
+PARITIES = ("b0", "b1", "b2", "b3")
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return text.translate(LOWER).split() if text else []
+
+
+def shingle_set(text: bytes | None, length: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    words = words_of(text)
+    return set(zip(*(words[k:] for k in range(length)))) if len(words) >= length else {tuple(words)} if words else set()
+
+
+def hashes(text: bytes | None, length: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the distinct shingles, sorted."""
+    words = words_of(text)
+    if not words:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    length = min(length, len(w))
+    n = len(w) - length + 1
+    h = np.full(n, length, np.uint64)
+    for k in range(length):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + n]
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return np.unique(h ^ h >> np.uint64(31))
+
+
+def similar(a: bytes | None, b: bytes | None, length: int, similarity: int) -> bool:
+    x, y = shingle_set(a, length), shingle_set(b, length)
+    both = len(x & y)
+    return 100 * both >= similarity * (len(x) + len(y) - both)
+
+
+def frequent(docs: DataFrame, text_col: str, length: int) -> np.ndarray:
+    """Hashes of frequent shingles of the sample, rarer ones first."""
+
+    def run(batches):
+        release()
+        for batch in batches:
+            for raw in as_bytes(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(raw, length).view(np.int64))], ["h"])
+
+    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(ONE_OF)) == 0).select(text_col)
+    counted = sample.mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= IN_TEXTS)
+    found = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    return np.array([r.h for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def features(text: Column, last, length: int, similarity: int) -> Column:
+    """Digest, size, parities and prefix of each text's set; last is a broadcast of the shingles to put last."""
+
+    @F.arrow_udf(FEATURES)
+    def shingles_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
+        order = np.argsort(last.value)
+        known = last.value[order]
+        for batch in batches:
+            digests, sizes, parities, prefixes = [], [], [], []
+            for raw in as_bytes(batch):
+                h = hashes(raw, length)
+                n = len(h)
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(n)
+                odd = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1
+                parities.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.argsort(np.where(known[at] == h, order[at] + 1, 0), kind="stable")]
+                prefixes.append(h[: n - -(-similarity * n // 100) + 1 if n else 0].view(np.int64))
+            ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+            values = np.concatenate([np.zeros(0, np.int64), *prefixes])
+            bits = np.array(parities, np.int64).reshape(-1, 4)
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(bits[:, k]) for k in range(4)], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            yield pa.StructArray.from_arrays(columns, ["digest", "size", *PARITIES, "prefix"])
+
+    return shingles_of.asNondeterministic()(text)
+
+
+def possible(a: str, b: str, similarity: int) -> Column:
+    """Whether sizes and parities of two sets allow the similarity."""
+    of = lambda side, c: F.col(f"{side}.{c}")
+    differ = sum(F.bit_count(of(a, c).bitwiseXOR(of(b, c))) for c in PARITIES)
+    least, most = F.least(of(a, "size"), of(b, "size")), F.greatest(of(a, "size"), of(b, "size"))
+    return (least * 100 >= most * similarity) & (differ * (100 + similarity) <= (least + most) * (100 - similarity))
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, length: int, similarity: int) -> DataFrame:
+    """The pairs (u, v) whose texts (rid, text) are similar."""
+
+    @F.arrow_udf("boolean")
+    def similar_texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        release()
+        for a, b in batches:
+            yield pa.array([similar(x, y, length, similarity) for x, y in zip(as_bytes(a), as_bytes(b), strict=True)], pa.bool_())
+
+    pairs = cut(pairs.select("u", "v").distinct(), "candidates")
+    ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), "candidate-ids")
+    texts = cut(texts.join(ends, "rid", "left_semi"), "candidate-texts")
+    a, b = (texts.select(F.col("rid").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
+    judged = pairs.join(a, "u").join(b, "v").withColumn("same", similar_texts.asNondeterministic()("text_u", "text_v"))
+    return cut(judged.where("same").select("u", "v"), "confirmed")
+
+
+def links(nodes: DataFrame, texts: DataFrame, length: int = SHINGLE, similarity: int = SIMILARITY, close: int = CLOSE) -> DataFrame:
+    """Edges (u, v) between nodes (rid, size, parities, prefix), with the components of all similar pairs."""
+    size = nodes.select("rid", "size", *PARITIES)
+    met = nodes.select(F.explode("prefix").alias("h"), "rid").withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+    met = cut(met.join(size, "rid"), "met")
+    few, many = met.where(F.col("n") <= close), met.where(F.col("n") > close)
+    apart = F.col("a.rid") < F.col("b.rid")
+    as_pair = [F.col("a.rid").alias("u"), F.col("b.rid").alias("v")]
+    compared = few.alias("a").join(few.alias("b"), "h").where(apart & possible("a", "b", similarity)).select(*as_pair)
+    node = F.struct("rid", "size", *PARITIES)
+    line = Window.partitionBy("h").orderBy(F.xxhash64("rid", "h"), "rid")
+    chained = many.select(node.alias("a"), F.array(*[F.lead(node, k).over(line) for k in range(1, NEXT + 1)]).alias("others"))
+    chained = chained.select("a", F.explode("others").alias("b")).where(F.col("b").isNotNull() & possible("a", "b", similarity))
+    edges = confirmed(compared.union(chained.select(F.least("a.rid", "b.rid").alias("u"), F.greatest("a.rid", "b.rid").alias("v"))), texts, length, similarity)
+    if many.isEmpty():
+        return edges
+    groups = components(edges, "families").withColumnRenamed("node", "rid")
+    many = many.join(groups, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    mixed = many.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
+    many = cut(many.join(mixed, "h", "left_semi"), "mixed")
+    rest = many.alias("a").join(many.alias("b"), "h").where(apart & (F.col("a.component") != F.col("b.component")) & possible("a", "b", similarity)).select(*as_pair)
+    return edges.union(confirmed(rest, texts, length, similarity))
+
+
+def keep_one_each(docs: DataFrame, length: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that represent their group, with their own columns.
+
+    Kept is the row with the group's smallest id. Rows that repeat id and text
+    count once. Rows without id can't be ordered and are all kept.
+    """
+    last = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, length))
+    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), features(F.col(text_col), last, length, similarity).alias("r"))
+    rows = cut(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "r.*"), "shingles")
+    distinct = cut(rows.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id")).select("rid", "first_id"), "distinct")
+    nodes = rows.select("rid", "size", *PARITIES, "prefix").join(distinct.select("rid"), "rid", "left_semi")
+    groups = components(links(nodes, rows.select("rid", "text"), length, similarity), "links").withColumnRenamed("node", "rid")
+    labelled = distinct.join(groups, "rid", "left").groupBy(F.coalesce("component", "rid").alias("component")).agg(F.min("first_id").alias(id_col))
+    chosen = labelled.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    return docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
