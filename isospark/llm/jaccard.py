@@ -9,9 +9,9 @@ SIMILARITY hundredths or more. All such pairs count, none is missed:
   shingles have one in common. Shingles are ordered by their number in a sample
   of texts, rare ones first. The sample only decides how many rows meet.
 - Sets that meet are candidates if their sizes allow the similarity, and so do
-  256 parities of their shingles (each parity that differs stands for one
-  shingle at least that only one of the sets has).
-- Candidates are confirmed on the words of both texts.
+  256 parities of their shingles, then WIDE (each parity that differs stands for
+  one shingle at least that only one of the sets has).
+- Candidates are confirmed on the words of both texts. Only their texts are moved.
 
 A shingle that more than CLOSE sets meet at (large families of near copies)
 links each set with the next ones in an order by hash first. Then only pairs
@@ -44,7 +44,10 @@ CLOSE, NEXT = 64, 4
 #: One of so many texts is in the sample, and its most frequent shingles, found in so many texts at least, are put last.
 ONE_OF, FREQUENT, IN_TEXTS = 16, 50_000, 4
 
-FEATURES = "struct<digest:binary,size:int,b0:bigint,b1:bigint,b2:bigint,b3:bigint,prefix:array<bigint>>"
+#: Parities that candidates are compared by, a multiple of 256. Candidates' ids that are broadcast, else shuffled.
+WIDE, BROADCAST = 2048, 100_000
+
+FEATURES = "struct<digest:binary,size:int,b0:bigint,b1:bigint,b2:bigint,b3:bigint,wide:binary,prefix:array<bigint>>"
 PARITIES = ("b0", "b1", "b2", "b3")
 
 
@@ -103,14 +106,15 @@ def features(text: Column, last, length: int, similarity: int) -> Column:
         order = np.argsort(last.value)
         known = last.value[order]
         for batch in batches:
-            digests, sizes, parities, prefixes = [], [], [], []
+            digests, sizes, parities, wide, prefixes = [], [], [], [], []
             for raw in as_bytes(batch):
                 h = hashes(raw, length)
                 n = len(h)
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 sizes.append(n)
-                odd = np.bincount((h & np.uint64(255)).astype(np.int64), minlength=256) & 1
-                parities.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                odd = (np.bincount((h % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1).astype(np.uint8)
+                wide.append(np.packbits(odd).tobytes())
+                parities.append(np.packbits(odd.reshape(-1, 256).sum(axis=0, dtype=np.uint8) & 1).view(np.int64))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, order[at] + 1, 0), kind="stable")]
@@ -118,8 +122,8 @@ def features(text: Column, last, length: int, similarity: int) -> Column:
             ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
             values = np.concatenate([np.zeros(0, np.int64), *prefixes])
             bits = np.array(parities, np.int64).reshape(-1, 4)
-            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(bits[:, k]) for k in range(4)], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
-            yield pa.StructArray.from_arrays(columns, ["digest", "size", *PARITIES, "prefix"])
+            columns = [pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), *[pa.array(bits[:, k]) for k in range(4)], pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+            yield pa.StructArray.from_arrays(columns, ["digest", "size", *PARITIES, "wide", "prefix"])
 
     return shingles_of.asNondeterministic()(text)
 
@@ -132,8 +136,26 @@ def possible(a: str, b: str, similarity: int) -> Column:
     return (least * 100 >= most * similarity) & (differ * (100 + similarity) <= (least + most) * (100 - similarity))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, length: int, similarity: int) -> DataFrame:
-    """The pairs (u, v) whose texts (rid, text) are similar."""
+def of_ids(rows: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
+    """The rows (rid, ...) of the ends of pairs."""
+    ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), f"{label}-ids")
+    return cut(rows.join(F.broadcast(ends) if ends.count() <= BROADCAST else ends, "rid", "left_semi"), label)
+
+
+def both_ends(pairs: DataFrame, rows: DataFrame, names: list[str]) -> DataFrame:
+    """Pairs with the named columns of u and v, as u_name and v_name."""
+    u, v = (rows.select(F.col("rid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in "uv")
+    return pairs.join(u, "u").join(v, "v")
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame, docs: DataFrame, length: int, similarity: int) -> DataFrame:
+    """The pairs (u, v) of rows (rid, size, wide, text_key) whose texts in docs (text) are similar."""
+
+    @F.arrow_udf("boolean")
+    def wide_allow(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for a, b, n in batches:
+            differ = np.fromiter(((int.from_bytes(x) ^ int.from_bytes(y)).bit_count() for x, y in zip(as_bytes(a), as_bytes(b), strict=True)), np.int64, len(a))
+            yield pa.array(differ * (100 + similarity) <= n.to_numpy(zero_copy_only=False) * (100 - similarity))
 
     @F.arrow_udf("boolean")
     def similar_texts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -141,16 +163,19 @@ def confirmed(pairs: DataFrame, texts: DataFrame, length: int, similarity: int)
         for a, b in batches:
             yield pa.array([similar(x, y, length, similarity) for x, y in zip(as_bytes(a), as_bytes(b), strict=True)], pa.bool_())
 
-    pairs = cut(pairs.select("u", "v").distinct(), "candidates")
-    ends = cut(pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct(), "candidate-ids")
-    texts = cut(texts.join(ends, "rid", "left_semi"), "candidate-texts")
-    a, b = (texts.select(F.col("rid").alias(x), F.col("text").alias(f"text_{x}")) for x in "uv")
-    judged = pairs.join(a, "u").join(b, "v").withColumn("same", similar_texts.asNondeterministic()("text_u", "text_v"))
+    pairs = cut(pairs.select("u", "v").distinct(), "met-pairs")
+    wide = both_ends(pairs, of_ids(rows.select("rid", "size", "wide"), pairs, "wide"), ["size", "wide"])
+    allowed = wide_allow.asNondeterministic()("u_wide", "v_wide", (F.col("u_size") + F.col("v_size")).cast("bigint"))
+    pairs = cut(wide.withColumn("ok", allowed).where("ok").select("u", "v"), "candidates")
+    keys = of_ids(rows.select("rid", "text_key"), pairs, "candidate-keys")
+    keyed = docs.select("text", F.xxhash64("text").alias("text_key"))
+    texts = cut(keyed.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, "text_key").select("rid", "text").distinct(), "candidate-texts")
+    judged = both_ends(pairs, texts, ["text"]).withColumn("same", similar_texts.asNondeterministic()("u_text", "v_text"))
     return cut(judged.where("same").select("u", "v"), "confirmed")
 
 
-def links(nodes: DataFrame, texts: DataFrame, length: int = SHINGLE, similarity: int = SIMILARITY, close: int = CLOSE) -> DataFrame:
-    """Edges (u, v) between nodes (rid, size, parities, prefix), with the components of all similar pairs."""
+def links(nodes: DataFrame, docs: DataFrame, length: int = SHINGLE, similarity: int = SIMILARITY, close: int = CLOSE) -> DataFrame:
+    """Edges (u, v) between nodes (rid, size, parities, wide, prefix, text_key), with the components of all similar pairs in docs (text)."""
     size = nodes.select("rid", "size", *PARITIES)
     met = nodes.select(F.explode("prefix").alias("h"), "rid").withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     met = cut(met.join(size, "rid"), "met")
@@ -162,7 +187,7 @@ def links(nodes: DataFrame, texts: DataFrame, length: int = SHINGLE, similarity:
     line = Window.partitionBy("h").orderBy(F.xxhash64("rid", "h"), "rid")
     chained = many.select(node.alias("a"), F.array(*[F.lead(node, k).over(line) for k in range(1, NEXT + 1)]).alias("others"))
     chained = chained.select("a", F.explode("others").alias("b")).where(F.col("b").isNotNull() & possible("a", "b", similarity))
-    edges = confirmed(compared.union(chained.select(F.least("a.rid", "b.rid").alias("u"), F.greatest("a.rid", "b.rid").alias("v"))), texts, length, similarity)
+    edges = confirmed(compared.union(chained.select(F.least("a.rid", "b.rid").alias("u"), F.greatest("a.rid", "b.rid").alias("v"))), nodes, docs, length, similarity)
     if many.isEmpty():
         return edges
     groups = components(edges, "families").withColumnRenamed("node", "rid")
@@ -170,7 +195,7 @@ def links(nodes: DataFrame, texts: DataFrame, length: int = SHINGLE, similarity:
     mixed = many.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
     many = cut(many.join(mixed, "h", "left_semi"), "mixed")
     rest = many.alias("a").join(many.alias("b"), "h").where(apart & (F.col("a.component") != F.col("b.component")) & possible("a", "b", similarity)).select(*as_pair)
-    return edges.union(confirmed(rest, texts, length, similarity))
+    return edges.union(confirmed(rest, nodes, docs, length, similarity))
 
 
 def keep_one_each(docs: DataFrame, length: int = SHINGLE, similarity: int = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,11 +205,11 @@ def keep_one_each(docs: DataFrame, length: int = SHINGLE, similarity: int = SIMI
     count once. Rows without id can't be ordered and are all kept.
     """
     last = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, length))
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), features(F.col(text_col), last, length, similarity).alias("r"))
-    rows = cut(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "r.*"), "shingles")
+    found = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), features(F.col(text_col), last, length, similarity).alias("r"))
+    rows = cut(found.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text_key", "r.*"), "shingles")
     distinct = cut(rows.groupBy("digest").agg(F.min("rid").alias("rid"), F.min("doc_id").alias("first_id")).select("rid", "first_id"), "distinct")
-    nodes = rows.select("rid", "size", *PARITIES, "prefix").join(distinct.select("rid"), "rid", "left_semi")
-    groups = components(links(nodes, rows.select("rid", "text"), length, similarity), "links").withColumnRenamed("node", "rid")
+    nodes = cut(rows.drop("doc_id", "digest").join(distinct.select("rid"), "rid", "left_semi"), "nodes")
+    groups = components(links(nodes, docs.select(F.col(text_col).alias("text")), length, similarity), "links").withColumnRenamed("node", "rid")
     labelled = distinct.join(groups, "rid", "left").groupBy(F.coalesce("component", "rid").alias("component")).agg(F.min("first_id").alias(id_col))
     chosen = labelled.select(id_col).where(F.col(id_col).isNotNull()).distinct()
     return docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
