@@ -27,13 +27,21 @@ from .common import table
 
 MIN_SCORE, NEAR = 0.5, 40
 
+#: Characters of an account number by country (IBAN registry); other codes may have any length.
+IBAN_SIZES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: An account number ends where its country's size says, whatever word follows.
+SIZED = "|".join(rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, codes in IBAN_SIZES.items())
+
 #: kind: plain expression (as in SQL), the same for Java without backtracking, score alone, words nearby.
 KINDS = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.7, "mail|e-mail|contact|write"),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.5, "ip|host|server|address"),
     "card": (r"[0-9]([\x20-]?[0-9])+", r"[0-9](?:[\x20-]?[0-9]){12,}+", 0.7, "card|visa|credit|payment"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile"),
-    "iban": (r"", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", 0.8, "iban|bank|account"),
+    "iban": (r"", rf"(?<![A-Za-z0-9])(?:{SIZED}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])", 0.8, "iban|bank|account"),
     "id_number": (r"(?:^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?:[^0-9-]|$)", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.2, "ssn|social security|id number|tax id"),
 }
 BASE = ("email", "ip", "card", "phone")
