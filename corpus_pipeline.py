@@ -31,8 +31,7 @@ def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each document, and the digest of what they decode to."""
-    codec = bpe.multi_50k(spark)
-    coded = docs.select("doc_id", "lang", "source", codec.encode(F.col("text")).alias("ids")).withColumn("decoded", codec.decode(F.col("ids")))
+    coded = bpe.bpe_round_trip(docs, bpe.multi_50k(spark), also=("lang", "source"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

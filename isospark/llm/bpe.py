@@ -15,8 +15,11 @@ position of each pre-token is merged and the others wait. A pre-token of n bytes
 costs O(n log n) whatever its length.
 
 Defined cases: a null text encodes to an empty list, an empty text too; null
-ids decode to null, ids outside the vocabulary to no bytes. Repeated rows are
-encoded each. Both operators are column functions, so columns of any name pass.
+ids decode to null, ids outside the vocabulary to no bytes. Bytes that aren't
+UTF-8 (a string column may hold them) are encoded as bytes and decode to
+themselves. Repeated rows are encoded each. Codec's operators are column
+functions, so columns of any name pass; bpe_round_trip chooses its columns by
+name.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +35,19 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from .common import as_bytes, table, worker_state
 
 #: The ranges of Unicode White_Space, which \s stands for.
 SPACE_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
 SPACES = "".join(f"{chr(a)}-{chr(b)}" for a, b in SPACE_RANGES)
-#: Pre-tokens that a Python worker keeps before it starts afresh (between batches).
-CACHE_ENTRIES = 300_000
-#: Characters of texts that are encoded together, at least one text; this bounds a worker's memory.
-TOGETHER = 2_000_000
+#: Bytes of pre-tokens and their entries that a Python worker keeps before it starts afresh.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 200
+#: Characters of texts that are encoded together and leave the worker together, at least one text; this bounds its memory.
+TOGETHER = 1_500_000
+#: Positions that are looked up at a time before the first merge.
+LOOKED_UP = 1 << 17
 
 
 class RankQueue:
@@ -133,12 +139,19 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.size = max(ranks.values(), default=0) + 1
-        made = [(ranks[t[:k]] * self.size + ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        pairs = np.array(sorted(made), np.int64).reshape(-1, 2)
-        self.keys, self.rank_of = np.append(pairs[:, 0], np.iinfo(np.int64).max), np.append(pairs[:, 1], -1).astype(np.int32)
+        keys, made = array("q"), array("i")
+        for t, rank in ranks.items():
+            for k in range(1, len(t)):
+                if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None:
+                    keys.append(a * self.size + b)
+                    made.append(rank)
+        keys, made = np.array(keys, np.int64), np.array(made, np.int32)
+        order = np.lexsort((made, keys))
+        keys, made = keys[order], made[order]
+        self.keys, self.rank_of = np.append(keys, np.iinfo(np.int64).max), np.append(made, -1).astype(np.int32)
         lowest = np.full(self.size, np.iinfo(np.int32).max)
-        for side in (pairs[:, 0] // self.size, pairs[:, 0] % self.size):
-            np.minimum.at(lowest, side, pairs[:, 1])
+        for side in (keys // self.size, keys % self.size):
+            np.minimum.at(lowest, side, made)
         self.at_once = (lowest > np.arange(self.size)).tolist()
         self.byte_rank = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
 
@@ -153,8 +166,8 @@ class Merges:
         tokens = np.append(self.byte_rank[np.frombuffer(b"".join(pieces), np.uint8)], -1)
         n = len(tokens) - 1
         ends = np.cumsum(sizes)
-        piece_of = np.repeat(np.arange(len(pieces)), sizes)
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        piece_of = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
+        after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         after[ends[sizes > 0] - 1] = n  # place n stands for no part
         before[(ends - sizes)[sizes > 0]] = n
         alive, noted = np.ones(n, bool), np.full(n + 1, -1, np.int32)
@@ -167,7 +180,8 @@ class Merges:
             if len(hit := np.flatnonzero(found >= 0)):
                 queue.push_all(found[hit], at[hit])
 
-        note(np.arange(n))
+        for k in range(0, n, LOOKED_UP):
+            note(np.arange(k, min(n, k + LOOKED_UP), dtype=np.int32))
         while True:
             rank, arrays = queue.pop()
             if rank < 0:
@@ -204,11 +218,15 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         self.merges, self.split = Merges(ranks), splitter(pattern)
+        self.known = [b""] * self.merges.size
+        for token, rank in ranks.items():
+            self.known[rank] = token
         self.forget()
 
     def forget(self) -> None:
         self.clear()
         self.fresh: list[str] = []
+        self.held = 0
         self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __missing__(self, piece: str) -> int:
@@ -218,7 +236,8 @@ class Encoder(dict):
 
     def learn(self) -> None:
         """Finds the tokens of the pre-tokens numbered since the last call."""
-        pieces, self.fresh = [x.encode() for x in self.fresh], []
+        pieces, self.fresh = [to_bytes(x) for x in self.fresh], []
+        self.held += sum(map(len, pieces)) + ENTRY_BYTES * len(pieces)
         whole = [self.merges.ranks.get(x) for x in pieces]
         rest = [k for k, x in enumerate(whole) if x is None]
         tokens, counts = self.merges.merge([pieces[k] for k in rest])
@@ -241,23 +260,43 @@ class Encoder(dict):
             shift = np.cumsum(sizes) - sizes
             yield self.flat[np.repeat(starts - shift, sizes) + np.arange(int(sizes.sum()))]
 
-    def encode_all(self, texts: Iterator[str]) -> Iterator[np.ndarray]:
-        """The ids of each text, some texts at a time."""
+    def encode_parts(self, texts: Iterable[str]) -> Iterator[list[np.ndarray]]:
+        """The ids of each text, as lists for some texts at a time."""
         batch, size = [], 0
         for text in texts:
             batch.append(text)
             size += len(text)
             if size >= TOGETHER:
-                yield from self.encode_batch(batch)
+                yield list(self.encode_batch(batch))
                 batch, size = [], 0
-                if len(self) >= CACHE_ENTRIES:
+                if self.held >= CACHE_BYTES:
                     self.forget()
-        yield from self.encode_batch(batch)
+        if batch:
+            yield list(self.encode_batch(batch))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        for part in self.encode_parts(texts):
+            yield from part
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The tokens' bytes one after the other; ids outside the vocabulary stand for none."""
+        known = self.known
+        inside = (ids >= 0) & (ids < len(known))
+        return b"".join(map(known.__getitem__, (ids if inside.all() else ids[inside]).tolist()))
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_batch([text])).tolist()
 
 
+def to_text(raw: bytes | None) -> str:
+    """Bytes that aren't UTF-8 become code points of their own, which to_bytes turns back."""
+    return raw.decode("utf-8", "surrogateescape") if raw else ""
+
+
+def to_bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogateescape")
+
+
 def worker_encoder(ranks, pattern: str) -> Encoder:
     """The encoder of this Python worker, with the pre-tokens that it has met in earlier tasks."""
     return worker_state(("bpe", getattr(ranks, "_path", None) or id(ranks), pattern), lambda: Encoder(ranks.value, pattern))
@@ -287,39 +326,53 @@ class Codec:
         def bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encoder = worker_encoder(ranks, pattern)
             for batch in batches:
-                packed, ends = bytearray(), [0]
-                for ids in encoder.encode_all(raw.decode() if raw else "" for raw in as_bytes(batch)):
-                    packed += ids.tobytes()
-                    ends.append(len(packed) // 4)
-                values = pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(packed)])
-                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                yield id_lists(list(encoder.encode_all(map(to_text, as_bytes(batch)))))
 
         return bpe_encode.asNondeterministic()(text)
 
     def decode(self, ids: Column) -> Column:
-        ranks = self.ranks
+        ranks, pattern = self.ranks, self.pattern
 
         @F.arrow_udf("binary")
         def bpe_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            tokens = {i: t for t, i in ranks.value.items()}
-            known = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 2)]  # the last is of ids outside
+            encoder = worker_encoder(ranks, pattern)
             for batch in batches:
                 decoded = []
                 for k in range(0, len(batch), 256):
                     part = batch.slice(k, 256)
                     ids = part.flatten().fill_null(-1).to_numpy()
-                    ids = np.where((ids < 0) | (ids >= len(known)), len(known) - 1, ids)
                     ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(part).to_pylist())])
-                    decoded += [b"".join(map(known.__getitem__, ids[a:b].tolist())) if ok else None for a, b, ok in zip(ends, ends[1:], part.is_valid().to_pylist())]
+                    decoded += [encoder.decode(ids[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], part.is_valid().to_pylist())]
                 yield pa.array(decoded, pa.binary())
 
         return bpe_decode.asNondeterministic()(ids)
 
 
-def bpe_round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids array<int>, decoded binary of each row; other columns are left out."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.select("doc_id", codec.encode(F.col("text")).alias("ids")).withColumn("decoded", codec.decode(F.col("ids")))
+def id_lists(ids: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
+def bpe_round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """id as doc_id, the columns named in also, ids array<int>, and decoded binary (what the ids decode to) of each row.
+
+    Encoding and decoding are one step in one Python worker, and rows leave it
+    as soon as their part of the batch is done.
+    """
+    ranks, pattern = codec.ranks, codec.pattern
+    rows = docs.select(F.col(id_col).alias("doc_id"), *[F.col(f"`{c}`") for c in also], F.col(text_col).alias("text"))
+    names = [*rows.columns[:-1], "ids", "decoded"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = worker_encoder(ranks, pattern)
+        for batch in batches:
+            at = 0
+            for ids in encoder.encode_parts(map(to_text, as_bytes(batch.column(batch.num_columns - 1)))):
+                kept = [batch.column(k).slice(at, len(ids)) for k in range(batch.num_columns - 1)]
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays([*kept, id_lists(ids), pa.array(map(encoder.decode, ids), pa.binary())], names)
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())]))
 
 
 def multi_50k(spark: SparkSession) -> Codec:

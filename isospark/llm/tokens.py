@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Codec, worker_encoder
+from .bpe import Codec, to_text, worker_encoder
 from .common import as_bytes, cut, table
 
 #: Tokens of a block; ids of a manifest row. Tokens are unsigned 16-bit integers where the vocabulary allows.
@@ -52,7 +52,7 @@ def write_token_files(docs: DataFrame, codec: Codec, end_id: int, id_col: str =
 
         for batch in batches:
             ids = iter(batch.column(0).to_pylist())
-            for tokens in encoder.encode_all(raw.decode() if raw else "" for raw in as_bytes(batch.column(1))):
+            for tokens in encoder.encode_all(map(to_text, as_bytes(batch.column(1)))):
                 stream += tokens.astype(kind).tobytes() + end
                 names.append(next(ids))
                 while len(stream) >= size:
