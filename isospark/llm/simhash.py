@@ -14,16 +14,26 @@ the distance may exceed the block's radius, by one. Each distinct fingerprint is
 replicated to those anchors, about 17 rows, and compared with the others there.
 There are 2^36 anchors, so unrelated fingerprints seldom meet at any scale.
 
-An anchor with more than CLOSE fingerprints (large families of near copies) is
-not compared pair by pair. Its fingerprints get the 65 points within one bit of
-each as keys; two share a key if and only if they differ in at most 2 bits, and
-all with one key (65 at most) are linked through the smallest. The links are the
-same ones, without pairs within a group. Components follow by components.py.
+Fingerprints that share an anchor with another are compared through points: two
+differ in at most 2 bits if and only if some point is at most 1 bit from either,
+and that point's anchor is one they share. So each such fingerprint is joined by
+the 65 points within one bit of it, and those at one point (65 at most) are
+linked through the smallest. An anchor of a large family of near copies costs no
+more a fingerprint than another, and makes no pairs. Components follow by
+components.py.
+
+keep_one_each, the filter, links texts by the similarity of their word sets. It
+takes the fingerprints' links first, each confirmed on the words, and completes
+them by similarity.py, since most texts that share four fifths of their shingles
+are further apart than any threshold of bits that can be covered.
 
 Defined cases: null, empty and wordless texts have fingerprint zero and link
 like any other; a row without id has the component of its fingerprint, the
 smallest id reachable, or null if there is none. Repeated rows give one row
-each. Input columns are chosen by name, others are not looked at.
+each. The filter keeps of each group the row with the smallest id (rows without
+id come last; of texts with one id the one with the smaller hash), and rows that
+repeat id and text count once. Input columns are chosen by name, others are not
+looked at.
 """
 
 from __future__ import annotations
@@ -37,31 +47,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, release, table
+from . import similarity
+from .common import as_bytes, cut, drop_cut, release, table
 from .components import components
 
 #: Words of a shingle, bits that linked fingerprints may differ in, seed of the hash.
 SHINGLE, THRESHOLD, SEED = 3, 2, 42
-#: Fingerprints at one anchor that are compared pair by pair.
-CLOSE = 64
-
-#: A-Z to a-z.
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def simhash(text: bytes) -> int:
     """The fingerprint, unsigned."""
-    words = text.translate(LOWER).split()  # bytes split at \x20 and \x09-\x0D
+    words = similarity.words_of(text)
     if not words:
         return 0
     if len(words) < SHINGLE:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(words, words[1:], words[2:])), np.uint64, len(words) - SHINGLE + 1)
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), 4096):
-        part = hashes[k : k + 4096]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return similarity.majority(np.fromiter((xxhash.xxh64_intdigest(b" ".join(s), SEED) for s in zip(words, words[1:], words[2:])), np.uint64, len(words) - SHINGLE + 1))
 
 
 def fingerprint(text: Column) -> Column:
@@ -155,42 +156,72 @@ def replicate(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.select("fp").mapInArrow(run, "anchor bigint, fp bigint")
 
 
-def links(fingerprints: DataFrame, close: int = CLOSE) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (fp long), with the components of all pairs within the threshold."""
-    replicas = replicate(fingerprints)
-    shared = cut(replicas.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
-    met = cut(replicas.join(shared, "anchor"), "replicas")
-    a, b = (met.where(F.col("n") <= close).select("anchor", F.col("fp").alias(x)) for x in "uv")
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= THRESHOLD
-    compared = a.join(b, "anchor").where((F.col("u") < F.col("v")) & near).select("u", "v")
-    crowded = met.where(F.col("n") > close).select("fp").distinct()
-    points = crowded.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << p if p < 63 else -(1 << 63))) for p in range(64)])).alias("point"))
-    smallest = points.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
-    through = points.join(smallest.select("point", "v"), "point").where("fp <> v").select(F.col("fp").alias("u"), "v")
-    return compared.union(through).distinct()
+def links(fingerprints: DataFrame) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (fp long) within the threshold, with the components of all such pairs."""
+    replicas = cut(replicate(fingerprints), "replicas")
+    shared = replicas.groupBy("anchor").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("anchor")
+    met = cut(replicas.join(shared, "anchor", "left_semi").select("fp").distinct(), "met")
+    drop_cut(replicas)
+    points = met.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << p if p < 63 else -(1 << 63))) for p in range(64)])).alias("point"))
+    smallest = points.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w").select("point", "v")
+    return points.join(smallest, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+
+
+#: Keys with one of so many rows or more are joined by broadcast; there are no more of them than that.
+HOT = 256
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined with unique, one row a key, whose column count tells how many rows a key has. Hot keys are not shuffled."""
+    total = unique.agg(F.sum(count)).first()[0] or 0
+    hot = unique.where(F.col(count) * HOT >= total).drop(count)
+    rest = unique.where(F.col(count) * HOT < total).drop(count)
+    few = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(few, key, "left_anti").join(rest, key))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (long) and component_id of each row."""
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
-    smallest = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    smallest = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows")), "distinct")
     groups = components(links(smallest), "links")
-    labelled = smallest.join(groups, smallest.fp == groups.node, "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    labelled = smallest.join(groups, smallest.fp == groups.node, "left").select("fp", "first_id", "n_rows", F.coalesce("component", "fp").alias("component"))
     labelled = cut(labelled, "labelled")
-    ids = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_print = cut(labelled.join(ids, "component").select("fp", "component_id"), "classes")
-    return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that represent their group, with their own columns.
-
-    Kept is the row with the group's smallest id. Rows that repeat id and text
-    count once. Rows without id can't be ordered and are all kept.
-    """
-    found = near_duplicates(docs, id_col, text_col)
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col, text_col]).select(docs.columns).union(docs.where(F.col(id_col).isNull()))
+    ids = cut(labelled.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "ids")
+    by_print = cut(join_unique(labelled, ids, "component", "n").select("fp", "component_id", "n_rows"), "classes")
+    return join_unique(rows, by_print, "fp", "n_rows").select("doc_id", "fp", "component_id")
+
+
+def closest(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes (rid, fp) with equal fingerprints or a fingerprint within the threshold, through one node of each."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("rid").alias("rid")), "prints")
+    equal = nodes.select("fp", "rid").join(prints.withColumnRenamed("rid", "v"), "fp").where("rid <> v").select(F.col("rid").alias("u"), "v")
+    at = lambda x: prints.select(F.col("fp").alias(x), F.col("rid").alias(f"{x}_rid"))
+    return equal.union(links(prints).join(at("u"), "u").join(at("v"), "v").select("u_rid", "v_rid")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
+def keep_one_each(docs: DataFrame, length: int = similarity.SHINGLE, share: int = similarity.SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of texts that share `share` hundredths of their shingles of `length` words, with its own columns."""
+    names, text = docs.columns, F.col(text_col)
+    last = docs.sparkSession.sparkContext.broadcast(similarity.frequent(docs, text_col, length))
+    name = [F.col(id_col).isNull().alias("k0"), F.coalesce(F.xxhash64(id_col), F.lit(0)).alias("k1"), *similarity.text_keys(text)]
+    found = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), *name, similarity.features(text, last, length, share).alias("r"))
+    rows = cut(found.select("rid", "id", "k0", "k1", "t1", "t2", "r.*"), "shingles")
+    distinct = cut(rows.groupBy("digest").agg(F.min("rid").alias("rid"), F.min(F.struct("k0", "id", "t1", "t2", "k1")).alias("first")).select("rid", "first"), "distinct")
+    nodes = cut(rows.drop("id", "k0", "k1", "digest").join(distinct.select("rid"), "rid", "left_semi"), "nodes")
+    drop_cut(rows)
+    plain = docs.select(text.alias("text"))
+    met = similarity.meetings(nodes)
+    pairs = similarity.candidates(closest(nodes).union(similarity.with_hubs(met)), nodes, share)
+    edges = similarity.confirmed(pairs, nodes, plain, length, share, "first")
+    groups = components(edges, "families").withColumnRenamed("node", "rid")
+    rest = similarity.confirmed(similarity.unconnected(met, nodes, groups, share), nodes, plain, length, share, "rest")
+    drop_cut(met)
+    groups = components(edges.union(rest), "links").withColumnRenamed("node", "rid")
+    chosen = distinct.join(groups, "rid", "left").groupBy(F.coalesce("component", "rid").alias("component")).agg(F.min("first").alias("first"))
+    keys = ["k0", "k1", "t1", "t2"]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    return docs.select(row, *name).join(chosen.select("first.*").select(keys), keys).dropDuplicates(keys).select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

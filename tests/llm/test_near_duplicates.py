@@ -1,9 +1,9 @@
 import random
 
-import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from isospark.llm import jaccard
+from isospark.llm import similarity, simhash
 
 from . import brute
 
@@ -35,17 +35,25 @@ def texts():
     return out
 
 
-@pytest.mark.parametrize("close", [1, 64])
-def test_one_of_each_group_of_similar_texts(spark, close, monkeypatch):
-    monkeypatch.setattr(jaccard.links, "__defaults__", (jaccard.SHINGLE, jaccard.SIMILARITY, close))
-    monkeypatch.setattr(jaccard, "ONE_OF", 2)
+def test_one_of_each_group_of_similar_texts(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "ONE_OF", 2)
     rows = list(enumerate(texts()))
     sets = {k: shingles(t) for k, t in rows}
     label = brute.components(list(sets), lambda a, b: linked(sets[a], sets[b]))
     assert len(set(label.values())) < len(rows) - 40
-    docs = spark.createDataFrame([*rows, (0, rows[0][1]), (None, "one two"), (None, "no other")], "doc_id long, text string")
-    kept = sorted((r.doc_id for r in jaccard.keep_one_each(docs).collect()), key=str)
-    assert kept == sorted([*set(label.values()), None, None], key=str)
+    docs = spark.createDataFrame([*rows, (0, rows[0][1]), (None, "one two"), (None, "no other"), (None, "no  Other")], "doc_id long, text string").withColumn("k0", F.lit("clash"))
+    kept = simhash.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    ids = sorted((r.doc_id for r in kept.collect()), key=str)
+    assert ids == sorted([*set(label.values()), None], key=str)
+    assert simhash.keep_one_each(docs.limit(0)).count() == 0
+
+
+def test_an_id_with_two_texts(spark):
+    """Only the text that represents its group stays, not every text of its id."""
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    docs = spark.createDataFrame([(1, two), (3, one), (3, two), (3, one), (4, one)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one_each(docs).collect()) == [(1, two), (3, one)]
 
 
 def test_pipeline_stage_drops_near_copies(spark):
