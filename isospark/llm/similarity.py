@@ -10,10 +10,12 @@ the closest copies alone, so the filter completes their links by these:
   shingles have one in common. Shingles are ordered by their number in a sample
   of texts, rare ones first. The sample only decides how many rows meet.
 - First each set is compared with hubs: at each shingle of its prefix, the first
-  of the sets that meet there in HUBS orders (by number and by hashes). Hubs are
-  minima, which are aggregated before they are shuffled, so a shingle of a third
-  of all texts makes no more pairs for a set than others. The pairs that are
-  confirmed, and the fingerprints' links, make components.
+  of the sets that meet there in HUBS orders: by how many prefix shingles a set
+  has in common with others (the middle of a family of copies has the most), by
+  number and by hashes. Hubs are minima, which are aggregated before they are
+  shuffled, so a shingle of a third of all texts makes no more pairs for a set
+  than others. The pairs that are confirmed, and the fingerprints' links, make
+  components.
 - Then only pairs at one shingle whose ends aren't connected yet are compared,
   which changes no component. Nothing is left out.
 - Pairs are candidates if their sizes allow the similarity, and so do 1024
@@ -44,7 +46,7 @@ ONE_OF, FREQUENT, IN_TEXTS = 16, 50_000, 4
 BROADCAST = 100_000
 
 #: Sets that a set is compared with at each shingle before components are made.
-HUBS = 4
+HUBS = 6
 #: Shingles from which a set is long, and buckets that its shingles are counted in.
 LONG, BUCKETS = 1000, 2048
 
@@ -211,9 +213,14 @@ def both_long() -> Column:
 def meetings(nodes: DataFrame) -> DataFrame:
     """(h, rid, hubs): nodes (rid, prefix) at each shingle that several have in their prefixes, and the first of them in some orders."""
     entries = nodes.select(F.explode("prefix").alias("h"), "rid")
-    first = [F.min("rid"), *[F.min(F.struct(F.xxhash64("rid", F.lit(k)), "rid")).getField("rid") for k in range(1, HUBS)]]
-    hubs = entries.groupBy("h").agg(F.array_distinct(F.array(*first)).alias("hubs"), F.min("rid").alias("low"), F.max("rid").alias("high")).where("low <> high").select("h", "hubs")
-    return cut(entries.join(hubs, "h"), "met")
+    several = entries.groupBy("h").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low <> high").select("h")
+    met = cut(entries.join(several, "h"), "shared")
+    common = met.join(met.groupBy("rid").agg(F.count("*").alias("n")), "rid")
+    order = [F.struct(-F.col("n"), "rid"), F.struct("rid"), *[F.struct(F.xxhash64("rid", F.lit(k)), "rid") for k in range(2, HUBS)]]
+    hubs = common.groupBy("h").agg(F.array_distinct(F.array(*[F.min(o).getField("rid") for o in order])).alias("hubs"))
+    out = cut(met.join(hubs, "h"), "met")
+    drop_cut(met)
+    return out
 
 
 def with_hubs(met: DataFrame) -> DataFrame:
