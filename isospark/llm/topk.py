@@ -3,22 +3,25 @@
 Components are turned to floor(1024 * x), so scores are whole numbers and exact.
 Vectors are range-partitioned by descending length (ties by id, so a vector that
 a third of the rows share is spread too) and packed into blocks; the query set
-is packed into blocks as well, and each block of queries meets each block of
-vectors once. A query's threshold is its k-th best score among the longest HEAD
-vectors. A block is left out for a query if the Cauchy-Schwarz bound of its
-longest vector stays below the threshold. Within a block, the axes are rotated
+is packed into blocks as well. A query's threshold is its k-th best score among
+the longest HEAD vectors. Only numbers and lengths of blocks are compared at
+first: a block of queries needs vectors of some least length to reach any of its
+thresholds (Cauchy-Schwarz), and meets the blocks whose longest vector has it,
+through levels of length. Vectors move only for the pairs of blocks that remain,
+each block of vectors once. Within a block, the axes are rotated
 to the singular vectors of all data, the leading axes are summed, and the rest
 is bounded by the product of the residual lengths: only vectors whose bound
 reaches the threshold are scored, in integers. Bounds carry a margin for
 floating-point rounding, so no true result is lost.
 
 Memory is bounded by the sizes of blocks. The driver sees the second moments (a
-square of the dimension) and the HEAD vectors.
+row for each dimension) and the HEAD vectors.
 
 Defined cases: vectors that are null or hold null or non-finite components, and
 rows without id, take no part; shorter vectors are as if filled up with zeros;
 repeated rows of one id and vector count once, and no vector with the query's
-own id is among its results. Input columns are chosen by name.
+own id is among its results. Components and scores outside the range of a long
+are taken as its ends. Input columns are chosen by name.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -35,6 +38,8 @@ from .common import cut, table
 SCALE, K, HEAD, BLOCK_ROWS, QUERY_ROWS = 1024, 10, 4096, 4096, 256
 #: Share of the squared length that the leading axes should hold, in a quarter to all of the axes.
 ENERGY = 0.8
+#: Parts into which blocks of one level of length are spread.
+PARTS = 8
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -54,19 +59,29 @@ def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
 
 
 def second_moments(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Sum of v v^T over all vectors, added up by Spark; one row a cell reaches the driver."""
+    """Sum of v v^T over all vectors: each task sends a row for each dimension, Spark adds them up, and dim rows reach the driver."""
 
     def run(batches):
         total = np.zeros((dim, dim))
         for batch in batches:
             m = _matrix(batch.column(0), dim).astype(float)
             total += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(total.ravel())], ["cell", "value"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim)), pa.array([r.tobytes() for r in total])], ["cell", "line"])
 
-    out = np.zeros(dim * dim)
-    for r in vectors.select("v").mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).collect():
-        out[r.cell] = r.value
-    return out.reshape(dim, dim)
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), float) for x in parts["line"])
+        return pa.table({"cell": parts["cell"].slice(0, 1), "line": pa.array([total.tobytes()], pa.binary())})
+
+    shape = "cell long, line binary"
+    out = np.zeros((dim, dim))
+    for r in vectors.select("v").mapInArrow(run, shape).groupBy("cell").applyInArrow(add, shape).collect():
+        out[r.cell] = np.frombuffer(r.line, float)
+    return out
+
+
+def level(length: Column) -> Column:
+    """Levels of length, four to a doubling, so their number is bounded."""
+    return F.floor(4 * F.log2(F.greatest(F.least(length, F.lit(1e300)), F.lit(1.0)))).cast("int")
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -110,6 +125,15 @@ def search_block(q_ids, q, floor, c_ids, c, axes, lead: int, k: int):
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
 
 
+def near_blocks(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(block, q_block) of the blocks (block, longest) that blocks of queries (q_block, q_least) can need; no vectors move."""
+    placed = blocks.withColumn("level", level(F.col("longest"))).withColumn("part", F.pmod(F.xxhash64("block"), F.lit(PARTS)).cast("int"))
+    highest = placed.agg(F.max("level")).first()[0] or 0
+    reached = asked.withColumn("level", F.explode(F.sequence(F.least(level(F.col("q_least")), F.lit(highest + 1)), F.lit(highest + 1))))
+    reached = reached.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return placed.join(reached, ["level", "part"]).where(F.col("longest") >= F.col("q_least")).select("block", "q_block")
+
+
 def top_k(df: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score. queries: a condition on column id (the rows that are queries)."""
     spark = df.sparkSession
@@ -125,17 +149,20 @@ def top_k(df: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_col
     head_ids, head = longest["id"].to_numpy(), _matrix(longest["v"].combine_chunks(), dim)
     shared = spark.sparkContext.broadcast((axes, lead, head_ids, head))
 
-    def pack(rows: int, with_floor: bool):
+    def pack(rows: int, asks: bool):
         def emit(ids, m):
-            cells = [pa.array([(TaskContext.get().partitionId() << 32) + emit.count]), pa.array([ids.tobytes()]), pa.array([m.tobytes()])]
+            lengths = np.linalg.norm(m.astype(float), axis=1)
+            cells = [pa.array([(TaskContext.get().partitionId() << 32) + emit.count]), pa.array([ids.tobytes()]), pa.array([m.tobytes()]), pa.array([lengths.max()])]
             emit.count += 1
-            if with_floor:
+            if asks:
                 _, _, h_ids, h = shared.value
                 scores = exact(m, h).astype(float)
                 scores[ids[:, None] == h_ids] = -np.inf
                 floor = np.partition(scores, len(h_ids) - k, axis=1)[:, len(h_ids) - k] if len(h_ids) >= k else np.full(len(ids), -np.inf)
-                cells.append(pa.array([floor.tobytes()]))
-            return pa.RecordBatch.from_arrays(cells, ["block", "ids", "m", "floor"][: len(cells)])
+                # The least length that reaches the floor of any query, less a margin for rounding.
+                least = np.where(floor <= 0, 0.0, np.divide(floor, lengths, out=np.full(len(floor), np.inf), where=lengths > 0)).min()
+                cells[3:] = [pa.array([floor.tobytes()]), pa.array([least * (1 - 1e-9) - 1e-6])]
+            return pa.RecordBatch.from_arrays(cells, ["block", "ids", "m", *(["floor", "least"] if asks else ["longest"])])
 
         def run(batches):
             emit.count, held_ids, held = 0, np.zeros(0, np.int64), np.zeros((0, dim), np.int64)
@@ -151,13 +178,11 @@ def top_k(df: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_col
 
     parts = max(1, -(-found.n // (BLOCK_ROWS * 4)))
     by_length = vectors.repartitionByRange(parts, F.desc("size"), "id").sortWithinPartitions(F.desc("size"), "id").select("id", "v")
-    blocks = cut(by_length.mapInArrow(pack(BLOCK_ROWS, False), "block long, ids binary, m binary"), "blocks")
+    blocks = cut(by_length.mapInArrow(pack(BLOCK_ROWS, False), "block long, ids binary, m binary, longest double"), "blocks")
     asked = vectors.where(queries).repartitionByRange(max(1, -(-found.q // (QUERY_ROWS * 4))), F.desc("size"), "id").sortWithinPartitions(F.desc("size"), "id").select("id", "v")
-    asked = cut(asked.mapInArrow(pack(QUERY_ROWS, True), "block long, ids binary, m binary, floor binary"), "queries").select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "m", "floor")])
-    # Every block of queries goes to every group of blocks: the stated query set against all rows.
-    groups = blocks.count()
-    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    pairs = blocks.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))), "part")
+    asked = cut(asked.mapInArrow(pack(QUERY_ROWS, True), "block long, ids binary, m binary, floor binary, least double"), "queries").select(*[F.col(c).alias(f"q_{c}") for c in ("block", "ids", "m", "floor", "least")])
+    pairs = cut(near_blocks(blocks.select("block", "longest"), asked.select("q_block", "q_least")), "block-pairs")
+    pairs = pairs.join(asked.drop("q_least"), "q_block").join(blocks.drop("longest"), "block")
 
     def compare(batches):
         axes, lead, _, _ = shared.value

@@ -45,6 +45,14 @@ def test_top_k(spark, monkeypatch):
     assert topk.exact(*large).tolist() == [[(1 << 63) - 1, (1 << 40) + 3]]
 
 
+def test_far_blocks_are_not_joined(spark):
+    blocks = spark.createDataFrame([(0, 1000.0), (1, 90.0), (2, 89.0), (3, 0.0)], "block long, longest double")
+    asked = spark.createDataFrame([(10, 89.5), (11, -1.0), (12, 2000.0), (13, float("inf"))], "q_block long, q_least double")
+    got = {tuple(r) for r in topk.near_blocks(blocks, asked).collect()}
+    assert got == {(0, 10), (1, 10), (0, 11), (1, 11), (2, 11), (3, 11)}
+    assert topk.near_blocks(blocks.limit(0), asked).count() == 0
+
+
 def test_ordinal_fit_orders_grades():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 3))
