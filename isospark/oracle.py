@@ -343,20 +343,41 @@ def ordered(columns: str) -> str:
 
 
 def _lod_fold() -> str:
-    begin = "s.coarse is null and n.desired <> s.level"
-    coarse = f"case when {begin} then case when n.desired < s.level then s.level else s.level + 1 end else s.coarse end"
-    fine = f"case when {begin} then case when n.desired < s.level then s.level - 1 else s.level end else s.fine end"
-    p0 = f"case when {begin} then case when n.desired < s.level then 0e0 else 1e0 end else s.progress end"
-    d0 = f"case when {begin} then case when n.desired < s.level then 1 else -1 end else s.direction end"
+    """State: the level at rest, the cell [lo, lo + 1] under way, and p of the way from its upper to its lower end."""
+    lo = "coalesce(s.lo, case when n.desired < s.level then s.level - 1 when n.desired > s.level then s.level end)"
+    p = "coalesce(s.p, case when n.desired < s.level then 0e0 else 1e0 end)"
     return f"""with recursive {POINTS},
 {ordered(', 0.02e0 + (event_id % 5) * 0.02e0 delta, cast((event_id * 7 + user_id) % 6 as integer) desired')},
-s(user_id, k, event_id, level, coarse, fine, progress, direction) as (
-  select user_id, k, event_id, desired, cast(null as integer), cast(null as integer), cast(null as double), cast(null as integer) from ev where k = 1
-  union all select user_id, k, event_id, case when p >= 1 then fine when p <= 0 then coarse else level end, case when p > 0 and p < 1 then coarse end, case when p > 0 and p < 1 then fine end,
-    case when p > 0 and p < 1 then p end, case when p > 0 and p < 1 then dir end from (
-    select *, p0 + dir * delta / 0.2e0 p from (select *, case when desired <= fine then 1 when desired >= coarse then -1 else d0 end dir from (
-      select n.user_id, n.k, n.event_id, n.delta, n.desired, s.level, {coarse} coarse, {fine} fine, {p0} p0, {d0} d0 from s join ev n on n.user_id = s.user_id and n.k = s.k + 1))))
-select event_id, level, coarse, fine, {r6('progress')}, direction from s"""
+s(user_id, k, event_id, level, lo, p, sign) as (
+  select user_id, k, event_id, desired, cast(null as integer), cast(null as double), cast(null as integer) from ev where k = 1
+  union all select user_id, k, event_id, case when q >= 1 then lo when q <= 0 then lo + 1 else level end, case when q > 0 and q < 1 then lo end, case when q > 0 and q < 1 then q end, case when q > 0 and q < 1 then sign end
+  from (select *, p + sign * delta / 0.2e0 q from (select *, case when desired > lo then -1 when lo is not null then 1 end sign from (
+    select n.user_id, n.k, n.event_id, n.delta, n.desired, s.level, {lo} lo, {p} p from s join ev n on n.user_id = s.user_id and n.k = s.k + 1))))
+select event_id, level, lo + 1 coarse, lo fine, {r6('p', 'progress')}, sign direction from s"""
+
+
+def _zoom(kind: str, amount: str, touches: str, wheel: str) -> str:
+    """Recursion over events; kind, amount (pixels or distance) and touches are of event n, z is the state before it."""
+    begins, moves = f"{kind} = 'touchstart' and {touches} = 2", f"{kind} = 'touchmove' and {touches} = 2 and z.apart > 0"
+    zoom = f"case when {kind} in ('touchstart', 'touchend') or ({kind} = 'touchmove' and not ({moves})) then z.zoom else greatest(0.1e0, least(5.5e0, case when {moves} then z.begun * {amount} / z.apart when {kind} = 'reset' then 1e0 when {kind} = 'in' then z.zoom * 1.28e0 when {kind} = 'out' then z.zoom / 1.28e0 else z.zoom * exp(-({wheel}) * 0.00125e0) end)) end"
+    return f"""with recursive {POINTS}, {ordered("")}, z(user_id, k, event_id, zoom, begun, apart) as (
+  select user_id, cast(0 as bigint), cast(null as bigint), 1e0, 1e0, 0e0 from (select distinct user_id from ev)
+  union all select n.user_id, n.k, n.event_id, {zoom}, case when {begins} then z.zoom else z.begun end, case when {begins} then {amount} when {kind} = 'touchend' and {touches} < 2 then 0e0 else z.apart end
+  from z join ev n on n.user_id = z.user_id and n.k = z.k + 1)"""
+
+
+def _scrub() -> str:
+    kind = "case n.event_type when 'view' then 'tick' when 'purchase' then 'down' when 'signup' then 'move' when 'click' then 'toggle' else case n.event_id % 3 when 0 then 'up' when 1 then 'cancel' else 'input' end end"
+    value = "floor(greatest(0e0, least(1e0, (n.value - 20e0) / 400e0)) * 1000 + 0.5e0) / 1000 * 18e0"
+    return f"""with recursive {POINTS}, {ordered("")}, doing as (select *, {kind} a, event_id % 2 p, {value} v, (event_id % 15) / 100e0 delta from ev n),
+s(user_id, k, event_id, playing, scrubbing, time, pointer) as (
+  select user_id, cast(0 as bigint), cast(null as bigint), true, false, 0e0, cast(null as bigint) from (select distinct user_id from ev)
+  union all select n.user_id, n.k, n.event_id, case n.a when 'down' then false when 'toggle' then not s.playing else s.playing end,
+    case when n.a = 'down' then true when n.a in ('up', 'cancel') and n.p = s.pointer then false else s.scrubbing end,
+    case when n.a in ('down', 'input') or (n.a = 'move' and n.p = s.pointer) then n.v when n.a = 'tick' and s.playing and not s.scrubbing then fmod(s.time + least(n.delta, 0.1e0), 18e0) else s.time end,
+    case when n.a = 'down' then n.p when n.a in ('up', 'cancel') and n.p = s.pointer then null else s.pointer end
+  from s join doing n on n.user_id = s.user_id and n.k = s.k + 1)
+select event_id, playing, scrubbing, {r6('time')} from s where k > 0"""
 
 
 def _hazard_opacity(v, onset, visible, strong_at, core, tail) -> str:
@@ -477,10 +498,25 @@ SQL = {
     "timeline_fold": f"with {POINTS}, {ordered(', (event_id % 15) / 100e0 delta')}, pl as (select *, sum(case when event_type = 'click' then 1 else 0 end) over (partition by user_id order by k) % 2 = 0 playing from ev) "
     f"select event_id, playing, {r6('sum(case when playing then least(delta, 0.1e0) else 0e0 end) over (partition by user_id order by k) % 18e0', 'time')} from pl",
     "timeline_pointer": f"with {POINTS} select event_id, {r6('floor(greatest(0e0, least(1e0, (value - 20e0) / 400e0)) * 1000 + 0.5e0) / 1000 * 18e0', 'time')}, {r6('sqrt((x - t) * (x - t) + (y - travel_x) * (y - travel_x))', 'distance')} from points",
-    "zoom_fold": f"""with recursive {POINTS}, {ordered("")}, z(user_id, k, event_id, zoom) as (
-  select user_id, cast(0 as bigint), cast(null as bigint), 1e0 from (select distinct user_id from ev)
-  union all select n.user_id, n.k, n.event_id, greatest(0.1e0, least(5.5e0, case n.event_type when 'error' then 1e0 when 'signup' then zoom * 1.28e0 when 'purchase' then zoom * (1e0 / 1.28e0)
-    when 'view' then zoom * exp(-((n.value - 250e0) * 4e0) * 0.00125e0) else zoom * (0.5e0 + (n.event_id % 100) / 100e0) end)) from z join ev n on n.user_id = z.user_id and n.k = z.k + 1)
-select event_id, {r6('zoom')} from z where k > 0""",
+    "zoom_fold": _zoom(
+        "(case n.event_type when 'signup' then 'in' when 'purchase' then 'out' when 'error' then 'reset' when 'view' then 'wheel' else case n.event_id % 7 when 0 then 'touchstart' when 6 then 'touchend' else 'touchmove' end end)",
+        "(40e0 + n.event_id % 200)", "(case when n.event_id % 5 < 4 then 2 else 1 end)", "(n.value - 250e0) * 4e0",
+    ) + f" select event_id, {r6('zoom')} from z where k > 0",
+    "pinch_fold": _zoom(
+        "(case n.event_id % 8 when 0 then 'touchstart' when 6 then 'touchend' when 7 then 'wheel' else 'touchmove' end)", "cast(n.event_id * 13 % 300 as double)", "(case when n.event_id % 11 < 9 then 2 else 1 end)", "n.value - 250e0",
+    ) + f" select event_id, {r6('zoom')}, {r6('begun', 'start_zoom')}, {r6('apart', 'start_distance')} from z where k > 0",
+    "scrub_fold": _scrub(),
+    "mode_fold": f"with {POINTS}, {ordered('')}, se as (select *, case when event_type = 'click' then case event_id % 4 when 0 then 'dots' when 1 then 'squares' when 2 then 'blur' else 'areas' end end m, case when event_type = 'signup' then event_id % 2 = 0 end sm from ev) "
+    "select event_id, coalesce(last_value(m ignore nulls) over (partition by user_id order by k), 'dots') render_mode, coalesce(last_value(sm ignore nulls) over (partition by user_id order by k), false) area_smooth from se",
+    "canvas_size": "with s as (select c_custkey frame_id, greatest(1, c_custkey * 37 % 1500 - 40) width, greatest(1, c_custkey * 53 % 900 - 20) height, case when c_custkey % 5 = 0 then 1e0 else (c_custkey % 5) / 2e0 end dpr from customer) "
+    "select frame_id, width, height, cast(floor(width * dpr + 0.5e0) as bigint) canvas_width, cast(floor(height * dpr + 0.5e0) as bigint) canvas_height from s",
     "lod_transition_fold": _lod_fold(),
 }
+
+#: Frames of region at level fine, as render_dots and render_squares draw those with even keys; the others are between levels.
+AT_FINE = REGION[: REGION.rindex("cast(floor(")] + "fine as lod from framed)"
+SQL["render_dots"] = f"""select * from ({SQL['dots_layers'].replace(REGION, AT_FINE)}) where frame_id % 2 = 0
+union all by name select *, case layer when 0 then 'rain' else 'strong' end kind, case layer when 0 then '#0090FF' else '#0000FF' end color from ({SQL['dots_morph']}) where frame_id % 2 = 1
+union all by name select * exclude (kind), 'hazard' kind, 2 layer from ({SQL['hazard_morph']}) where frame_id % 2 = 1"""
+SQL["render_squares"] = f"""select * from ({SQL['squares_cells'].replace(REGION, AT_FINE)}) where frame_id % 2 = 0
+union all by name select *, {r6("power(2e0, frame_id % 3) / 128 * 828 * (0.4e0 + frame_id * 0.3e0) + 0.5e0", "size")} from ({SQL['squares_morph']}) where frame_id % 2 = 1"""

@@ -4,6 +4,8 @@
 BASE_GRID = 128
 LOOP_SECONDS = 18.0
 MIN_ZOOM, MAX_ZOOM = 0.1, 5.5
+#: Factor of a zoom step, zoom per wheel pixel (natural logarithm).
+ZOOM_STEP, ZOOM_PIXEL = 1.28, 0.00125
 TARGET_SPACING = 11.5
 MORPH_SECONDS = 0.2
 MAX_DELTA = 0.1

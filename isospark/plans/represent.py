@@ -119,6 +119,18 @@ def squares_morph(morph: DataFrame) -> DataFrame:
     return both.select("frame_id", "i", "j", (F.col("sx") - spacing / 2).alias("x0"), (F.col("sy") - spacing / 2).alias("y0"), *[m.cast("int").alias(c) for m, c in zip(mixed, "rgb", strict=True)])
 
 
+def dots_between(morph: DataFrame) -> DataFrame:
+    """Circles and symbols of a transition, with the columns of dots."""
+    symbols = hazard_morph(morph).withColumns({"kind": F.lit("hazard"), "layer": F.lit(2)})
+    return dots_morph(morph).unionByName(symbols)
+
+
+def squares_between(morph: DataFrame) -> DataFrame:
+    """Cells of a transition, with the columns of squares."""
+    sized = morph.select("frame_id", "i", "j", (F.col("spacing") + 0.5).alias("size"))
+    return squares_morph(morph).join(sized, ["frame_id", "i", "j"])
+
+
 def smooth_grid(frames: DataFrame) -> DataFrame:
     """frame_id, row, col and smoothed channels of each frame's grid; frames have grid_bounds()."""
     grid = with_field(lattice.base_grid(with_time(frames))).select("frame_id", "row", "col", *P.CHANNELS)
@@ -208,11 +220,18 @@ def areas(loops: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def render(frames: DataFrame, mode: str, smooth: bool = False, bands: DataFrame | None = None) -> DataFrame:
-    """One representation of frames: dots, squares, blur or areas."""
+    """One representation of frames: dots, squares, blur or areas.
+
+    Dots and squares of frames that are between levels (fine and progress not
+    null) are those of the transition.
+    """
+    still, moving = (frames.where("fine is null"), frames.where("fine is not null")) if "fine" in frames.columns else (frames, None)
     if mode == "dots":
-        return dots(samples(frames))
+        out = dots(samples(still))
+        return out if moving is None else out.unionByName(dots_between(morph_samples(moving)))
     if mode == "squares":
-        return squares(samples(frames))
+        out = squares(samples(still))
+        return out if moving is None else out.unionByName(squares_between(morph_samples(moving)))
     if mode == "blur":
         return blur_pixels(raster(frames))
     if mode != "areas":

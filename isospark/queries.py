@@ -305,10 +305,57 @@ def timeline_pointer(spark, d):
 
 
 def zoom_fold(spark, d):
-    kind = reduce(lambda w, p: w.when(F.col("event_type") == p[0], p[1]), [("signup", "in"), ("purchase", "out"), ("error", "reset"), ("view", "wheel")], F.when(F.col("event_type") == "click", "pinch"))
-    amount = F.when(F.col("event_type") == "view", (F.col("value") - 250) * 4).otherwise(0.5 + (F.col("event_id") % 100) / 100)
-    events = event_points(spark, d).withColumns({"action": kind, "amount": amount})
-    return session.zoom_fold(events, "user_id", ["ts", "event_id"], ["event_id"], "event_id long, zoom double").select("event_id", r6("zoom"))
+    n = F.col("event_id")
+    touch = F.when(n % 7 == 0, "touchstart").when(n % 7 == 6, "touchend").otherwise("touchmove")
+    kind = reduce(lambda w, p: w.when(F.col("event_type") == p[0], p[1]), [("signup", "in"), ("purchase", "out"), ("error", "reset"), ("view", "wheel")], F.when(F.col("event_type") == "click", touch))
+    amount = F.when(F.col("event_type") == "view", (F.col("value") - 250) * 4).otherwise((40 + n % 200).cast("double"))
+    events = event_points(spark, d).withColumns({"action": kind, "amount": amount, "touches": F.when(n % 5 < 4, 2).otherwise(1)})
+    return session.zoom_fold(events, "user_id", ["ts", "event_id"], ["event_id"], "event_id long").select("event_id", r6("zoom"))
+
+
+def pinch_fold(spark, d):
+    n = F.col("event_id")
+    kind = F.when(n % 8 == 0, "touchstart").when(n % 8 == 6, "touchend").when(n % 8 == 7, "wheel").otherwise("touchmove")
+    amount = F.when(kind == "wheel", F.col("value") - 250).otherwise((n * 13 % 300).cast("double"))
+    events = event_points(spark, d).withColumns({"action": kind, "amount": amount, "touches": F.when(n % 11 < 9, 2).otherwise(1)})
+    out = session.zoom_fold(events, "user_id", ["ts", "event_id"], ["event_id"], "event_id long")
+    return out.select("event_id", r6("zoom"), r6("start_zoom"), r6("start_distance"))
+
+
+def scrub_fold(spark, d):
+    n = F.col("event_id")
+    last = F.when(n % 3 == 0, "up").when(n % 3 == 1, "cancel").otherwise("input")
+    action = reduce(lambda w, p: w.when(F.col("event_type") == p[0], p[1]), [("view", "tick"), ("purchase", "down"), ("signup", "move"), ("error", last)], F.when(F.col("event_type") == "click", "toggle"))
+    position = session.timeline_position(F.col("value"), F.lit(20.0), F.lit(400.0))
+    out = session.scrub(event_points(spark, d), "user_id", ["ts", "event_id"], action, n % 2, position, (n % 15) / 100)
+    return out.select("event_id", "playing", "scrubbing", r6("time"))
+
+
+def mode_fold(spark, d):
+    n = F.col("event_id")
+    mode = F.when(F.col("event_type") == "click", F.element_at(F.array(*map(F.lit, ("dots", "squares", "blur", "areas"))), (n % 4 + 1).cast("int")))
+    out = session.modes(event_points(spark, d), "user_id", ["ts", "event_id"], mode, F.when(F.col("event_type") == "signup", n % 2 == 0))
+    return out.select("event_id", "render_mode", "area_smooth")
+
+
+def canvas_size(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("frame_id"), *[c.alias(name) for name, c in FR.canvas_size(k * 37 % 1500 - 40, k * 53 % 900 - 20, (k % 5) / 2).items()])
+
+
+def _moving_frames(spark, d):
+    """The frames of region, every second one between levels."""
+    moving = F.col("r_regionkey") % 2 == 1
+    states = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("frame_id"), (F.col("r_regionkey") % 3).cast("int").alias("level"), *[F.when(moving, c).alias(n) for n, c in (("fine", (F.col("r_regionkey") % 3).cast("int")), ("progress", (F.col("r_regionkey") + 1) / 7))])
+    return FR.with_transition(region_frames(spark, d), states)
+
+
+def render_dots(spark, d):
+    return R.render(_moving_frames(spark, d), "dots").select("frame_id", "layer", "kind", "i", "j", "color", *[r6(c) for c in ("sx", "sy", "radius")])
+
+
+def render_squares(spark, d):
+    return R.render(_moving_frames(spark, d), "squares").select("frame_id", "i", "j", "r", "g", "b", *[r6(c) for c in ("x0", "y0", "size")])
 
 
 def lod_transition_fold(spark, d):
@@ -321,6 +368,6 @@ NAMES = (
     "events_hazard_counts field_lattice lattice_band_counts point_field_lineitem strength hazard_state dot_radius strong_rain square_color hazard_symbol symbol_vertices band_colors blur_opacity "
     "viewport_bounds travel_path select_lod lod_sample lod_hazard_group lod_parent_join dots_layers squares_cells dots_morph hazard_morph squares_morph gauss_smooth box_blur box_blur_3pass "
     "spline_raster spline_lattice spline_points blur_raster coverage_histogram coverage_threshold coverage_bands contour_cells contour_segments contour_loops area_layers area_layers_smooth "
-    "timeline_fold timeline_pointer zoom_fold lod_transition_fold"
+    "timeline_fold timeline_pointer zoom_fold pinch_fold scrub_fold mode_fold canvas_size render_dots render_squares lod_transition_fold"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

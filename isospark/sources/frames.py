@@ -38,5 +38,17 @@ def with_viewport(frames: DataFrame) -> DataFrame:
     )
 
 
+def canvas_size(width: Column, height: Column, ratio: Column) -> dict[str, Column]:
+    """Sizes of a view and of its canvas: one pixel at least, times the device's ratio (none or zero counts as one)."""
+    w, h, dpr = F.greatest(F.lit(1), width), F.greatest(F.lit(1), height), F.when(ratio != 0, ratio).otherwise(1.0)
+    pixels = lambda size: F.floor(size * dpr + 0.5)
+    return {"width": w, "height": h, "canvas_width": pixels(w), "canvas_height": pixels(h)}
+
+
+def with_transition(frames: DataFrame, states: DataFrame) -> DataFrame:
+    """frames drawn at the level and transition (frame_id, level, fine, progress) of their session's state."""
+    return frames.drop("fine", "progress").join(states.select("frame_id", "level", "fine", "progress"), "frame_id").withColumn("lod", F.col("level")).drop("level")
+
+
 def world_to_screen(world: Column, center: Column) -> Column:
     return center + (world - 0.5) * F.col("field_pixels") * F.col("zoom")

@@ -214,10 +214,36 @@ def test_lod_trace_batch_and_stream(spark, tmp_path):
     assert sorted(tuple(r)[1:] for r in spark.table("lod_states").collect()) == rows
 
 
-def test_zoom_and_clock(spark):
-    events = spark.createDataFrame([(1, k, a, x) for k, (a, x) in enumerate([("in", 0.0), ("pinch", 9.0), ("out", 0.0), ("wheel", 100.0), ("reset", 0.0), ("pinch", 0.01)])], "session long, seq long, action string, amount double")
-    got = [r.zoom for r in session.zoom_fold(events, "session", ["seq"], ["seq"], "seq long, zoom double").orderBy("seq").collect()]
-    assert got == pytest.approx([1.28, 5.5, 5.5 / 1.28, 5.5 / 1.28 * math.exp(-0.125), 1.0, 0.1])
+def test_zoom_and_pinch(spark):
+    """A pinch scales the zoom of its start, whatever other events do to the zoom meanwhile."""
+    steps = [("in", 0.0, 0), ("touchmove", 50.0, 2), ("touchstart", 100.0, 2), ("touchmove", 200.0, 2), ("touchmove", 150.0, 2), ("wheel", 100.0, 0), ("touchmove", 50.0, 2), ("touchstart", 7.0, 1), ("touchend", 0.0, 1), ("touchmove", 900.0, 2), ("reset", 0.0, 0), ("touchstart", 10.0, 2), ("touchmove", 1000.0, 2), ("touchmove", 0.1, 2), ("out", 0.0, 0)]
+    events = spark.createDataFrame([(1, k, *x) for k, x in enumerate(steps)], "session long, seq long, action string, amount double, touches int")
+    got = [r.zoom for r in session.zoom_fold(events, "session", ["seq"], ["seq"], "seq long").orderBy("seq").collect()]
+    assert got == pytest.approx([1.28, 1.28, 1.28, 2.56, 1.92, 1.92 * math.exp(-0.125), 0.64, 0.64, 0.64, 0.64, 1.0, 1.0, 5.5, 0.1, 0.1])
+
+
+def test_scrub_and_modes(spark):
+    steps = [("tick", 0, 0.0, 0.05), ("down", 1, 9.0, 0.0), ("tick", 0, 0.0, 0.05), ("move", 2, 1.0, 0.0), ("move", 1, 12.0, 0.0), ("toggle", 0, 0.0, 0.0), ("tick", 0, 0.0, 0.05), ("up", 2, 0.0, 0.0), ("cancel", 1, 0.0, 0.0), ("tick", 0, 0.0, 0.5), ("move", 1, 3.0, 0.0), ("input", 0, 18.0, 0.0), ("tick", 0, 0.0, 0.05), ("up", 1, 0.0, 0.0)]
+    events = spark.createDataFrame([(1, k, *x) for k, x in enumerate(steps)], "session long, seq long, action string, pointer int, position double, delta double")
+    rows = session.scrub(events, "session", ["seq"], F.col("action"), F.col("pointer"), F.col("position"), F.col("delta")).orderBy("seq").collect()
+    assert [r.time for r in rows] == pytest.approx([0.05, 9, 9, 9, 12, 12, 12, 12, 12, 12.1, 12.1, 18, 0.05, 0.05])
+    assert [r.playing for r in rows] == [True] + [False] * 4 + [True] * 9
+    assert [r.scrubbing for r in rows] == [False] + [True] * 7 + [False] * 6
+    out = session.modes(events, "session", ["seq"], F.when(F.col("action") == "up", "areas"), F.when(F.col("seq") == 2, True)).orderBy("seq").collect()
+    assert [r.render_mode for r in out] == ["dots"] * 7 + ["areas"] * 7 and [r.area_smooth for r in out] == [False] * 2 + [True] * 12
+
+
+def test_render_between_levels(spark):
+    still = frames(spark)
+    states = spark.createDataFrame([(0, 2, 1, 0.5)], "frame_id long, level int, fine int, progress double")
+    moving = FR.with_transition(still, states)
+    for mode, columns in (("dots", 9), ("squares", 9)):
+        out = R.render(moving, mode)
+        assert len(out.columns) == columns and out.columns == R.render(still, mode).columns and out.count() > 0
+        assert R.render(FR.with_transition(still, states.withColumn("fine", F.lit(None).cast("int"))), mode).count() > 0
+
+
+def test_clock(spark):
     ticks = spark.createDataFrame([(1, k, 0.5 if k % 2 else 0.05, k == 5) for k in range(400)], "session long, seq long, delta double, flip boolean")
     out = session.clock(ticks, "session", ["seq"], "delta", F.col("flip")).orderBy("seq").collect()
     assert out[4].time == pytest.approx(0.35) and out[399].time == out[4].time and not out[5].playing
