@@ -58,14 +58,15 @@ def as_bytes(array: pa.Array, step: int = 256):
         yield from array.slice(k, step).cast(kind).to_pylist()
 
 
-#: What a Python worker keeps between tasks: the state of the operator that ran last, and no other's.
+#: What a Python worker keeps between tasks: states of the operator that ran last.
 _state: dict = {}
 
 
-def worker_state(key, make):
-    """make(), or what it gave before if this worker has run nothing else since."""
+def worker_state(key: tuple, make, kept: int = 1):
+    """make(), or what it gave before if this worker still keeps it: up to `kept` states of one operator (key[0]), and no other's."""
     if key not in _state:
-        release()
+        if len(_state) >= kept or any(k[0] != key[0] for k in _state):
+            release()
         _state[key] = make()
     return _state[key]
 

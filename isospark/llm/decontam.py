@@ -6,14 +6,16 @@ a document is normalised to the same form, so matches keep to whole words. The
 search looks at the block of BLOCK bytes that ends at the current position: the
 shift table says how far the window may jump without passing an occurrence (a
 block that no pattern has in its first m bytes jumps m - BLOCK + 1 bytes, m the
-shortest pattern). Where the shift is zero, the block's bucket gives the
-patterns whose first m bytes end with it, and direct comparison confirms.
+shortest pattern). The table is an array of fixed size addressed by a hash of the
+block; blocks with one address share the smaller shift, which is always safe.
+Where the shift is zero, the block's bucket gives the patterns whose first m
+bytes end with it, and direct comparison confirms.
 
 The search is a column function: texts of documents are read once, nothing is
 shuffled, and a document's size bounds a task's memory. The patterns go to the
-executors as broadcasts of at most BLOCK_BYTES of item text each; a larger
-benchmark becomes several broadcasts whose tables a worker builds one after the
-other, so the size of the benchmark is not limited by memory.
+executors as broadcasts of at most BLOCK_BYTES of item text each (a longer item
+alone). A worker keeps the tables of KEPT of them; with more, it builds tables
+again for each batch, so the benchmark's size is not limited by its memory.
 
 Defined cases: a null or wordless document has no words and is clean; a null or
 wordless item has no window; repeated items count each, repeated rows are
@@ -36,8 +38,10 @@ from .common import as_bytes, table, worker_state
 
 #: Words of a window, and bytes of a block of the shift table.
 WINDOW, BLOCK = 13, 10
-#: Bytes of benchmark text in one broadcast.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text in one broadcast, whose tables take about 50 times that (measured: 52 MB); tables that a worker keeps.
+BLOCK_BYTES, KEPT = 1 << 20, 3
+#: Addresses of the shift table (a power of two, a byte each), and the longest jump.
+ADDRESSES, FARTHEST = 1 << 22, 255
 #: A document is contaminated if at least one of so many words is hit.
 SHARE = 20
 
@@ -55,45 +59,47 @@ class WuManber:
     """Finds all windows of a set of items in normalised texts."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
-        self.patterns: dict[bytes, list[str]] = {}
-        self.sizes: dict[bytes, int] = {}
+        self.patterns: dict[bytes, tuple] = {}
+        full, short = [], []
         for item, text in items:
             words = words_of(text)
             for k in range(max(1, len(words) - window + 1) if words else 0):
                 part = words[k : k + window]
                 pattern = b" %s " % b" ".join(part)
-                self.patterns.setdefault(pattern, []).append(item)
-                self.sizes[pattern] = len(part)
+                known = self.patterns.get(pattern, ())
+                if not known:
+                    (full if len(part) == window else short).append(pattern)
+                if item not in known:
+                    self.patterns[pattern] = (*known, item)
         # Short items would shorten every jump, so they get tables of their own.
-        full = [p for p in self.patterns if self.sizes[p] == window]
-        short = [p for p in self.patterns if self.sizes[p] < window]
         self.tables = [self.tables_of(group) for group in (full, short) if group]
 
     def tables_of(self, patterns: list[bytes]) -> tuple:
         m = min(map(len, patterns))
         block = min(BLOCK, m)
-        shift: dict[bytes, int] = {}
+        shift = bytearray([min(m - block + 1, FARTHEST)]) * ADDRESSES
         bucket: dict[bytes, list[bytes]] = {}
         for p in patterns:
             for end in range(block, m + 1):
-                piece = p[end - block : end]
-                if shift.get(piece, m) > m - end:
-                    shift[piece] = m - end
+                at = hash(p[end - block : end]) % ADDRESSES
+                if shift[at] > m - end:
+                    shift[at] = m - end
             bucket.setdefault(p[m - block : m], []).append(p)
-        return m, block, m - block + 1, shift, bucket
+        return m, block, shift, bucket
 
     def search(self, text: bytes) -> list[tuple[int, bytes]]:
         """(start, pattern) of each occurrence in a normalised text."""
         found = []
-        for m, block, jump, shift, bucket in self.tables:
-            get, end, n = shift.get, m, len(text)
+        for m, block, shift, bucket in self.tables:
+            end, n = m, len(text)
             while end <= n:
-                step = get(text[end - block : end], jump)
+                piece = text[end - block : end]
+                step = shift[hash(piece) % ADDRESSES]
                 if step:
                     end += step
                     continue
                 start = end - m
-                for p in bucket[text[end - block : end]]:
+                for p in bucket.get(piece, ()):
                     if text.startswith(p, start):
                         found.append((start, p))
                 end += 1
@@ -111,13 +117,13 @@ class WuManber:
         first = np.searchsorted(spaces, [start for start, _ in found])
         marks = np.zeros(len(words) + 1, np.int64)
         np.add.at(marks, first, 1)
-        np.add.at(marks, first + np.array([self.sizes[p] for _, p in found]), -1)
+        np.add.at(marks, first + np.array([p.count(b" ") - 1 for _, p in found]), -1)
         return np.flatnonzero(np.cumsum(marks[:-1]) > 0), {i for _, p in found for i in self.patterns[p] if i is not None}
 
 
 def _searcher(block) -> WuManber:
-    """The tables of a broadcast; a worker keeps one set at a time."""
-    return worker_state(("wu-manber", getattr(block, "_path", None) or id(block)), lambda: WuManber(block.value))
+    """The tables of a broadcast."""
+    return worker_state(("wu-manber", getattr(block, "_path", None) or id(block)), lambda: WuManber(block.value), KEPT)
 
 
 class Benchmark:
