@@ -3,12 +3,16 @@
 Every kind has an expression; a proposal must pass its check (Luhn for cards,
 mod-97 for bank accounts, ranges and digit counts for others), and words near it
 raise its score. Base kinds are kept whatever their score; the method's own
-kinds (iban, id_number) need MIN_SCORE, so a bare id number counts only beside a
-word that speaks of one.
+kinds (iban, id_number, secret) need MIN_SCORE, so a bare id number counts only
+beside a word that speaks of one. Secrets are runs of 20 characters or more with
+letters, digits and VARIETY different characters at least (words and numbers
+have fewer), beside a word such as token, password or key; the common forms of
+access keys count without one.
 
 Everything is DataFrame functions of one column, evaluated row by row: nothing
 is shuffled. Places come from splitting the text at the same expression: lengths
-of the gaps and of the matches add up to code-point offsets. The expressions are
+of the gaps and of the matches add up to code-point offsets, by sums over groups of
+matches, then within groups, so that n matches cost n^1.5 steps. The expressions are
 possessive and start only where a run of their characters starts, or where the
 match before ended, so long runs cost linear time; the matches are the leftmost
 non-overlapping ones of the plain expressions.
@@ -26,6 +30,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 MIN_SCORE, NEAR = 0.5, 40
+#: Different characters of a secret.
+VARIETY = 9
+#: How access keys of well-known services begin.
+ACCESS_KEY = "^(?:AKIA|ASIA|gh[pousr]_|github_pat_|xox[abprs]-|sk-|sk_live_|glpat-|eyJ)"
 
 #: Characters of an account number by country (IBAN registry); other codes may have any length.
 IBAN_SIZES = {
@@ -42,6 +50,7 @@ KINDS = {
     "card": (r"[0-9]([\x20-]?[0-9])+", r"[0-9](?:[\x20-]?[0-9]){12,}+", 0.7, "card|visa|credit|payment"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile"),
     "iban": (r"", rf"(?<![A-Za-z0-9])(?:{SIZED}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])", 0.8, "iban|bank|account"),
+    "secret": (r"", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+", 0.3, "token|secret|password|passwd|pwd|key|apikey|api_key|access_key|secret_key|auth|credential|credentials|bearer"),
     "id_number": (r"(?:^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?:[^0-9-]|$)", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.2, "ssn|social security|id number|tax id"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -74,26 +83,38 @@ def confirmed(kind: str, match: Column) -> Column:
         "card": lambda: n.between(13, 19) & F.call_function("luhn_check", _digits(match)),
         "phone": lambda: n.between(9, 15),
         "iban": lambda: mod97(match),
+        "secret": lambda: match.rlike("[0-9]") & match.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(match, ""))) >= VARIETY),
         "id_number": lambda: ~match.rlike("^(?:000|666|9)|-00-|-0000$"),
     }[kind]()
 
 
+def in_groups(items: Column, amount, emit, kind: str) -> Column:
+    """emit(item, sum of amounts up to and with it) of each item of an array; sums run over groups of its square root."""
+    n = F.size(items)
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    zero, none = F.lit(0).cast("bigint"), lambda of: F.array().cast(f"array<{of}>")
+    groups = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), width), lambda at: F.slice(items, at + 1, width))
+    totals = F.transform(groups, lambda g: F.aggregate(g, zero, lambda s, x: s + amount(x)))
+    starts = F.aggregate(totals, F.struct(zero.alias("at"), none("bigint").alias("out")), lambda s, t: F.struct((s.at + t).alias("at"), F.concat(s.out, F.array(s.at)).alias("out")), lambda s: s.out)
+
+    def within(pair: Column) -> Column:
+        first = F.struct(pair.start.alias("at"), none(kind).alias("out"))
+        return F.aggregate(pair.g, first, lambda s, x: F.struct((s.at + amount(x)).alias("at"), F.concat(s.out, F.array(emit(x, s.at + amount(x)))).alias("out")), lambda s: s.out)
+
+    return F.flatten(F.transform(F.arrays_zip(groups.alias("g"), starts.alias("start")), within))
+
+
 def _spans(kind: str, text: Column, matches: Column) -> Column:
     """The confirmed matches of one kind with places and scores; matches is the column of what the expression found."""
     _, pattern, alone, words = KINDS[kind]
     gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<m:string,start:bigint,stop:bigint>>").alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        begin = state.at + F.length(pair.gap)
-        end = begin + F.length(pair.m)
-        return F.struct(end.alias("at"), F.concat(state.out, F.array(F.struct(pair.m.alias("m"), begin.alias("start"), end.alias("stop")))).alias("out"))
-
-    placed = F.aggregate(F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("m")), start, step, lambda s: s.out)
+    sized = F.transform(F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("m")), lambda p: F.struct(p.m.alias("m"), F.length(p.gap).cast("bigint").alias("gap"), F.length(p.m).cast("bigint").alias("size")))
+    placed = in_groups(sized, lambda p: p.gap + p.size, lambda p, end: F.struct(p.m.alias("m"), (end - p.size).alias("start"), end.alias("stop")), "struct<m:string,start:bigint,stop:bigint>")
 
     def scored(s: Column) -> Column:
         near = F.lower(F.concat_ws(" ", F.substring(text, F.greatest(s.start - NEAR + 1, F.lit(1)).cast("int"), F.least(s.start, F.lit(NEAR)).cast("int")), F.substring(text, (s.stop + 1).cast("int"), F.lit(NEAR))))
-        return F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.stop.alias("stop"), F.when(near.rlike(rf"\b(?:{words})\b"), alone + 0.3).otherwise(alone).cast("double").alias("score"))
+        beside = near.rlike(rf"\b(?:{words})\b") | (s.m.rlike(ACCESS_KEY) if kind == "secret" else F.lit(False))
+        return F.struct(F.lit(kind).alias("kind"), s.start.alias("start"), s.stop.alias("stop"), F.when(beside, alone + 0.3).otherwise(alone).cast("double").alias("score"))
 
     found = F.transform(F.filter(placed, lambda s: confirmed(kind, s.m)), scored)
     if kind not in BASE:
@@ -114,14 +135,16 @@ def with_spans(docs: DataFrame, text_col: str, out: str) -> DataFrame:
 def mask(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans by the first one's."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.stop.alias("stop"), s.kind.alias("kind"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
         kept = F.substring(text, (state.at + 1).cast("int"), (s.start - state.at).cast("int"))
-        masked = F.concat(state.out, kept, F.lit("["), F.upper(s.kind), F.lit("]"))
+        masked = F.concat(state.out, F.array(kept, F.concat(F.lit("["), F.upper(s.kind), F.lit("]"))))
         return F.struct(F.greatest(state.at, s.stop).alias("at"), F.when(s.start >= state.at, masked).otherwise(state.out).alias("out"))
 
-    covered = F.aggregate(ordered, start, step, lambda s: F.concat(s.out, F.substr(text, (s.at + 1).cast("int"))))
+    # Pieces are joined once at the end, so the text isn't copied for each span.
+    covered = F.aggregate(ordered, start, step, lambda s: F.concat(F.array_join(s.out, ""), F.substr(text, (s.at + 1).cast("int"))))
     return F.when(F.size(spans) > 0, covered).otherwise(text)
 
 

@@ -1,12 +1,12 @@
-import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 
-from isospark.llm import bpe, decontam, licenses, pii, simhash, urls
+from isospark.llm import bpe, decontam, licenses, pii, simhash, tokens, urls
 
 from . import brute
 
@@ -148,6 +148,10 @@ def test_pii(spark, docs):
     got = {r.doc_id: [(s.kind, s.start, s.stop) for s in r.spans] for r in pii.find_pii(everything).collect()}
     for k, t in enumerate(texts):
         assert [s for s in got[100 + k] if s[0] in pii.BASE] == brute.pii(t)
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    secrets = [f'x token = "{key}" y', f"commit {key}", "password: " + "a1" * 20, "key " + "x" * 30, "é ghp_16C7e42F292c6912E7710c838347Ae178B4a", "my secret keyword-" + "z" * 20, f"api_key={key[:19]}"]
+    found = {r.doc_id: [(s.start, s.stop) for s in r.spans if s.kind == "secret"] for r in pii.find_pii(spark.createDataFrame(list(enumerate(secrets)), "doc_id long, text string")).collect()}
+    assert found == {0: [(11, 51)], 1: [], 2: [], 3: [], 4: [(2, 42)], 5: [], 6: []}
     assert [s[0] for s in got[105]].count("iban") == 1 and ("id_number", 4, 15) in got[106] and not got[107]
     masked = {r.doc_id: r for r in pii.mask_pii(everything.withColumn("n_chars", everything.doc_id)).collect()}
     assert masked[102].text == "🎉 é [EMAIL] +1" and masked[102].n_chars == len(masked[102].text)
@@ -165,3 +169,40 @@ def test_url_rules(spark):
     assert [got[k].rule for k in range(len(cases))] == list(cases.values())
     assert (got[99].host, got[99].path, got[99].verdict) == ("", "", "allow") and got[None].verdict == "block" and got[98].verdict == "allow"
     assert urls.judge_urls(pages.limit(0), urls.BASE_RULES).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    texts = [" ".join(f"é{k}@x.yz" for k in range(n)) for n in (1, 2, 3, 4, 5, 17, 2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(df).collect():
+        assert [(s.kind, s.start, s.stop) for s in r.spans if s.kind in pii.BASE] == brute.pii(texts[r.doc_id])
+    for r in pii.mask_pii(df).collect():
+        assert r.text == re.sub(r"[0-9]+@x.yz", "[EMAIL]", texts[r.doc_id])
+
+
+def test_results_of_the_queries(spark, docs, tmp_path):
+    """The columns that op1, op2 and op8 return, on whole tables, against plain versions."""
+    rows = [(k, t) for k, t in enumerate(EDGE)] + [(50, "write to a.b@example.org, 10.0.0.1, 4845168114407329 or +1 (017) 555-7713 🎉 x@y.zz")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sf, texts = str(tmp_path), {k: t or "" for k, t in rows}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    for r in bpe.op1_bpe(spark, sf).collect():
+        ids = library.encode_ordinary(texts[r.doc_id])
+        assert tuple(r) == (r.doc_id, len(ids), brute.sha(",".join(map(str, ids))), brute.sha(texts[r.doc_id]))
+    prints = {k: brute.simhash(t) for k, t in texts.items()}
+    label = brute.components(list(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
+    assert {tuple(r) for r in simhash.op2_simhash(spark, sf).collect()} == {(k, f"{prints[k]:016x}", label[k]) for k in texts}
+    for r in pii.op8_pii(spark, sf).collect():
+        found = brute.pii(texts[r.doc_id])
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in found) for k in pii.BASE]
+        assert r.base_sha256 == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in found))
+        assert {f"{k}:{a}:{b}" for k, a, b in found} <= set(r.spans.split(","))
+    sizes = tokens.op6_token_counts(spark, sf)
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    assert {tuple(r) for r in sizes.collect()} == {(k, len(plain.encode_ordinary(t))) for k, t in texts.items()}
+
+
+def test_bytes_that_are_not_utf8(spark):
+    df = spark.sql("select 1 doc_id, cast(x'61ff20c328c3a9' as string) text union all select 2, 'plain'")
+    got = {r.doc_id: bytes(r.decoded) for r in bpe.bpe_round_trip(df, bpe.multi_50k(spark)).collect()}
+    assert got == {1: b"a\xff \xc3(\xc3\xa9", 2: b"plain"}
