@@ -7,15 +7,21 @@ one of smallest hash (leftmost if equal), and the suffix at that gram is
 retained, about one of 15 positions. Two equal windows select the same place, so
 no repeat is lost.
 
-1. Retained suffixes are ordered by their first KEY words, which every window
-   that selects them contains. Neighbours in that order with equal keys but from
-   different texts go on; all others are unique and are dropped. (Keys are
-   hashes and the order is kept by grouping, so equal neighbours meet wherever
-   they stand and a frequent passage is summed up before it is shuffled.)
+1. Retained suffixes with equal first KEY words, which every window that selects
+   them contains, are brought together by a hash of those words. Suffixes alone
+   with their words are dropped (a collision only keeps one too many).
 2. The suffixes that remain are extended left and right in their texts to the
-   windows that selected them, and those windows are compared in the same way.
+   windows that selected them, and windows with equal words are brought together,
+   by 128 bits of hash.
 3. Windows confirmed side by side merge into maximal spans.
 
+Steps 1 and 2 group equal neighbours instead of sorting all suffixes and
+comparing each with the next. In a sorted array the next suffix shares most words
+to the right, another one most words to the left, and a third may be the only one
+that shares a whole window around the retained place; comparing neighbours alone
+would lose it. Grouping finds every such window, and a frequent passage is summed
+up before it is shuffled.
+
 Exact copies are the same text, so they don't confirm each other's windows; each
 is reported as one span that covers it. The order of step 1 holds 12 bytes a
 retained suffix; texts are shuffled once, in step 2.
@@ -41,16 +47,16 @@ from .decontam import words_of
 #: Words of a repeat, of a gram, grams among which a window selects, words of a key (a window's rest).
 LENGTH, GRAM, SPAN = 50, 5, 30
 KEY = LENGTH - SPAN + 1
-STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
+STEP, OTHER_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def rolling(h: np.ndarray, size: int) -> np.ndarray:
+def rolling(h: np.ndarray, size: int, step: np.uint64 = STEP) -> np.ndarray:
     """Hashes of all runs of size words, from the words' hashes, by doubling."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        out, at, part, width, power = None, 0, h, 1, STEP
+        out, at, part, width, power = None, 0, h, 1, step
         left = size
         while left:
             if left & 1:
@@ -106,12 +112,12 @@ def suffixes(text: Column) -> Column:
 
 
 def windows(text: Column, places: Column) -> Column:
-    """struct<body, starts, keys> of the windows that selected one of places."""
+    """struct<body, starts, keys, more: further bits of the keys> of the windows that selected one of places."""
 
-    @F.arrow_udf("struct<body:bigint,starts:array<int>,keys:array<bigint>>")
+    @F.arrow_udf("struct<body:bigint,starts:array<int>,keys:array<bigint>,more:array<bigint>>")
     def extended(text: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for batch, wanted in text:
-            body, starts, keys = [], [], []
+            body, starts, keys, more = [], [], [], []
             for raw, some in zip(as_bytes(batch), wanted, strict=True):
                 words = words_of(raw)
                 body.append(xxhash.xxh64_intdigest(b" ".join(words)))
@@ -119,15 +125,18 @@ def windows(text: Column, places: Column) -> Column:
                 at = np.flatnonzero(np.isin(selected, some.values.to_numpy()))
                 starts.append(at.astype(np.int32))
                 keys.append(rolling(h, LENGTH)[at].view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(np.array(body, np.uint64).view(np.int64)), _lists(starts, pa.int32()), _lists(keys, pa.int64())], ["body", "starts", "keys"])
+                # The words' own hashes differ too, so that a collision of words doesn't count in both.
+                other = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) if len(at) else h
+                more.append(rolling(other, LENGTH, OTHER_STEP)[at].view(np.int64) if len(at) else np.zeros(0, np.int64))
+            yield pa.StructArray.from_arrays([pa.array(np.array(body, np.uint64).view(np.int64)), _lists(starts, pa.int32()), _lists(keys, pa.int64()), _lists(more, pa.int64())], ["body", "starts", "keys", "more"])
 
     return extended.asNondeterministic()(text, places)
 
 
-def _shared(rows: DataFrame, label: str) -> DataFrame:
-    """(key, low, high) of the keys (key, body, doc_id) that more than one text holds; low and high are two ids of holders."""
-    held = rows.groupBy("key").agg(F.min("body").alias("a"), F.max("body").alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    return cut(held.where("a <> b").select("key", "low", "high"), label)
+def _shared(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """keys, low and high of the keys (of rows with keys, body, doc_id) that more than one text holds; low and high are two ids of holders."""
+    held = rows.groupBy(*keys).agg(F.min("body").alias("a"), F.max("body").alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    return cut(held.where("a <> b").select(*keys, "low", "high"), label)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,11 +144,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     found = cut(texts.select("doc_id", suffixes(F.col("text")).alias("s")).where(f"s.n_words >= {LENGTH}").select("doc_id", "s.*"), "suffixes")
     entries = found.select("doc_id", "body", F.explode(F.arrays_zip("places", "keys")).alias("e")).select("doc_id", "body", F.col("e.places").alias("place"), F.col("e.keys").alias("key"))
-    remaining = entries.join(_shared(entries, "shared-suffixes").select("key"), "key").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    remaining = entries.join(_shared(entries, ["key"], "shared-suffixes").select("key"), "key").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     extended = texts.join(remaining, "doc_id").select("doc_id", windows(F.col("text"), F.col("places")).alias("w"))
-    extended = extended.select("doc_id", "w.body", F.explode(F.arrays_zip("w.starts", "w.keys")).alias("e"))
-    extended = cut(extended.select("doc_id", "body", F.col("e.starts").alias("start"), F.col("e.keys").alias("key")), "windows")
-    confirmed = extended.join(_shared(extended, "shared-windows"), "key")
+    extended = extended.select("doc_id", "w.body", F.explode(F.arrays_zip("w.starts", "w.keys", "w.more")).alias("e"))
+    extended = cut(extended.select("doc_id", "body", F.col("e.starts").alias("start"), F.col("e.keys").alias("key"), F.col("e.more").alias("more")), "windows")
+    confirmed = extended.join(_shared(extended, ["key", "more"], "shared-windows"), ["key", "more"])
     per_doc = confirmed.groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"), F.min("low").alias("low"), F.max("high").alias("high"))
     first = F.filter("starts", lambda s, k: (k == 0) | (s > F.element_at("starts", k) + LENGTH))
     last = F.filter("starts", lambda s, k: (k == F.size("starts") - 1) | (F.coalesce(F.try_element_at("starts", k + 2), s) > s + LENGTH))
