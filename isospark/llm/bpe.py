@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import as_bytes, table, worker_state
+from .common import as_bytes, settle, table, worker_state
 
 #: The ranges of Unicode White_Space, which \s stands for.
 SPACE_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
@@ -371,6 +371,7 @@ def bpe_round_trip(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_c
                 kept = [batch.column(k).slice(at, len(ids)) for k in range(batch.num_columns - 1)]
                 at += len(ids)
                 yield pa.RecordBatch.from_arrays([*kept, id_lists(ids), pa.array(map(encoder.decode, ids), pa.binary())], names)
+            settle()
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("ids", ArrayType(IntegerType())), StructField("decoded", BinaryType())]))
 

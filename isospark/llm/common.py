@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -72,6 +73,13 @@ def worker_state(key: tuple, make, kept: int = 1):
 
 
 def release() -> None:
-    """Gives a worker's kept state and unused Arrow memory back, before another operator needs room."""
+    """Gives a worker's kept state and unused memory back, before another operator needs room."""
     _state.clear()
+    settle()
+
+
+def settle() -> None:
+    """Gives unused memory back to the system: Arrow's, and the C library's where it can."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -49,13 +49,15 @@ KINDS = {
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.5, "ip|host|server|address"),
     "card": (r"[0-9]([\x20-]?[0-9])+", r"[0-9](?:[\x20-]?[0-9]){12,}+", 0.7, "card|visa|credit|payment"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, "phone|tel|call|mobile"),
-    "iban": (r"", rf"(?<![A-Za-z0-9])(?:{SIZED}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])", 0.8, "iban|bank|account"),
-    "secret": (r"", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+", 0.3, "token|secret|password|passwd|pwd|key|apikey|api_key|access_key|secret_key|auth|credential|credentials|bearer"),
+    "iban": (r"", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{SIZED}|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}+(?:\x20?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])", 0.8, "iban|bank|account"),
+    "secret": (r"", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z0-9_+/-]{20})[A-Za-z0-9_+/-]++", 0.3, "token|secret|password|passwd|pwd|key|apikey|api_key|access_key|secret_key|auth|credential|credentials|bearer"),
     "id_number": (r"(?:^|[^0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?:[^0-9-]|$)", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.2, "ssn|social security|id number|tax id"),
 }
 BASE = ("email", "ip", "card", "phone")
 #: What a text must hold before an expression is tried.
 NEEDS = {"email": "@", "phone": "+"}
+#: The same as a short expression.
+NEEDS_LIKE = {"iban": "[A-Z]{2}[0-9]{2}", "id_number": "[0-9]-[0-9]{2}-[0-9]"}
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SPAN = "array<struct<kind:string,start:bigint,stop:bigint,score:double>>"
 
@@ -88,20 +90,30 @@ def confirmed(kind: str, match: Column) -> Column:
     }[kind]()
 
 
+def once(value: Column, of) -> Column:
+    """of(value), with value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
 def in_groups(items: Column, amount, emit, kind: str) -> Column:
     """emit(item, sum of amounts up to and with it) of each item of an array; sums run over groups of its square root."""
-    n = F.size(items)
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
     zero, none = F.lit(0).cast("bigint"), lambda of: F.array().cast(f"array<{of}>")
-    groups = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), width), lambda at: F.slice(items, at + 1, width))
-    totals = F.transform(groups, lambda g: F.aggregate(g, zero, lambda s, x: s + amount(x)))
-    starts = F.aggregate(totals, F.struct(zero.alias("at"), none("bigint").alias("out")), lambda s, t: F.struct((s.at + t).alias("at"), F.concat(s.out, F.array(s.at)).alias("out")), lambda s: s.out)
 
     def within(pair: Column) -> Column:
         first = F.struct(pair.start.alias("at"), none(kind).alias("out"))
         return F.aggregate(pair.g, first, lambda s, x: F.struct((s.at + amount(x)).alias("at"), F.concat(s.out, F.array(emit(x, s.at + amount(x)))).alias("out")), lambda s: s.out)
 
-    return F.flatten(F.transform(F.arrays_zip(groups.alias("g"), starts.alias("start")), within))
+    def started(groups: Column) -> Column:
+        totals = F.transform(groups, lambda g: F.aggregate(g, zero, lambda s, x: s + amount(x)))
+        starts = F.aggregate(totals, F.struct(zero.alias("at"), none("bigint").alias("out")), lambda s, t: F.struct((s.at + t).alias("at"), F.concat(s.out, F.array(s.at)).alias("out")), lambda s: s.out)
+        return F.flatten(F.transform(F.arrays_zip(groups.alias("g"), starts.alias("start")), within))
+
+    def grouped(all_of: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(all_of))).cast("int"))
+        groups = F.transform(F.sequence(F.lit(0), F.greatest(F.size(all_of) - 1, F.lit(0)), width), lambda at: F.slice(all_of, at + 1, width))
+        return once(groups, started)
+
+    return once(items, grouped)
 
 
 def _spans(kind: str, text: Column, matches: Column) -> Column:
@@ -128,6 +140,7 @@ def with_spans(docs: DataFrame, text_col: str, out: str) -> DataFrame:
     names = {kind: f"{out}_{kind}" for kind in KINDS}
     matches = {kind: F.regexp_extract_all(text, F.lit(KINDS[kind][1]), F.lit(0)) for kind in KINDS}
     matches |= {kind: F.when(F.contains(text, F.lit(held)), matches[kind]).otherwise(F.array().cast("array<string>")) for kind, held in NEEDS.items()}
+    matches |= {kind: F.when(text.rlike(held), matches[kind]).otherwise(F.array().cast("array<string>")) for kind, held in NEEDS_LIKE.items()}
     found = docs.select("*", *[m.alias(names[kind]) for kind, m in matches.items()])
     return found.select(*[F.col(f"`{c}`") for c in docs.columns], F.concat(*[_spans(kind, text, F.col(names[kind])) for kind in KINDS]).alias(out))
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, table
+from .common import as_bytes, cut, release, table
 from .decontam import words_of
 
 #: Words of a repeat, of a gram, grams among which a window selects, words of a key (a window's rest).
@@ -96,6 +96,7 @@ def suffixes(text: Column) -> Column:
 
     @F.arrow_udf("struct<body:bigint,n_words:bigint,places:array<int>,keys:array<bigint>>")
     def retained_suffixes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for batch in batches:
             body, sizes, places, keys = [], [], [], []
             for raw in as_bytes(batch):
@@ -116,6 +117,7 @@ def windows(text: Column, places: Column) -> Column:
 
     @F.arrow_udf("struct<body:bigint,starts:array<int>,keys:array<bigint>,more:array<bigint>>")
     def extended(text: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        release()
         for batch, wanted in text:
             body, starts, keys, more = [], [], [], []
             for raw, some in zip(as_bytes(batch), wanted, strict=True):

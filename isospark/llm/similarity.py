@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, drop_cut, release
+from .common import as_bytes, cut, drop_cut, release, settle
 
 #: Words of a shingle, hundredths of similarity that link.
 SHINGLE, SIMILARITY = 5, 80
@@ -168,6 +168,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, length: int,
         release()
         for a, b in batches:
             yield pa.array([similar(x, y, length, similarity) for x, y in zip(as_bytes(a), as_bytes(b), strict=True)], pa.bool_())
+            settle()
 
     pairs = cut(counts_allow(cut(pairs, f"{label}-pairs"), nodes, similarity), f"{label}-candidates")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("rid")).distinct()

@@ -171,6 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return none
 
     def dense(batches):
+        release()
         for batch in batches:
             for raw, y in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words, count = words_of(raw) if raw else [], Counter()
@@ -191,6 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     place = {f: k for k, f in enumerate(vocabulary)}
 
     def counts(batches):
+        release()
         places = Places(place)
         for batch in batches:
             rows = []
