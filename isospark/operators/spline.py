@@ -1,19 +1,24 @@
 """Cubic B-spline reconstruction of grids at points, on rasters and on lattices.
 
 Reconstruction is separable. An axis table lists, for each output position, its
-four source indices (clamped to the grid) and weights. It is joined to the grid
-along one direction and summed, then along the other. Axis tables grow with a
-frame's width, not with the data; whether they are broadcast is left to the
-optimizer, which knows their size.
+four source indices (clamped to the grid) and weights. Grids and axes are brought
+together by frame, one shuffle each, and a frame's nodes are summed along one
+direction, then along the other. Grids are bounded by the field's support, axes
+by a frame's width, so a task's memory is too.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .. import params as P
 from ..functions.scalar import spline_weights
+from .stencil import matrix, place
 
 
 def _taps(axis: DataFrame, place: Column, size: Column, single: bool = False) -> DataFrame:
@@ -40,12 +45,33 @@ def lattice_axis(frames: DataFrame, first: Column, last: Column, start: Column,
     return _taps(axis, place, F.col("_size")).select("frame_id", "pos", "src", "w")
 
 
+def _axis(axes: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions in order, and four sources and weights of each."""
+    part = axes.filter(pc.equal(axes["axis"], name))
+    order = np.argsort(part["pos"].to_numpy(), kind="stable")
+    pos, src, w = (part[c].to_numpy()[order] for c in ("pos", "src", "w"))
+    return pos[::4], src.reshape(-1, 4), w.reshape(-1, 4)
+
+
 def reconstruct(grid: DataFrame, x_axis: DataFrame, y_axis: DataFrame, channels=P.CHANNELS) -> DataFrame:
     """(frame_id, py, px, channels): along x for all grid rows, then along y."""
-    x = x_axis.select("frame_id", F.col("pos").alias("px"), F.col("src").alias("col"), "w")
-    wide = grid.select("frame_id", "row", "col", *channels).join(x, ["frame_id", "col"]).groupBy("frame_id", "row", "px").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in channels])
-    y = y_axis.select("frame_id", F.col("pos").alias("py"), F.col("src").alias("row"), "w")
-    return wide.join(y, ["frame_id", "row"]).groupBy("frame_id", "py", "px").agg(*[F.sum(F.col(c) * F.col("w")).alias(c) for c in channels])
+    grid = grid.select("frame_id", "row", "col", *channels)
+    axes = x_axis.select("frame_id", F.lit("x").alias("axis"), "pos", "src", "w").union(y_axis.select("frame_id", F.lit("y").alias("axis"), "pos", "src", "w"))
+    schema = StructType([grid.schema["frame_id"], StructField("py", IntegerType()), StructField("px", IntegerType()), *(StructField(c, DoubleType()) for c in channels)])
+
+    def run(cells: pa.Table, axes: pa.Table) -> pa.Table:
+        px, x_src, x_w = _axis(axes, "x")
+        py, y_src, y_w = _axis(axes, "y")
+        n = len(px) * len(py) if cells.num_rows else 0
+        out = []
+        for c in channels if n else ():
+            v = matrix(cells, c, place(cells))
+            wide = sum(v[:, x_src[:, k]] * x_w[:, k] for k in range(4))
+            out.append(pa.array(sum(wide[y_src[:, k]] * y_w[:, k, None] for k in range(4)).ravel()))
+        frame = cells["frame_id"].combine_chunks().take(pa.array(np.zeros(n, np.int64))) if n else pa.array([], axes["frame_id"].type)
+        return pa.table([frame, pa.array(np.repeat(py, len(px))[:n], pa.int32()), pa.array(np.tile(px, len(py))[:n], pa.int32()), *(out or [pa.array([], pa.float64())] * len(channels))], names=schema.names)
+
+    return grid.groupBy("frame_id").cogroup(axes.groupBy("frame_id")).applyInArrow(run, schema)
 
 
 def reconstruct_points(grid: DataFrame, points: DataFrame, channels=P.CHANNELS) -> DataFrame:

@@ -1,58 +1,87 @@
 """Separable stencils over grids (frame_id, row, col and channels): Gaussian smoothing and box blur.
 
-Each pass is one window: along the row, then along the column. Grids of all
-frames go through the same windows; a line of a grid is a partition, so work
-spreads by frame and line. Beyond an edge the edge's value counts.
+Grids are shuffled once, by frame, and a frame's arrays go through all passes in
+one task; work spreads by frames. A grid is bounded by the field's support (some
+ten thousand cells, whatever the view), so a task's memory is too. Beyond an edge
+the edge's value counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from .. import params as P
-from ..functions.scalar import total
 
 
-def _line(across: str, along: str):
-    return Window.partitionBy("frame_id", across).orderBy(along)
+def by_frame(grid: DataFrame, channels, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """work(channel as a matrix) for each channel of each frame; grids are full rectangles."""
+    names = ["frame_id", "row", "col", *channels]
+    rows = grid.select(names)
+
+    def run(table: pa.Table) -> pa.Table:
+        at = place(table)
+        done = [pa.array(work(matrix(table, c, at))[at]) for c in channels]
+        return pa.table([*(table[c] for c in names[:3]), *done], names=names)
+
+    return rows.groupBy("frame_id").applyInArrow(run, rows.schema)
+
+
+def place(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    row, col = table["row"].to_numpy(), table["col"].to_numpy()
+    return row - row.min(), col - col.min()
+
 
+def matrix(table: pa.Table, channel: str, at: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    shape = at[0].max() + 1, at[1].max() + 1
+    if shape[0] * shape[1] != table.num_rows:
+        raise ValueError(f"a grid of {shape[0]} x {shape[1]} cells has {table.num_rows} rows")
+    out = np.empty(shape)
+    out[at] = table[channel].to_numpy()
+    return out
 
-def _gaussian(v: str, line) -> Column:
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last, weights = F.first(v).over(whole), F.last(v).over(whole), P.kernel()
-    at = lambda k: F.coalesce(F.lag(v, -k).over(line), first) if k < 0 else F.coalesce(F.lead(v, k).over(line), last)
-    taps = [(F.col(v) if k == 0 else at(k)) * weights[k + P.SMOOTH_RADIUS] for k in range(-P.SMOOTH_RADIUS, P.SMOOTH_RADIUS + 1)]
-    return total(taps).cast("float").cast("double")
+
+def single(values: np.ndarray) -> np.ndarray:
+    """Rounded to 32 bits, as stored."""
+    return values.astype(np.float32).astype(float)
+
+
+def weighted(values: np.ndarray, weights, axis: int) -> np.ndarray:
+    """Sum of neighbours along an axis, by weights of the places around, first to last."""
+    radius, n = len(weights) // 2, values.shape[axis]
+    padded = np.pad(values, [(radius, radius) if k == axis else (0, 0) for k in range(2)], mode="edge")
+    out = 0.0
+    for k, w in enumerate(weights):
+        out = out + np.take(padded, range(k, k + n), axis=axis) * w
+    return out
 
 
 def gauss_smooth(grid: DataFrame, channels=P.CHANNELS) -> DataFrame:
     """Nine taps in each direction; values are rounded to 32 bits when stored, before and after each pass."""
-    grid = grid.withColumns({c: F.col(c).cast("float").cast("double") for c in channels})
-    for across, along in (("row", "col"), ("col", "row")):
-        line = _line(across, along)
-        grid = grid.withColumns({c: _gaussian(c, line) for c in channels})
-    return grid
+    weights = P.kernel()
+    return by_frame(grid, channels, lambda v: single(weighted(single(weighted(single(v), weights, 1)), weights, 0)))
 
 
-def _box(v: str, along: str, radius: int, line) -> Column:
-    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    near = F.sum(v).over(line.rowsBetween(-radius, radius))
-    before = F.greatest(F.lit(0), F.lit(radius) - F.col(along))
-    after = F.greatest(F.lit(0), F.lit(radius) - (F.max(along).over(whole) - F.col(along)))
-    return ((near + before * F.first(v).over(whole) + after * F.last(v).over(whole)) / (2 * radius + 1)).cast("float").cast("double")
+def _box(values: np.ndarray, radius: int, axis: int) -> np.ndarray:
+    return single(weighted(values, [1.0] * (2 * radius + 1), axis) / (2 * radius + 1))
 
 
 def box_blur_pass(grid: DataFrame, radius: int, across: str, along: str, channels=P.CHANNELS) -> DataFrame:
-    line = _line(across, along)
-    return grid.withColumns({c: _box(c, along, radius, line) for c in channels})
+    """One pass of means of 2 * radius + 1 cells along a direction (col: horizontal)."""
+    return by_frame(grid, channels, lambda v: _box(v, radius, 1 if along == "col" else 0))
 
 
 def box_blur(grid: DataFrame, radius: int = P.GENERAL_RADIUS, passes: int = P.GENERAL_PASSES, channels=P.CHANNELS) -> DataFrame:
     """Horizontal and vertical means of 2 * radius + 1 cells, passes times; the grid itself without radius or passes."""
     if radius <= 0 or passes <= 0:
         return grid
-    for _ in range(passes):
-        grid = box_blur_pass(grid, radius, "row", "col", channels)
-        grid = box_blur_pass(grid, radius, "col", "row", channels)
-    return grid
+
+    def blur(values: np.ndarray) -> np.ndarray:
+        for _ in range(passes):
+            values = _box(_box(values, radius, 1), radius, 0)
+        return values
+
+    return by_frame(grid, channels, blur)
