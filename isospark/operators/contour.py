@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 
 STEP = 1.0 / (P.BASE_GRID * P.SUBDIVISIONS)
-#: Segments of each case as pairs of edges (top, right, bottom, left); the saddles 5 and 10 depend on the mean.
+#: Segments of each case as pairs of edges (top, right, bottom, left); the saddles 5 and 10 depend on the mean.
 CASES = {
     1: ("TL",), 2: ("RT",), 3: ("RL",), 4: ("BR",), 6: ("BT",), 7: ("BL",), 8: ("LB",), 9: ("TB",), 11: ("RB",), 12: ("LR",), 13: ("TR",), 14: ("LT",),
     (5, True): ("TR", "BL"), (5, False): ("TL", "RB"), (10, True): ("TL", "RB"), (10, False): ("TR", "BL"),

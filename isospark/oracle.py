@@ -311,16 +311,24 @@ crossed as (select * from quads join bands using (channel) where least(a, b, c,
 CELLS = cell_rows()
 
 
-def segments() -> str:
-    from .operators.contour import CASES
+#: The edges (top, right, bottom, left) that the line joins in each case; corners that reach the threshold
+#: count 1 (top left), 2 (top right), 4 (bottom right), 8 (bottom left). Of 5 and 10, the first where the mean reaches it.
+LINES = {
+    1: "T-L", 2: "R-T", 3: "R-L", 4: "B-R", 5: ("T-R B-L", "T-L R-B"), 6: "B-T", 7: "B-L",
+    8: "L-B", 9: "T-B", 10: ("T-L R-B", "T-R B-L"), 11: "R-B", 12: "L-R", 13: "T-R", 14: "L-T",
+}
+
 
+def segments() -> str:
     share = lambda p, q: f"(threshold - {p}) / nullif({q} - {p}, 0) / 384"
     points = {"T": ("te", f"x0 + {share('a', 'b')}", "y0"), "R": ("re", "x0 + 1e0 / 384", f"y0 + {share('b', 'c')}"), "B": ("be", f"x0 + {share('d', 'c')}", "y0 + 1e0 / 384"), "L": ("le", "x0", f"y0 + {share('a', 'd')}")}
     rows = []
-    for case, pairs in CASES.items():
-        when = f"idx = {case}" if isinstance(case, int) else f"idx = {case[0]} and {'' if case[1] else 'not '}((a + b + c + d) / 4 >= threshold)"
-        for pair in pairs:
-            (ea, ax, ay), (eb, bx, by) = points[pair[0]], points[pair[1]]
+    mean = "((a + b + c + d) / 4 >= threshold)"
+    cases = [(f"idx = {n}", x) for n, x in LINES.items() if isinstance(x, str)]
+    cases += [(f"idx = {n} and {side}", x) for n, both in LINES.items() if not isinstance(both, str) for side, x in zip((mean, f"not {mean}"), both, strict=True)]
+    for when, lines in cases:
+        for pair in lines.split():
+            (ea, ax, ay), (eb, bx, by) = (points[e] for e in pair.split("-"))
             rows.append(f"select frame_id, channel, band, row, col, {ea} edge_a, {eb} edge_b, {ax} ax, {ay} ay, {bx} bx, {by} b_y from idx where {when}")
     bit = lambda c, n: f"case when {c} >= threshold then {n} else 0 end"
     return f"""{CELLS},
@@ -520,3 +528,15 @@ union all by name select *, case layer when 0 then 'rain' else 'strong' end kind
 union all by name select * exclude (kind), 'hazard' kind, 2 layer from ({SQL['hazard_morph']}) where frame_id % 2 = 1"""
 SQL["render_squares"] = f"""select * from ({SQL['squares_cells'].replace(REGION, AT_FINE)}) where frame_id % 2 = 0
 union all by name select *, {r6("power(2e0, frame_id % 3) / 128 * 828 * (0.4e0 + frame_id * 0.3e0) + 0.5e0", "size")} from ({SQL['squares_morph']}) where frame_id % 2 = 1"""
+
+
+def _areas_smooth() -> str:
+    """The layers of areas over the generalised grid, with the thresholds that keep each band's coverage."""
+    bands = _coverage_bands()
+    head = bands[len("with ") : bands.rindex("\nselect frame_id, channel, band")]
+    moved = "sb as (select frame_id, channel, band, value threshold from th where channel <> 'rain' union all " + " union all ".join(f"select frame_id, 'rain', {b}, e{b} from e4" for b in range(5)) + ")"
+    plain = f"{ONE},\n{BANDS},\n{grid()},\n{gauss('g', 'sg')},\n{nodes(0, 'sg')}"
+    return SQL["area_layers"].replace(plain, f"{head},\n{moved},\n{nodes(18, 'bg')}").replace("quads join bands using (channel)", "quads join sb using (frame_id, channel)")
+
+
+SQL["area_layers_smooth"] = _areas_smooth()

@@ -290,7 +290,6 @@ def area_layers(spark, d):
 
 
 def area_layers_smooth(spark, d):
-    """Rows only: its stitching and remapping are each compared by other queries."""
     return _areas(spark, d, True)
 
 
