@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -97,6 +98,50 @@ def test_toxicity_edges(spark, docs):  # noqa: F811
     assert toxicity.grade_texts(docs.limit(0), none).count() == 0
 
 
+def plain_position(model, text):
+    """Every feature counted by itself: a word with a blank behind it, else a beginning of longer words."""
+    words, s = brute.words_of(text), 0.0
+    for f, w in model.weights.items():
+        c = sum(x + " " == f for x in words) + sum(len(x) > len(f) and len(f) in toxicity.STEMS and x.startswith(f) for x in words)
+        s += w * math.log(1 + 100 * c / (len(words) + 20))
+    return s
+
+
+def test_toxicity_of_inflected_words(spark, docs, tmp_path):  # noqa: F811
+    """Toxic words of two languages never look alike twice; scores are those of the plain version."""
+    rng = random.Random(9)
+    ends = ["".join(rng.choice("aeoutn") for _ in range(k % 5 + 1)) for k in range(3000)]
+    fill = [["fr" + rng.choice(ends) for _ in range(400)], ["de" + rng.choice(ends) for _ in range(400)]]
+    rows, labels = [], []
+    for k in range(800):
+        lang, toxic = k % 2, k % 8 < 2
+        words = [rng.choice(fill[lang]) for _ in range(rng.randrange(30, 300))]
+        for _ in range(len(words) // 25 if toxic else 0):
+            words[rng.randrange(len(words))] = ("Réeux" if lang == 0 else "Achlich") + rng.choice(ends)
+        if not toxic and k % 9 == 0 and len(words) > 250:
+            words[3] = ("réeux" if lang == 0 else "achlich") + rng.choice(ends)
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    spark.createDataFrame(rows, "doc_id long, text string").union(docs.where("doc_id is not null").select(F.col("doc_id") + 10000, "text")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([x for x in labels if x[0] < 500], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.op5_toxicity(spark, str(tmp_path)).collect()}
+    wrong = [k for k, y in labels if k >= 500 and got[k].toxic != bool(y)]
+    assert len(wrong) <= 3
+    corpus, known = (spark.read.parquet(str(tmp_path / f"{n}.parquet")) for n in ("documents", "labels"))
+    model = toxicity.train(corpus, known)
+    for r in corpus.where("doc_id % 40 = 0 or doc_id >= 10000").collect():
+        if r.doc_id != 10003:  # an id with two texts
+            p = [1 / (1 + math.exp(t - plain_position(model, r.text))) for t in model.thresholds]
+            assert got[r.doc_id].severity == pytest.approx(sum(p), abs=1e-6) and got[r.doc_id].chance == pytest.approx(p[0], abs=1e-6)
+
+
+def test_labels_that_are_grades(spark):
+    corpus, labels = toxic_corpus(spark, 300)
+    graded = [(k, y * (1 + k % 3)) for k, y in labels]
+    model = toxicity.train(corpus, spark.createDataFrame(graded, "doc_id long, toxic int"))
+    assert len(model.thresholds) == 3 and list(model.thresholds) == sorted(model.thresholds)
+
+
 @pytest.mark.parametrize("block", [1, 7, 1 << 16])
 def test_token_files(spark, docs, block, monkeypatch):  # noqa: F811
     monkeypatch.setattr(tokens, "MANIFEST_IDS", 4)
