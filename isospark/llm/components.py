@@ -22,8 +22,9 @@ SALTS = 16
 def _to_smallest(pairs: DataFrame) -> DataFrame:
     """(u, v, m): every pair with the smallest of u and all of u's v."""
     least = pairs.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+    # Sizes of exploded rows are underestimated; the hint keeps them from being broadcast.
     spread = least.select("u", "m", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread, ["u", "salt"]).select("u", "v", "m")
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["u", "salt"]).select("u", "v", "m")
 
 
 def _round(edges: DataFrame) -> DataFrame:

@@ -164,7 +164,8 @@ def links(fingerprints: DataFrame) -> DataFrame:
     drop_cut(replicas)
     points = met.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << p if p < 63 else -(1 << 63))) for p in range(64)])).alias("point"))
     smallest = points.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w").select("point", "v")
-    return points.join(smallest, "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    # Sizes of exploded rows are underestimated; the hint keeps them from being broadcast.
+    return points.join(smallest.hint("merge"), "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 #: Keys with one of so many rows or more are joined by broadcast; there are no more of them than that.

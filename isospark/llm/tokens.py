@@ -109,7 +109,8 @@ def count_tokens(docs: DataFrame, codec: Codec, end_id: int, id_col: str = "doc_
     blocks, manifest = write_token_files(docs, codec, end_id, id_col, text_col)
     sizes = scan_token_files(blocks, end_id, max(codec.ranks.value.values()))
     names = manifest.select("shard", F.posexplode("ids").alias("k", "doc_id"), "block").select("shard", (F.col("block") * MANIFEST_IDS + F.col("k")).alias("ordinal"), "doc_id")
-    return names.join(sizes, ["shard", "ordinal"]).select("doc_id", "shard", "ordinal", "n_tokens")
+    # Sizes of exploded rows are underestimated; the hint keeps them from being broadcast.
+    return names.join(sizes.hint("merge"), ["shard", "ordinal"]).select("doc_id", "shard", "ordinal", "n_tokens")
 
 
 #: Of the vocabulary byte_bpe_50k; its number is free there.

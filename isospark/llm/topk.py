@@ -131,7 +131,8 @@ def near_blocks(blocks: DataFrame, asked: DataFrame) -> DataFrame:
     highest = placed.agg(F.max("level")).first()[0] or 0
     reached = asked.withColumn("level", F.explode(F.sequence(F.least(level(F.col("q_least")), F.lit(highest + 1)), F.lit(highest + 1))))
     reached = reached.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    return placed.join(reached, ["level", "part"]).where(F.col("longest") >= F.col("q_least")).select("block", "q_block")
+    # Sizes of exploded rows are underestimated; the hint keeps them from being broadcast.
+    return placed.join(reached.hint("merge"), ["level", "part"]).where(F.col("longest") >= F.col("q_least")).select("block", "q_block")
 
 
 def top_k(df: DataFrame, queries, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
