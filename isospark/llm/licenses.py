@@ -8,8 +8,9 @@ stands at place p of a template votes for the diagonal d - p, the word where the
 template would begin. Votes are gathered by template and diagonal, diagonals at
 most GAP apart are merged (inserted or missing words shift the rest of a text),
 and a span is accepted if enough of the template's places voted: all for a
-phrase, ACCEPT of them for a license text. Grams of two common words don't vote,
-so they fetch nothing.
+phrase, ACCEPT of them for a license text. It reaches from the first word that
+voted to the last, so it lies within the text where parts of the template are
+missing. Grams of two common words don't vote, so they fetch nothing.
 
 All of it is DataFrame functions. The text is read once and not shuffled: what
 is shuffled is one row for each text and one for each vote. The templates are a
@@ -78,9 +79,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > GAP, F.lit(True))
     lines = lines.withColumn("cluster", F.sum(apart.cast("int")).over(along))
-    merged = lines.groupBy(*keys, "cluster").agg(F.min("diagonal").alias("first"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("voted"))
+    begin, end = F.min(F.col("diagonal") + F.array_min("places")), F.max(F.col("diagonal") + F.array_max("places")) + 2
+    merged = lines.groupBy(*keys, "cluster").agg(begin.alias("begin"), end.alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("voted"))
     coverage = F.col("voted") / F.col("n_grams")
-    span = F.struct("label", "base", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("size")).cast("long").alias("stop"), coverage.alias("coverage"))
+    span = F.struct("label", "base", F.col("begin").cast("long").alias("start"), F.col("end").cast("long").alias("stop"), coverage.alias("coverage"))
     accepted = F.col("template").isNotNull() & F.when(F.col("base"), F.col("voted") == F.col("n_grams")).otherwise(coverage >= ACCEPT)
     found = merged.withColumn("span", F.when(accepted, span)).groupBy("row", "doc_id", "n_words").agg(F.collect_list("span").alias("spans"))
     return found.select("doc_id", F.greatest("n_words", F.lit(0)).cast("long").alias("n_words"), F.array_sort("spans").alias("spans"))

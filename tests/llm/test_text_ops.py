@@ -135,6 +135,9 @@ def test_licenses(spark, docs):
     assert [s.label for s in got[100].spans if not s.base] == ["mit"]
     assert len(got[101].spans) == 1 and got[102].spans == [] and got[0].n_words == 0 and got[1].n_words == 0
     assert licenses.scan_licenses(docs).count() == docs.count() and licenses.scan_licenses(docs.limit(0)).count() == 0
+    middle = "hereby granted free of charge to any person obtaining a copy of this software and associated"
+    cut = spark.createDataFrame([(1, middle), (2, f"one two {middle} three")], "doc_id long, text string")
+    assert {r.doc_id: [(s.label, s.start, s.stop) for s in r.spans] for r in licenses.scan_licenses(cut).collect()} == {1: [("mit", 0, 16)], 2: [("mit", 2, 18)]}
 
 
 def test_pii(spark, docs):
