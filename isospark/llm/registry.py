@@ -1,8 +1,8 @@
 """All queries of the training-data operators, and their SQL where it can express them."""
 
-from . import bpe, collocations, decontam, licenses, pii, repeats, simhash, tokens, topk, toxicity, urls
+from . import bpe, collocations, decontam, itq, lexical, licenses, pii, repeats, simhash, tokens, topk, toxicity, urls
 
-MODULES = (bpe, simhash, licenses, repeats, toxicity, tokens, topk, pii, decontam, urls, collocations)
+MODULES = (bpe, simhash, licenses, repeats, toxicity, tokens, topk, pii, decontam, urls, lexical, collocations, itq)
 
 
 def queries() -> dict:
