@@ -194,7 +194,9 @@ def linked(near: DataFrame, dim: int, cosine: float) -> DataFrame:
         some = np.flatnonzero((links > 0) | (root != cid))
         return pa.table({"cid": cid[some], "links": links[some], "root": root[some]})
 
-    return spread.groupBy("t", "key", "asks", "asked").applyInArrow(run, "cid long, links long, root long")
+    # Dealt by block, as the join's dealing by bucket would leave all blocks of a large bucket in one task.
+    block = ["t", "key", "asks", "asked"]
+    return spread.repartition(*block).groupBy(*block).applyInArrow(run, "cid long, links long, root long")
 
 
 def near_duplicates(df: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
