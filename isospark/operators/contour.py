@@ -1,22 +1,23 @@
 """Contours: Marching Squares over a node lattice, and stitching of segments into loops.
 
 Cells look at their four corners by window within a row and a join to the next
-row. Thresholds outside a cell's range are rejected before segments are made.
-Segments are keyed by the edges that they join, never by coordinates, so cells
-side by side agree exactly.
+row. Thresholds are picked from sorted arrays by a cell's range, before rows are
+made of them. Segments are keyed by the edges that they join, never by
+coordinates, so cells side by side agree exactly. Loops are ranked by pointer
+jumping over edges, and nested by the parity of a ray's crossings.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..lineage import discard, written
 
 STEP = 1.0 / (P.BASE_GRID * P.SUBDIVISIONS)
+#: What a line belongs to.
+LINE = ["frame_id", "channel", "band"]
 #: Segments of each case as pairs of edges (top, right, bottom, left); the saddles 5 and 10 depend on the mean.
 CASES = {
     1: ("TL",), 2: ("RT",), 3: ("RL",), 4: ("BR",), 6: ("BT",), 7: ("BL",), 8: ("LB",), 9: ("TB",), 11: ("RB",), 12: ("LR",), 13: ("TR",), 14: ("LT",),
@@ -25,21 +26,34 @@ CASES = {
 
 
 def corners(nodes: DataFrame, channels=P.CHANNELS) -> DataFrame:
-    """(frame_id, row, col, channel, a, b, c, d): the corners of each cell of nodes (frame_id, py, px, channels), clockwise from the top left."""
+    """(frame_id, row, col and, for each channel, a struct of a, b, c, d): the corners of each cell of nodes (frame_id, py, px, channels), clockwise from the top left."""
     along = Window.partitionBy("frame_id", "py").orderBy("px")
     paired = nodes.select("frame_id", "py", "px", *channels, *[F.lead(c).over(along).alias(f"{c}_next") for c in channels]).where(F.col(f"{channels[0]}_next").isNotNull())
     below = paired.select("frame_id", (F.col("py") - 1).alias("py"), "px", *[F.col(c).alias(f"{c}_d") for c in channels], *[F.col(f"{c}_next").alias(f"{c}_c") for c in channels])
-    cells = paired.join(below, ["frame_id", "py", "px"])
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("a"), F.col(f"{c}_next").alias("b"), F.col(f"{c}_c").alias("c"), F.col(f"{c}_d").alias("d")) for c in channels]))
-    return cells.select("frame_id", F.col("py").alias("row"), F.col("px").alias("col"), each.alias("e")).select("frame_id", "row", "col", "e.*")
+    four = [F.struct(F.col(c).alias("a"), F.col(f"{c}_next").alias("b"), F.col(f"{c}_c").alias("c"), F.col(f"{c}_d").alias("d")).alias(c) for c in channels]
+    return paired.join(below, ["frame_id", "py", "px"]).select("frame_id", F.col("py").alias("row"), F.col("px").alias("col"), *four)
+
+
+def steps(bands: DataFrame, channels=P.CHANNELS) -> DataFrame:
+    """One row a frame (or one row, where bands don't differ by frame): for each channel its bands as a sorted array of (threshold, band)."""
+    of = lambda c: F.sort_array(F.collect_list(F.when(F.col("channel") == c, F.struct(F.col("threshold").cast("double").alias("threshold"), F.col("band").cast("int").alias("band"))))).alias(f"{c}_steps")
+    return bands.groupBy(*[c for c in ("frame_id",) if c in bands.columns]).agg(*map(of, channels))
+
 
+def crossed(cells: DataFrame, keep: list[str], channels=P.CHANNELS) -> DataFrame:
+    """keep, channel, band, threshold, a, b, c, d: cells (corners) with each threshold of the arrays (channel)_steps that passes through them.
 
-def crossed(cells: DataFrame, bands: DataFrame) -> DataFrame:
-    """Cells with each threshold that passes through them. bands: channel, band, threshold, with frame_id where it differs by frame."""
-    on = [c for c in ("frame_id", "channel") if c in bands.columns]
-    low, high = F.least("a", "b", "c", "d"), F.greatest("a", "b", "c", "d")
-    met = cells.join(F.broadcast(bands), on) if on == ["channel"] else cells.join(bands, on)
-    return met.where((low < F.col("threshold")) & (F.col("threshold") <= high))
+    The thresholds between a cell's lowest and highest corner are picked from
+    the array, so a row is made for a hit alone.
+    """
+
+    def hits(name: str) -> Column:
+        at = [F.col(f"{name}.{k}").alias(k) for k in "abcd"]
+        low, high = F.least(*at), F.greatest(*at)
+        inside = F.filter(f"{name}_steps", lambda t: (low < t.threshold) & (t.threshold <= high))
+        return F.transform(inside, lambda t: F.struct(F.lit(name).alias("channel"), t.band.alias("band"), t.threshold.alias("threshold"), *at))
+
+    return cells.select(*keep, F.inline(F.concat(*map(hits, channels))))
 
 
 def _case() -> Column:
@@ -73,40 +87,99 @@ def segments(cells: DataFrame) -> DataFrame:
     return out.select("frame_id", "channel", "band", "row", "col", "s.edge_a", "s.edge_b", "s.ax", "s.ay", "s.bx", "s.by")
 
 
+def near(found: DataFrame) -> DataFrame:
+    """(frame_id, channel, band, edge, x, y, p, q): each edge that a line crosses, and the edges that its line goes on to (q is null at an end)."""
+    side = lambda e, f, x, y: F.struct(F.col(e).alias("edge"), F.col(f).alias("other"), F.struct("row", "col", "edge_a", F.col(x).alias("x"), F.col(y).alias("y")).alias("at"))
+    sides = found.select(*LINE, F.inline(F.array(side("edge_a", "edge_b", "ax", "ay"), side("edge_b", "edge_a", "bx", "by"))))
+    nodes = sides.groupBy(*LINE, "edge").agg(F.min("at").alias("at"), F.min("other").alias("p"), F.max("other").alias("q"))
+    return nodes.select(*LINE, "edge", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "p", F.when(F.col("q") != F.col("p"), F.col("q")).alias("q"))
+
+
+def directions(nodes: DataFrame) -> DataFrame:
+    """Both directions of each line: (line, tail, head) with the direction that follows, and what is known from one step.
+
+    A direction stands for the edge at its tail. ahead_tail and ahead_head name
+    the direction `steps` further; low is the smallest edge from the tail up to
+    there (without it), at so many steps from the tail, and way the edge after
+    low. Where a line ends, its last edge has a direction to nowhere (head -1),
+    with nothing ahead; last is then the edge at the end.
+    """
+    to = lambda tail, head, ahead: F.struct(tail.alias("tail"), head.alias("head"), ahead.alias("ahead_head"))
+    edge, p, q, none = F.col("edge"), F.col("p"), F.col("q"), F.lit(-1).cast("long")
+    into = F.when(q.isNotNull(), F.array(to(p, edge, q), to(q, edge, p))).otherwise(F.array(to(p, edge, none), to(edge, none, F.lit(None).cast("long"))))
+    made = nodes.select(*LINE, F.inline(into))
+    ends = F.col("ahead_head").isNull()
+    return made.select(
+        *LINE, "tail", "head", F.when(~ends, F.col("head")).alias("ahead_tail"), "ahead_head", F.when(ends, 0).otherwise(1).cast("long").alias("steps"),
+        F.col("tail").alias("low"), F.lit(0).cast("long").alias("at"), F.col("head").alias("way"), F.when(ends, F.col("tail")).alias("last"), F.lit(True).alias("moved"),
+    )
+
+
+def jump(now: DataFrame) -> DataFrame:
+    """Every direction that has something ahead, twice as far."""
+    there = now.select(*LINE, F.col("tail").alias("ahead_tail"), F.col("head").alias("ahead_head"), *[F.col(c).alias(f"t_{c}") for c in ("ahead_tail", "ahead_head", "steps", "low", "at", "way", "last")])
+    far = now.where("ahead_tail is not null").join(there, [*LINE, "ahead_tail", "ahead_head"])
+    lower = F.col("t_low") < F.col("low")
+    pick = lambda a, b: F.when(lower, a).otherwise(F.col(b)).alias(b)
+    far = far.select(
+        *LINE, "tail", "head", F.col("t_ahead_tail").alias("ahead_tail"), F.col("t_ahead_head").alias("ahead_head"), (F.col("steps") + F.col("t_steps")).alias("steps"),
+        pick(F.col("t_low"), "low"), pick(F.col("steps") + F.col("t_at"), "at"), pick(F.col("t_way"), "way"), F.col("t_last").alias("last"), (lower | F.col("t_ahead_tail").isNull()).alias("moved"),
+    )
+    return far.union(now.where("ahead_tail is null").withColumn("moved", F.lit(False)).select(far.columns))
+
+
 def stitch(found: DataFrame) -> DataFrame:
     """(frame_id, channel, band, loop_id, seq, x, y): closed loops, loop_id the smallest edge, from there to its smaller neighbour.
 
-    One task walks the segments of one band of one frame (some thousands, bounded by the lattice's size). Every edge
-    has two segments at most, so a component is a cycle, or a chain at the border, which is closed all the same.
+    Every edge has two segments at most, so a component is a cycle, or a chain at
+    the border, which is closed all the same and begins at its smaller end. Both
+    directions of all lines are ranked by pointer jumping: each round joins
+    every direction with the one it points to and doubles how far it sees, so a
+    loop of n edges takes log2(n) rounds and no task ever holds a line. Rounds
+    are written to the shared folder.
     """
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
-        at: dict[int, tuple[float, float]] = {}
-        for a, b, ax, ay, bx, by in pdf.sort_values(["row", "col", "edge_a"])[["edge_a", "edge_b", "ax", "ay", "bx", "by"]].itertuples(index=False):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-            at.setdefault(a, (ax, ay))
-            at.setdefault(b, (bx, by))
-        done, rows = set(), []
-        for start in sorted(near):
-            if start in done:
-                continue
-            # All edges of this component; in a chain the walk begins at its smaller end.
-            seen, todo = {start}, [start]
-            while todo:
-                for e in near[todo.pop()]:
-                    if e not in seen:
-                        seen.add(e)
-                        todo.append(e)
-            ends = sorted(e for e in seen if len(near[e]) == 1)
-            edge, seq = ends[0] if ends else start, 0
-            while edge is not None:
-                done.add(edge)
-                rows.append((start, seq, *at[edge]))
-                seq += 1
-                edge = min((e for e in near[edge] if e not in done), default=None)
-        key = pdf.iloc[0]
-        return pd.DataFrame([(key.frame_id, key.channel, key.band, *r) for r in rows], columns=["frame_id", "channel", "band", "loop_id", "seq", "x", "y"])
-
-    return found.groupBy("frame_id", "channel", "band").applyInPandas(walk, "frame_id long, channel string, band int, loop_id long, seq int, x double, y double")
+    nodes = written(near(found), "contour-edges")
+    now = written(directions(nodes), "contour-ranks")
+    while True:
+        after = written(jump(now), "contour-ranks")
+        discard(now)
+        now = after
+        if not now.where("moved").limit(1).count():
+            break
+    # What still has something ahead goes around.
+    around = F.col("ahead_tail").isNotNull()
+    each = now.groupBy(*LINE, F.col("tail").alias("edge")).agg(
+        F.min("low").alias("loop_id"), F.max(around).alias("cycle"), F.min(F.when(around, F.struct("way", "at"))).alias("c"), F.min(F.when(~around, F.struct("last", "steps"))).alias("e")
+    )
+    lengths = each.groupBy(*LINE, "loop_id").agg(F.count("*").alias("length"))
+    placed = each.join(lengths, [*LINE, "loop_id"]).join(nodes.select(*LINE, "edge", "x", "y"), [*LINE, "edge"])
+    seq = F.when(F.col("cycle"), (F.col("length") - F.col("c.at")) % F.col("length")).otherwise(F.col("e.steps"))
+    return placed.select(*LINE, "loop_id", seq.cast("int").alias("seq"), "x", "y")
+
+
+def nest(loops: DataFrame) -> DataFrame:
+    """(frame_id, channel, band, loop_id, points, depth, parent_loop): how many loops of its band hold a loop, and the innermost of them.
+
+    Where areas are filled by the even-odd rule, loops of odd depth are holes. A
+    loop's first point stands for it, as loops of one threshold don't cross. Only
+    loops whose box holds the point are asked, by the parity of their lines that
+    a ray from it crosses.
+    """
+    key = [*LINE, "loop_id"]
+    boxes = loops.groupBy(*key).agg(
+        F.count("*").alias("points"), F.min_by(F.struct("x", "y"), "seq").alias("p"), *[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))]
+    )
+    inner = boxes.select(*LINE, F.col("loop_id").alias("inner"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+    held = (F.col("inner") != F.col("loop_id")) & F.col("px").between(F.col("low_x"), F.col("high_x")) & F.col("py").between(F.col("low_y"), F.col("high_y"))
+    asked = boxes.join(inner, LINE).where(held).select(*key, "inner", "px", "py")
+    sized = loops.join(boxes.select(*key, "points"), key)
+    ahead = sized.select(*key, F.pmod(F.col("seq") - 1, F.col("points")).cast("int").alias("seq"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    lines = loops.select(*key, "seq", "x", "y").join(ahead, [*key, "seq"])
+    met = asked.join(lines, key).where((F.col("y") > F.col("py")) != (F.col("y2") > F.col("py")))
+    right = F.col("px") < F.col("x") + (F.col("py") - F.col("y")) / F.when(F.col("y2") != F.col("y"), F.col("y2") - F.col("y")) * (F.col("x2") - F.col("x"))
+    holds = met.groupBy(*key, "inner").agg((F.count_if(right) % 2).alias("odd")).where("odd = 1").select(*LINE, F.col("loop_id").alias("outer"), F.col("inner").alias("loop_id"))
+    depths = holds.groupBy(*key).agg(F.count("*").alias("depth"))
+    # Of the loops around one, each is within the others, so the deepest is the innermost.
+    around = holds.join(depths.select(*LINE, F.col("loop_id").alias("outer"), F.col("depth").alias("outer_depth")), [*LINE, "outer"], "left")
+    parents = around.groupBy(*key).agg(F.count("*").alias("depth"), F.max_by("outer", F.struct(F.coalesce("outer_depth", F.lit(0)), -F.col("outer"))).alias("parent_loop"))
+    return boxes.select(*key, "points").join(parents, key, "left").select(*key, "points", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), "parent_loop")

@@ -1,10 +1,10 @@
 """Cubic B-spline reconstruction of grids at points, on rasters and on lattices.
 
 Reconstruction is separable. An axis table lists, for each output position, its
-four source indices (clamped to the grid) and weights. Grids and axes are brought
-together by frame, one shuffle each, and a frame's nodes are summed along one
-direction, then along the other. Grids are bounded by the field's support, axes
-by a frame's width, so a task's memory is too.
+four source indices (clamped to the grid) and weights. Output rows are cut into
+strips; a strip gets the grid rows that its taps name and the axes, and is summed
+along one direction, then along the other. One frame spreads over many tasks, and
+a task's memory is bounded by a strip.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ from .. import params as P
 from ..functions.scalar import spline_weights
 from .stencil import matrix, place
 
+#: Output rows of a strip.
+STRIP = 96
+
 
 def _taps(axis: DataFrame, place: Column, size: Column, single: bool = False) -> DataFrame:
     """axis x 4 taps: src (clamped index) and w for a place in grid units."""
@@ -53,25 +56,30 @@ def _axis(axes: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return pos[::4], src.reshape(-1, 4), w.reshape(-1, 4)
 
 
-def reconstruct(grid: DataFrame, x_axis: DataFrame, y_axis: DataFrame, channels=P.CHANNELS) -> DataFrame:
-    """(frame_id, py, px, channels): along x for all grid rows, then along y."""
-    grid = grid.select("frame_id", "row", "col", *channels)
-    axes = x_axis.select("frame_id", F.lit("x").alias("axis"), "pos", "src", "w").union(y_axis.select("frame_id", F.lit("y").alias("axis"), "pos", "src", "w"))
+def reconstruct(grid: DataFrame, x_axis: DataFrame, y_axis: DataFrame, channels=P.CHANNELS, strip: int | None = None) -> DataFrame:
+    """(frame_id, py, px, channels): along x for the grid rows of a strip of output rows, then along y."""
+    strip = strip or STRIP
+    tall = y_axis.select("frame_id", "pos", "src", "w", F.floor(F.col("pos") / strip).cast("int").alias("strip"))
+    needed = tall.select("frame_id", F.col("strip").alias("part"), F.col("src").alias("row")).distinct()
+    cells = grid.select("frame_id", "row", "col", *channels).join(needed, ["frame_id", "row"])
+    wide = x_axis.select("frame_id", "pos", "src", "w").join(tall.select("frame_id", "strip").distinct(), "frame_id")
+    axes = wide.select("frame_id", "strip", F.lit("x").alias("axis"), "pos", "src", "w").union(tall.select("frame_id", "strip", F.lit("y").alias("axis"), "pos", "src", "w"))
     schema = StructType([grid.schema["frame_id"], StructField("py", IntegerType()), StructField("px", IntegerType()), *(StructField(c, DoubleType()) for c in channels)])
 
     def run(cells: pa.Table, axes: pa.Table) -> pa.Table:
         px, x_src, x_w = _axis(axes, "x")
         py, y_src, y_w = _axis(axes, "y")
         n = len(px) * len(py) if cells.num_rows else 0
+        first = cells["row"].to_numpy().min() if n else 0
         out = []
         for c in channels if n else ():
             v = matrix(cells, c, place(cells))
-            wide = sum(v[:, x_src[:, k]] * x_w[:, k] for k in range(4))
-            out.append(pa.array(sum(wide[y_src[:, k]] * y_w[:, k, None] for k in range(4)).ravel()))
+            lines = sum(v[:, x_src[:, k]] * x_w[:, k] for k in range(4))
+            out.append(pa.array(sum(lines[y_src[:, k] - first] * y_w[:, k, None] for k in range(4)).ravel()))
         frame = cells["frame_id"].combine_chunks().take(pa.array(np.zeros(n, np.int64))) if n else pa.array([], axes["frame_id"].type)
         return pa.table([frame, pa.array(np.repeat(py, len(px))[:n], pa.int32()), pa.array(np.tile(px, len(py))[:n], pa.int32()), *(out or [pa.array([], pa.float64())] * len(channels))], names=schema.names)
 
-    return grid.groupBy("frame_id").cogroup(axes.groupBy("frame_id")).applyInArrow(run, schema)
+    return cells.groupBy("frame_id", "part").cogroup(axes.groupBy("frame_id", "strip")).applyInArrow(run, schema)
 
 
 def reconstruct_points(grid: DataFrame, points: DataFrame, channels=P.CHANNELS) -> DataFrame:

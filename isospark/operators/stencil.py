@@ -1,9 +1,11 @@
 """Separable stencils over grids (frame_id, row, col and channels): Gaussian smoothing and box blur.
 
-Grids are shuffled once, by frame, and a frame's arrays go through all passes in
-one task; work spreads by frames. A grid is bounded by the field's support (some
-ten thousand cells, whatever the view), so a task's memory is too. Beyond an edge
-the edge's value counts.
+Grids are cut into tiles. Each cell goes to its own tile and, near a border, to
+the tiles beside it, as a rim as wide as the stencil reaches in all its passes.
+A tile goes through the passes in one task, which may spoil its rim but not the
+cells within, so one frame spreads over many tasks, and a task's memory is that of
+a tile. Beyond the grid's edge the edge's value counts. Box means come from
+running sums, so their cost doesn't depend on the radius.
 """
 
 from __future__ import annotations
@@ -12,22 +14,39 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .. import params as P
 
+#: Rows and columns of a tile, without its rim.
+TILE = 128
 
-def by_frame(grid: DataFrame, channels, work: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """work(channel as a matrix) for each channel of each frame; grids are full rectangles."""
-    names = ["frame_id", "row", "col", *channels]
-    rows = grid.select(names)
+
+def _tiles(at: str, rim: int, tile: int) -> Column:
+    """The tiles that need a cell, from the one that its rim begins in to the one that it ends in."""
+    first = F.greatest(F.lit(0), F.floor((F.col(at) - rim) / tile))
+    return F.sequence(first.cast("int"), F.floor((F.col(at) + rim) / tile).cast("int"))
+
+
+def by_tile(grid: DataFrame, channels, work: Callable[[np.ndarray], np.ndarray], rows: int, cols: int, tile: int | None = None) -> DataFrame:
+    """work(channel as a matrix) for each channel, tile by tile; work may reach so many rows and columns. Grids are full rectangles from 0."""
+    names, tile = ["frame_id", "row", "col", *channels], tile or TILE
+    spread = grid.select(names).withColumn("tile_row", F.explode(_tiles("row", rows, tile))).withColumn("tile_col", F.explode(_tiles("col", cols, tile)))
 
     def run(table: pa.Table) -> pa.Table:
+        r, c = table["tile_row"][0].as_py() * tile, table["tile_col"][0].as_py() * tile
+        row, col = table["row"].to_numpy(), table["col"].to_numpy()
+        own = (row >= r) & (row < r + tile) & (col >= c) & (col < c + tile)
+        if not own.any():
+            return table.slice(0, 0).select(names)
         at = place(table)
-        done = [pa.array(work(matrix(table, c, at))[at]) for c in channels]
-        return pa.table([*(table[c] for c in names[:3]), *done], names=names)
+        kept = tuple(x[own] for x in at)
+        done = [pa.array(work(matrix(table, name, at))[kept]) for name in channels]
+        mine = table.filter(pa.array(own))
+        return pa.table([*(mine[k] for k in names[:3]), *done], names=names)
 
-    return rows.groupBy("frame_id").applyInArrow(run, rows.schema)
+    return spread.groupBy("frame_id", "tile_row", "tile_col").applyInArrow(run, grid.select(names).schema)
 
 
 def place(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -59,22 +78,38 @@ def weighted(values: np.ndarray, weights, axis: int) -> np.ndarray:
     return out
 
 
-def gauss_smooth(grid: DataFrame, channels=P.CHANNELS) -> DataFrame:
+def gauss_smooth(grid: DataFrame, channels=P.CHANNELS, tile: int | None = None) -> DataFrame:
     """Nine taps in each direction; values are rounded to 32 bits when stored, before and after each pass."""
     weights = P.kernel()
-    return by_frame(grid, channels, lambda v: single(weighted(single(weighted(single(v), weights, 1)), weights, 0)))
+    reach = len(weights) // 2
+    return by_tile(grid, channels, lambda v: single(weighted(single(weighted(single(v), weights, 1)), weights, 0)), reach, reach, tile)
 
 
 def _box(values: np.ndarray, radius: int, axis: int) -> np.ndarray:
-    return single(weighted(values, [1.0] * (2 * radius + 1), axis) / (2 * radius + 1))
-
-
-def box_blur_pass(grid: DataFrame, radius: int, across: str, along: str, channels=P.CHANNELS) -> DataFrame:
+    """Means of 2 * radius + 1 places: a difference of running sums, and an edge's value for each place beyond it.
+
+    Sums are kept as whole numbers of a small enough power of two, so they are
+    exact and a mean doesn't depend on where its tile begins.
+    """
+    v = np.moveaxis(values, axis, 0)
+    n, most = len(v), float(np.abs(v).max())
+    unit = 2.0 ** (61 - np.frexp(most * (n + 2 * radius + 1))[1]) if most > 0 else 1.0
+    v = np.rint(v * unit).astype(np.int64)
+    sums = np.concatenate([np.zeros_like(v[:1]), np.cumsum(v, axis=0)])
+    at = np.arange(n)
+    inside = sums[np.minimum(at + radius, n - 1) + 1] - sums[np.maximum(at - radius, 0)]
+    before, beyond = np.maximum(radius - at, 0), np.maximum(at + radius - (n - 1), 0)
+    total = (inside + before[:, None] * v[0] + beyond[:, None] * v[-1]) / unit
+    return np.moveaxis(single(total / (2 * radius + 1)), 0, axis)
+
+
+def box_blur_pass(grid: DataFrame, radius: int, across: str, along: str, channels=P.CHANNELS, tile: int | None = None) -> DataFrame:
     """One pass of means of 2 * radius + 1 cells along a direction (col: horizontal)."""
-    return by_frame(grid, channels, lambda v: _box(v, radius, 1 if along == "col" else 0))
+    flat = along == "col"
+    return by_tile(grid, channels, lambda v: _box(v, radius, 1 if flat else 0), 0 if flat else radius, radius if flat else 0, tile)
 
 
-def box_blur(grid: DataFrame, radius: int = P.GENERAL_RADIUS, passes: int = P.GENERAL_PASSES, channels=P.CHANNELS) -> DataFrame:
+def box_blur(grid: DataFrame, radius: int = P.GENERAL_RADIUS, passes: int = P.GENERAL_PASSES, channels=P.CHANNELS, tile: int | None = None) -> DataFrame:
     """Horizontal and vertical means of 2 * radius + 1 cells, passes times; the grid itself without radius or passes."""
     if radius <= 0 or passes <= 0:
         return grid
@@ -84,4 +119,4 @@ def box_blur(grid: DataFrame, radius: int = P.GENERAL_RADIUS, passes: int = P.GE
             values = _box(_box(values, radius, 1), radius, 0)
         return values
 
-    return by_frame(grid, channels, blur)
+    return by_tile(grid, channels, blur, radius * passes, radius * passes, tile)

@@ -97,7 +97,6 @@ REGION = viewport(
     "case when r_regionkey % 2 = 0 then 800 else 900 end height, 0.4e0 + r_regionkey * 0.3e0 zoom, cast(r_regionkey % 3 as integer) fine, (r_regionkey + 1) / 7e0 progress from region"
 )
 CUSTOMER = viewport("select c_custkey frame_id, (c_custkey % 97) / 97e0 t, 600 + c_custkey % 1400 width, 400 + c_custkey % 900 height, 0.1e0 + (c_custkey % 55) * 0.1e0 zoom from customer")
-ONE = f"{POINTS},\n" + viewport("select cast(0 as bigint) frame_id, round(avg(t), 3) t, 1280 width, 800 height, 1e0 zoom from points")
 
 
 def cells(src: str, out: str, i0, i1, j0, j1, more="") -> str:
@@ -297,7 +296,7 @@ def cell_rows() -> str:
     each = " union all ".join(
         f"select frame_id, '{c}' channel, py as row, unnest(range(0, len({c}) - 1)) col, unnest({c}[:-2]) a, unnest({c}[2:]) b, unnest({c}_below[2:]) c, unnest({c}_below[:-2]) d from strips" for c in P.CHANNELS
     )
-    return f"""{ONE},
+    return f"""{REGION},
 {BANDS},
 {grid()},
 {gauss('g', 'sg')},
@@ -344,6 +343,11 @@ half as (select frame_id, channel, band, edge_a e, edge_b f, ax x, ay y from seg
 reach(frame_id, channel, band, s, e) as (select distinct frame_id, channel, band, e, e from half union select r.frame_id, r.channel, r.band, r.s, h.f from reach r join half h on h.frame_id = r.frame_id and h.channel = r.channel and h.band = r.band and h.e = r.e where h.f > r.s),
 labelled as (select frame_id, channel, band, e, min(s) loop_id from reach group by all),
 spot as (select frame_id, channel, band, e, min(x) x, min(y) y from half group by all)"""
+#: From each loop's smallest edge to its smaller neighbour and on: k steps on the way, from prev to e.
+WALK = f"""{LOOPS},
+beside as materialized (select frame_id, channel, band, e, min(f) p, max(f) q from half group by all),
+walk(frame_id, channel, band, loop_id, e, prev, k) as (select frame_id, channel, band, e, e, q, 0 from beside join labelled using (frame_id, channel, band, e) where e = loop_id
+  union all select * from (select w.frame_id, w.channel, w.band, w.loop_id, case when b.p = w.prev then b.q else b.p end e, w.e prev, w.k + 1 k from walk w join beside b using (frame_id, channel, band, e)) where e <> loop_id)"""
 
 
 def ordered(columns: str) -> str:
@@ -411,7 +415,7 @@ b0 as (select frame_id, py, px, 0e0 r, {mix('144e0', '0e0', step('0.55e0', '0.9e
 {_over('b1', 'b2', P.HAIL_RGB, 'h_a')},
 px8 as (select frame_id, py, px, cast(floor(r + 0.5e0) as integer) r, cast(floor(g + 0.5e0) as integer) g, cast(floor(b + 0.5e0) as integer) b, cast(floor(a * 255 + 0.5e0) as integer) a from b2)"""
 
-SMOOTH = f"""{ONE},
+SMOOTH = f"""{REGION},
 {BANDS},
 {grid(18)},
 {gauss('g', 'sg')},
@@ -465,7 +469,8 @@ SQL = {
     "select event_id, cast(r_c as integer) r, cast(g_c as integer) g, cast(b_c as integer) b, format('rgb({} {} {})', cast(r_c as integer), cast(g_c as integer), cast(b_c as integer)) css, drawn_c drawn from cc",
     "hazard_symbol": f"with {SYM} select event_id, kind, {r6('radius')} from sym",
     "symbol_vertices": f"with {SYM} select event_id, point, {r6('px')}, {r6('py')} from ({_vertices('hail', 6, 'radius')} union all {_vertices('storm', 8, '(case when k % 2 = 0 then radius else radius * 0.38e0 end)')})",
-    "band_colors": f"with {BANDS} select channel, band, " + ", ".join(f"cast('0x' || substr(color, {2 + 2 * k}, 2) as integer) {c}" for k, c in enumerate("rgb")) + " from bands",
+    "band_colors": f"with {VALUES}, {BANDS}, top as (select event_id, max(band) band from v join bands on channel = 'rain' and threshold <= rain group by event_id) select event_id, band, "
+    + ", ".join(f"cast('0x' || substr(color, {2 + 2 * k}, 2) as integer) {c}" for k, c in enumerate("rgb")) + " from top join bands using (band) where channel = 'rain'",
     "blur_opacity": f"with {VALUES} select event_id, {', '.join(r6(v, c) for c, v in OPACITY.items())} from v",
     "viewport_bounds": f"with {CUSTOMER} select frame_id, {', '.join(map(r6, ('field_pixels', 'center_x', 'center_y', 'min_x', 'max_x', 'min_y', 'max_y')))} from frames",
     "travel_path": f"with {CUSTOMER} select frame_id, {r6('travel_x')} from frames",
@@ -487,18 +492,28 @@ SQL = {
     "box_blur": f"with {REGION}, {grid()}, {box('g', 'bg', 'row', 'col')} {by_row('bg')}",
     "box_blur_3pass": f"with {REGION}, {grid(18)}, {box3('g', 'bg')} {by_row('bg')}",
     "spline_raster": f"with {RASTER} {by_row('ra', 'py', 'px')}",
-    "spline_lattice": f"with {ONE}, {grid()}, {gauss('g', 'sg')}, {nodes(0, 'sg')} {by_row('nd', 'py', 'px')}",
-    "spline_points": f"with {ONE}, {grid()}, {gauss('g', 'sg')}, pt as (select p.event_id, p.x * 128 - 0.5e0 - start_i gx, p.y * 128 - 0.5e0 - start_j gy, end_i - start_i + 1 w, end_j - start_j + 1 h from points p, gb), "
+    "spline_lattice": f"with {REGION}, {grid()}, {gauss('g', 'sg')}, {nodes(0, 'sg')} {by_row('nd', 'py', 'px')}",
+    "spline_points": f"with {POINTS}, {REGION}, {grid()}, {gauss('g', 'sg')}, pt as (select p.event_id, gb.frame_id, p.x * 128 - 0.5e0 - start_i gx, p.y * 128 - 0.5e0 - start_j gy, end_i - start_i + 1 w, end_j - start_j + 1 h from points p join gb on gb.frame_id = p.event_id % 5), "
     "tx as (select *, kx, greatest(0, least(w - 1, cast(floor(gx) as bigint) - 1 + kx)) col, gx - floor(gx) fx, ky, greatest(0, least(h - 1, cast(floor(gy) as bigint) - 1 + ky)) as row, gy - floor(gy) fy from pt, range(0, 4) a(kx), range(0, 4) b(ky)), "
     f"tw as (select *, case kx when 0 then {weights('fx')[0]} when 1 then {weights('fx')[1]} when 2 then {weights('fx')[2]} else {weights('fx')[3]} end * case ky when 0 then {weights('fy')[0]} when 1 then {weights('fy')[1]} when 2 then {weights('fy')[2]} else {weights('fy')[3]} end wt from tx) "
-    f"select event_id point_id, {', '.join(r6(f'sum({c} * wt)', c) for c in P.CHANNELS)} from tw join sg on tw.row = sg.row and tw.col = sg.col group by event_id",
+    f"select event_id point_id, {', '.join(r6(f'sum({c} * wt)', c) for c in P.CHANNELS)} from tw join sg on tw.frame_id = sg.frame_id and tw.row = sg.row and tw.col = sg.col group by event_id",
     "blur_raster": f"with {BLUR} select frame_id, cast(py as integer) py, count(*) n, {', '.join(f'cast(sum({c}) as bigint) sum_{c}' for c in 'rgba')}, cast(sum(a * px) as bigint) at_a from px8 group by frame_id, py",
     "coverage_histogram": f"with {REGION}, {grid()}, {long('g', 'l')}, {hist('l', 'hh')} select * from hh",
     "coverage_threshold": f"with {REGION}, {BANDS}, {grid()}, {box('g', 'bg', 'row', 'col')}, {long('g', 'lo')}, {long('bg', 'lg')}, {targets('lo', 'tg')}, {hist('lg', 'hh')}, {thresholds('hh', 'tg', 'th')} select frame_id, channel, band, covered, {r6('value')} from th",
     "coverage_bands": _coverage_bands(),
     "contour_cells": f"with {CELLS} select frame_id, channel, band, cast(row as integer) as row, cast(col as integer) col, {', '.join(map(r6, 'abcd'))} from crossed",
     "contour_segments": f"with {SEGMENTS} select frame_id, channel, band, cast(row as integer) as row, cast(col as integer) col, cast(edge_a as bigint) edge_a, cast(edge_b as bigint) edge_b, {', '.join(map(r6, ('ax', 'ay', 'bx')))}, {r6('b_y', QUOTED)} from seg",
-    "contour_loops": f"with recursive {LOOPS} select frame_id, channel, band, cast(loop_id as bigint) loop_id, count(*) points, {r6('sum(x)', 'sum_x')}, {r6('sum(y)', 'sum_y')} from labelled join spot using (frame_id, channel, band, e) group by all",
+    "contour_loops": f"with recursive {WALK} select frame_id, channel, band, cast(loop_id as bigint) loop_id, count(*) points, {r6('sum(x)', 'sum_x')}, {r6('sum(y)', 'sum_y')}, {r6('sum(k * x)', 'at_x')}, {r6('sum(k * y)', 'at_y')} from walk join spot using (frame_id, channel, band, e) group by all",
+    "loop_nesting": f"""with recursive {LOOPS},
+loop as (select frame_id, channel, band, loop_id, count(*) points from labelled group by all),
+probe as (select l.*, s.x px, s.y py from loop l join spot s on s.frame_id = l.frame_id and s.channel = l.channel and s.band = l.band and s.e = l.loop_id),
+side as (select l.frame_id, l.channel, l.band, l.loop_id, a.x ax, a.y ay, b.x bx, b.y b_y from seg join labelled l on l.frame_id = seg.frame_id and l.channel = seg.channel and l.band = seg.band and l.e = edge_a
+  join spot a on a.frame_id = seg.frame_id and a.channel = seg.channel and a.band = seg.band and a.e = edge_a join spot b on b.frame_id = seg.frame_id and b.channel = seg.channel and b.band = seg.band and b.e = edge_b),
+holds as materialized (select p.frame_id, p.channel, p.band, p.loop_id, s.loop_id outer_id from probe p join side s using (frame_id, channel, band)
+  where s.loop_id <> p.loop_id and (ay > py) <> (b_y > py) and px < ax + (py - ay) / (b_y - ay) * (bx - ax) group by all having count(*) % 2 = 1),
+depth as (select frame_id, channel, band, loop_id, count(*) depth from holds group by all),
+parent as (select h.frame_id, h.channel, h.band, h.loop_id, arg_max(outer_id, coalesce(d.depth, 0)) parent_loop from holds h left join depth d on d.frame_id = h.frame_id and d.channel = h.channel and d.band = h.band and d.loop_id = h.outer_id group by all)
+select frame_id, channel, band, cast(loop_id as bigint) loop_id, points, coalesce(depth, 0) depth, cast(parent_loop as bigint) parent_loop from loop left join depth using (frame_id, channel, band, loop_id) left join parent using (frame_id, channel, band, loop_id)""",
     "area_layers": f"with recursive {LOOPS}, pts as (select spot.frame_id, channel, band, center_x + (spot.x - 0.5e0) * field_pixels * zoom px, center_y + (spot.y - 0.5e0) * field_pixels * zoom py, field_pixels * zoom scale from spot join frames using (frame_id)), "
     "st as (select *, case channel when 'rain' then band when 'storm' then 5 else 6 end layer, 'fill' style, case channel when 'rain' then 1e0 when 'storm' then 0.45e0 else 0.35e0 end alpha, cast(null as double) line_width from pts "
     "union all select *, case channel when 'storm' then 7 else 8 end, 'line', 1e0, 1.25e0 / scale from pts where channel <> 'rain') "
@@ -535,7 +550,7 @@ def _areas_smooth() -> str:
     bands = _coverage_bands()
     head = bands[len("with ") : bands.rindex("\nselect frame_id, channel, band")]
     moved = "sb as (select frame_id, channel, band, value threshold from th where channel <> 'rain' union all " + " union all ".join(f"select frame_id, 'rain', {b}, e{b} from e4" for b in range(5)) + ")"
-    plain = f"{ONE},\n{BANDS},\n{grid()},\n{gauss('g', 'sg')},\n{nodes(0, 'sg')}"
+    plain = f"{REGION},\n{BANDS},\n{grid()},\n{gauss('g', 'sg')},\n{nodes(0, 'sg')}"
     return SQL["area_layers"].replace(plain, f"{head},\n{moved},\n{nodes(18, 'bg')}").replace("quads join bands using (channel)", "quads join sb using (frame_id, channel)")
 
 

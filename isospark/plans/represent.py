@@ -45,10 +45,6 @@ def dots(sampled: DataFrame) -> DataFrame:
     return _layers(sampled, radii, colours, ["frame_id", "i", "j", "sx", "sy"])
 
 
-def _square_colour(rain: Column, storm: Column, hail: Column, state: Column, spacing: Column) -> list[Column]:
-    return S.over_hail(S.over_storm(S.rain_colour(rain, spacing), storm, state), hail, state)
-
-
 def colour_cells(df: DataFrame, rain: str, storm: str, hail: str, state: str, spacing: Column, out: str) -> DataFrame:
     """Adds out_r, out_g, out_b. Each overlay is a projection of its own, as each step rounds."""
     names = [f"{out}_{c}" for c in "rgb"]
@@ -110,13 +106,13 @@ def hazard_morph(morph: DataFrame) -> DataFrame:
     return out.where("radius > 0")
 
 
-def squares_morph(morph: DataFrame) -> DataFrame:
-    """Cells of the finer level with colours between the parent's and their own; all are drawn."""
+def squares_morph(morph: DataFrame, keep: tuple[Column, ...] = ()) -> DataFrame:
+    """Cells of the finer level with colours between the parent's and their own; all are drawn. keep: further columns of the cells."""
     spacing = F.col("spacing")
     both = colour_cells(morph, "rain", "storm", "hail", "state", spacing, "fine")
     both = colour_cells(both, "parent_rain", "parent_storm", "parent_hail", "parent_state", 2 * spacing, "coarse")
     mixed = S.mix_colour([F.col(f"coarse_{c}") for c in "rgb"], [F.col(f"fine_{c}") for c in "rgb"], F.col("progress"))
-    return both.select("frame_id", "i", "j", (F.col("sx") - spacing / 2).alias("x0"), (F.col("sy") - spacing / 2).alias("y0"), *[m.cast("int").alias(c) for m, c in zip(mixed, "rgb", strict=True)])
+    return both.select("frame_id", "i", "j", (F.col("sx") - spacing / 2).alias("x0"), (F.col("sy") - spacing / 2).alias("y0"), *[m.cast("int").alias(c) for m, c in zip(mixed, "rgb", strict=True)], *keep)
 
 
 def dots_between(morph: DataFrame) -> DataFrame:
@@ -127,8 +123,7 @@ def dots_between(morph: DataFrame) -> DataFrame:
 
 def squares_between(morph: DataFrame) -> DataFrame:
     """Cells of a transition, with the columns of squares."""
-    sized = morph.select("frame_id", "i", "j", (F.col("spacing") + 0.5).alias("size"))
-    return squares_morph(morph).join(sized, ["frame_id", "i", "j"])
+    return squares_morph(morph, ((F.col("spacing") + 0.5).alias("size"),))
 
 
 def smooth_grid(frames: DataFrame) -> DataFrame:
@@ -198,7 +193,11 @@ def contour_cells(bounded: DataFrame, grid: DataFrame, bands: DataFrame) -> Data
     y_axis = spline.lattice_axis(placed, F.col("first_j"), F.col("last_j"), F.col("start_j"), F.col("end_j") - F.col("start_j") + 1)
     nodes = spline.reconstruct(grid, x_axis, y_axis)
     nodes = nodes.withColumns({c: F.col(c).cast("float").cast("double") for c in P.CHANNELS})
-    return contour.crossed(contour.corners(nodes), bands).join(placed.select("frame_id", "first_i", "first_j", "rows", "columns"), "frame_id")
+    steps = contour.steps(bands)
+    placed = placed.join(steps, "frame_id") if "frame_id" in bands.columns else placed.join(F.broadcast(steps), F.lit(True))
+    sizes = ["first_i", "first_j", "rows", "columns"]
+    cells = contour.corners(nodes).join(placed.select("frame_id", *sizes, *[f"{c}_steps" for c in P.CHANNELS]), "frame_id")
+    return contour.crossed(cells, ["frame_id", "row", "col", *sizes])
 
 
 def areas(loops: DataFrame, frames: DataFrame) -> DataFrame:

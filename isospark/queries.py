@@ -1,7 +1,8 @@
 """Queries over the test tables, one for each operator family.
 
 The field has no input tables, so tables are bound to it: events and lineitem
-as points, customer and region as frames. All queries run over whole tables.
+as points, customer and region as frames (areas and contours over the five
+frames of region). All queries run over whole tables.
 Real numbers are rounded to 6 places, and large lattices are summed by row.
 """
 
@@ -70,12 +71,6 @@ def customer_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def one_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frame at the mean time of all events."""
-    mean = event_points(spark, sf_dir).agg(F.round(F.avg("t"), 3).alias("t"))
-    return FR.with_viewport(mean.select(F.lit(0).cast("long").alias("frame_id"), "t", F.lit(1280).alias("width"), F.lit(800).alias("height"), F.lit(1.0).alias("zoom")))
-
-
 def by_row(grid: DataFrame, row: str = "row", col: str = "col") -> DataFrame:
     """A grid summed by row, plainly and weighted by place."""
     sums = [r6(F.sum(F.col(c) * w), f"{p}_{c}") for c in P.CHANNELS for p, w in (("sum", F.lit(1.0)), ("at", F.col(col) + 1))]
@@ -147,9 +142,12 @@ def symbol_vertices(spark, d):
 
 
 def band_colors(spark, d):
-    colours = spark.createDataFrame([(c, b, h) for c, b, _, h in P.BANDS], "channel string, band int, color string")
-    rgb = S.hex_to_rgb(F.col("color"))
-    return colours.select("channel", "band", *[rgb[k].alias(c) for k, c in enumerate("rgb")])
+    """The colour of the highest rain band that each event reaches."""
+    rain = sorted((t, h) for c, _, t, h in P.BANDS if c == "rain")
+    reached = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(h).alias("color")) for t, h in rain]), lambda b: b.t <= F.col("rain"))
+    shown = event_values(spark, d).select("event_id", (F.size(reached) - 1).alias("band"), F.try_element_at(reached, F.size(reached)).alias("top")).where("band >= 0")
+    rgb = S.hex_to_rgb(F.col("top.color"))
+    return shown.select("event_id", "band", *[rgb[k].alias(c) for k, c in enumerate("rgb")])
 
 
 def blur_opacity(spark, d):
@@ -221,16 +219,16 @@ def spline_raster(spark, d):
 
 
 def spline_lattice(spark, d):
-    bounded, grid = R.area_grid(one_frame(spark, d), False)
+    bounded, grid = R.area_grid(region_frames(spark, d), False)
     placed = R.node_bounds(bounded)
     axes = [spline.lattice_axis(placed, F.col(f"first_{k}"), F.col(f"last_{k}"), F.col(f"start_{k}"), F.col(f"end_{k}") - F.col(f"start_{k}") + 1) for k in "ij"]
     return by_row(spline.reconstruct(grid, *axes), "py", "px")
 
 
 def spline_points(spark, d):
-    bounded, grid = R.area_grid(one_frame(spark, d), False)
+    bounded, grid = R.area_grid(region_frames(spark, d), False)
     sizes = bounded.select("frame_id", "start_i", "start_j", (F.col("end_i") - F.col("start_i") + 1).alias("width"), (F.col("end_j") - F.col("start_j") + 1).alias("height"))
-    points = event_points(spark, d).select(F.col("event_id").alias("point_id"), F.lit(0).cast("long").alias("frame_id"), "x", "y").join(F.broadcast(sizes), "frame_id")
+    points = event_points(spark, d).select(F.col("event_id").alias("point_id"), (F.col("event_id") % 5).alias("frame_id"), "x", "y").join(sizes, "frame_id")
     return spline.reconstruct_points(grid, points).select("point_id", *[r6(c) for c in P.CHANNELS])
 
 
@@ -252,7 +250,7 @@ def coverage_threshold(spark, d):
 
 
 def _smooth_areas(spark, d):
-    bounded, grid = R.area_grid(one_frame(spark, d), True)
+    bounded, grid = R.area_grid(region_frames(spark, d), True)
     general = stencil.box_blur(grid)
     return bounded, grid, general, R.remapped_bands(bounded, grid, general, R.band_table(spark))
 
@@ -262,7 +260,7 @@ def coverage_bands(spark, d):
 
 
 def _cells(spark, d):
-    frames = one_frame(spark, d)
+    frames = region_frames(spark, d)
     return R.contour_cells(*R.area_grid(frames, False), R.band_table(spark))
 
 
@@ -276,11 +274,15 @@ def contour_segments(spark, d):
 
 def contour_loops(spark, d):
     loops = contour.stitch(contour.segments(_cells(spark, d)))
-    return loops.groupBy("frame_id", "channel", "band", "loop_id").agg(F.count("*").alias("points"), r6(F.sum("x"), "sum_x"), r6(F.sum("y"), "sum_y"))
+    return loops.groupBy("frame_id", "channel", "band", "loop_id").agg(F.count("*").alias("points"), r6(F.sum("x"), "sum_x"), r6(F.sum("y"), "sum_y"), r6(F.sum(F.col("seq") * F.col("x")), "at_x"), r6(F.sum(F.col("seq") * F.col("y")), "at_y"))
+
+
+def loop_nesting(spark, d):
+    return contour.nest(contour.stitch(contour.segments(_cells(spark, d))))
 
 
 def _areas(spark, d, smooth):
-    frames = one_frame(spark, d)
+    frames = region_frames(spark, d)
     out = R.render(frames, "areas", smooth)
     return out.groupBy("frame_id", "layer", "style", "channel", "band", "color", r6("alpha"), r6("line_width")).agg(F.count("*").alias("points"), r6(F.sum("px"), "sum_px"), r6(F.sum("py"), "sum_py"))
 
@@ -366,7 +368,7 @@ def lod_transition_fold(spark, d):
 NAMES = (
     "events_hazard_counts field_lattice lattice_band_counts point_field_lineitem strength hazard_state dot_radius strong_rain square_color hazard_symbol symbol_vertices band_colors blur_opacity "
     "viewport_bounds travel_path select_lod lod_sample lod_hazard_group lod_parent_join dots_layers squares_cells dots_morph hazard_morph squares_morph gauss_smooth box_blur box_blur_3pass "
-    "spline_raster spline_lattice spline_points blur_raster coverage_histogram coverage_threshold coverage_bands contour_cells contour_segments contour_loops area_layers area_layers_smooth "
+    "spline_raster spline_lattice spline_points blur_raster coverage_histogram coverage_threshold coverage_bands contour_cells contour_segments contour_loops loop_nesting area_layers area_layers_smooth "
     "timeline_fold timeline_pointer zoom_fold pinch_fold scrub_fold mode_fold canvas_size render_dots render_squares lod_transition_fold"
 ).split()
 QUERIES = {name: globals()[name] for name in NAMES}

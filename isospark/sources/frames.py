@@ -46,8 +46,8 @@ def canvas_size(width: Column, height: Column, ratio: Column) -> dict[str, Colum
 
 
 def with_transition(frames: DataFrame, states: DataFrame) -> DataFrame:
-    """frames drawn at the level and transition (frame_id, level, fine, progress) of their session's state."""
-    return frames.drop("fine", "progress").join(states.select("frame_id", "level", "fine", "progress"), "frame_id").withColumn("lod", F.col("level")).drop("level")
+    """frames drawn at the level and transition (frame_id, level, fine, progress) of their session's state; without one, at their own level."""
+    return frames.drop("fine", "progress").join(states.select("frame_id", "level", "fine", "progress"), "frame_id", "left").withColumn("lod", F.coalesce("level", "lod")).drop("level")
 
 
 def world_to_screen(world: Column, center: Column) -> Column:

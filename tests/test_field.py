@@ -120,6 +120,32 @@ def test_stencils(spark, shape):
     assert stencil.box_blur(df, 0) is df
 
 
+def test_tiles_do_not_show(spark):
+    """Rows are the same whatever the tile or strip, over two frames, and no task needs more than a tile with its rim."""
+    m = np.random.default_rng(1).random((2, 41, 53)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(f, r, c, float(m[f, r, c]), 1.0, float(r)) for f in range(2) for r in range(41) for c in range(53)], "frame_id long, row int, col int, rain double, storm double, hail double")
+    rows = lambda out: sorted(map(tuple, out.collect()))
+    for blur in (stencil.gauss_smooth, lambda g, tile: stencil.box_blur(g, 3, 2, tile=tile), lambda g, tile: stencil.box_blur_pass(g, 6, "row", "col", tile=tile), lambda g, tile: stencil.box_blur_pass(g, 6, "col", "row", tile=tile)):
+        whole = rows(blur(df, tile=1000))
+        assert len(whole) == 2 * 41 * 53
+        for tile in (7, 16, 41):
+            assert np.allclose(np.array(rows(blur(df, tile=tile))), np.array(whole), rtol=0, atol=1e-9)
+    cells = df.withColumn("t", F.explode(stencil._tiles("row", 4, 16))).withColumn("u", F.explode(stencil._tiles("col", 4, 16))).groupBy("frame_id", "t", "u").count()
+    assert cells.agg(F.max("count")).first()[0] <= 24 * 24
+    bounds = spark.createDataFrame([(0, -3, 125), (1, 0, 60)], "frame_id long, a long, b long")
+    axes = [spline.lattice_axis(bounds, F.col("a"), F.col("b"), F.lit(0), F.lit(n)) for n in (53, 41)]
+    whole = rows(spline.reconstruct(df, *axes, strip=1000))
+    assert len(whole) == 129**2 + 61**2 and np.allclose(np.array(rows(spline.reconstruct(df, *axes, strip=10))), np.array(whole), rtol=0, atol=1e-12)
+
+
+def test_box_means_are_running_sums():
+    v = np.random.default_rng(4).random((9, 31))
+    for radius in (1, 6, 40):
+        for axis in (0, 1):
+            want = numpy_box(v if axis else v.T, radius)
+            assert np.allclose(stencil._box(v, radius, axis), want if axis else want.T, atol=1e-6)
+
+
 def test_thresholds(spark):
     hist = spark.createDataFrame([(0, "rain", 10, 4), (0, "rain", 500, 2), (0, "rain", 1023, 3)], "frame_id long, channel string, bin int, n long")
     wanted = spark.createDataFrame([(0, "rain", k, c) for k, c in enumerate((0, 1, 3, 4, 9, 10))], "frame_id long, channel string, band int, covered long")
@@ -158,6 +184,57 @@ def test_loops(spark):
     df = spark.createDataFrame(ring + chain, "frame_id long, channel string, band int, row int, col int, edge_a long, edge_b long, ax double, ay double, bx double, by double")
     rows = contour.stitch(df).orderBy("loop_id", "seq").collect()
     assert [(r.loop_id, r.seq, r.x) for r in rows] == [(3, 0, 5.0), (3, 1, 3.0), (3, 2, 7.0)] + [(10, k, float(k)) for k in range(5)]
+    assert contour.stitch(df.limit(0)).count() == 0
+
+
+def walked(segments):
+    """(loop, seq) of each edge by walking from the smallest edge, or a chain's smaller end, to the smaller neighbour."""
+    near = {}
+    for a, b in segments:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for low in sorted(near):
+        if low in out:
+            continue
+        members, todo = {low}, [low]
+        while todo:
+            for e in near[todo.pop()] - members:
+                members.add(e)
+                todo.append(e)
+        edge = min((e for e in members if len(near[e]) == 1), default=low)
+        for seq in range(len(members)):
+            out[edge] = low, seq
+            edge = min((e for e in near[edge] if e not in out), default=None)
+    return out
+
+
+def test_loops_are_ranked_as_a_walk_would(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for frame in range(2):
+        names = iter(rng.permutation(4000).tolist())
+        segments = []
+        for size, closed in [(3, True), (4, True), (77, True), (128, True), (2, False), (33, False), (300, False), (513, True)]:
+            line = [next(names) for _ in range(size)]
+            segments += [tuple(rng.permutation(p).tolist()) for p in zip(line, line[1:] + line[:1] if closed else line[1:])]
+        rng.shuffle(segments)
+        rows += [(frame, "rain", 0, k, 0, a, b, float(a), 0.0, float(b), 0.0) for k, (a, b) in enumerate(segments)]
+        want |= {(frame, e): v for e, v in walked(segments).items()}
+    df = spark.createDataFrame(rows, "frame_id long, channel string, band int, row int, col int, edge_a long, edge_b long, ax double, ay double, bx double, by double")
+    got = {(r.frame_id, int(r.x)): (r.loop_id, r.seq) for r in contour.stitch(df).collect()}
+    assert got == want
+
+
+def test_nesting_of_rings(spark):
+    """Rings within rings, a touching-box neighbour, and a ring in a notch of another's box."""
+    box = lambda x0, y0, x1, y1: [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    notch = [(20, 0), (30, 0), (30, 10), (28, 10), (28, 2), (22, 2), (22, 10), (20, 10)]
+    rings = {1: box(0, 0, 10, 10), 2: box(1, 1, 9, 9), 3: box(2, 2, 4, 4), 4: box(5, 5, 8, 8), 5: box(6, 6, 7, 7), 6: notch, 7: box(24, 4, 26, 6)}
+    df = spark.createDataFrame([(0, "rain", b, i, k, float(x), float(y)) for b in (0, 1) for i, r in rings.items() if b == 0 or i != 2 for k, (x, y) in enumerate(r)], "frame_id long, channel string, band int, loop_id long, seq int, x double, y double")
+    got = {(r.band, r.loop_id): (r.depth, r.parent_loop, r.points) for r in contour.nest(df).collect()}
+    assert got == {(0, 1): (0, None, 4), (0, 2): (1, 1, 4), (0, 3): (2, 2, 4), (0, 4): (2, 2, 4), (0, 5): (3, 4, 4), (0, 6): (0, None, 8), (0, 7): (0, None, 4),
+                   (1, 1): (0, None, 4), (1, 3): (1, 1, 4), (1, 4): (1, 1, 4), (1, 5): (2, 4, 4), (1, 6): (0, None, 8), (1, 7): (0, None, 4)}
 
 
 def test_contour_anchors(spark):
