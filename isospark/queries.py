@@ -20,7 +20,7 @@ from .operators.field import evaluate, with_field, with_time
 from .plans import represent as R
 from .sources import frames as FR
 from .sources import lattice
-from .streaming import session
+from .streaming import scan, session
 
 
 SCREEN = ("sx", "sy", "x0", "y0", "ax", "ay", "bx", "by")
@@ -311,7 +311,7 @@ def zoom_fold(spark, d):
     kind = reduce(lambda w, p: w.when(F.col("event_type") == p[0], p[1]), [("signup", "in"), ("purchase", "out"), ("error", "reset"), ("view", "wheel")], F.when(F.col("event_type") == "click", touch))
     amount = F.when(F.col("event_type") == "view", (F.col("value") - 250) * 4).otherwise((40 + n % 200).cast("double"))
     events = event_points(spark, d).withColumns({"action": kind, "amount": amount, "touches": F.when(n % 5 < 4, 2).otherwise(1)})
-    return session.zoom_fold(events, "user_id", ["ts", "event_id"], ["event_id"], "event_id long").select("event_id", r6("zoom"))
+    return scan.zoom_scan(events, "user_id", ["ts", "event_id"], ["event_id"], "event_id long").select("event_id", r6("zoom"))
 
 
 def pinch_fold(spark, d):
@@ -319,7 +319,7 @@ def pinch_fold(spark, d):
     kind = F.when(n % 8 == 0, "touchstart").when(n % 8 == 6, "touchend").when(n % 8 == 7, "wheel").otherwise("touchmove")
     amount = F.when(kind == "wheel", F.col("value") - 250).otherwise((n * 13 % 300).cast("double"))
     events = event_points(spark, d).withColumns({"action": kind, "amount": amount, "touches": F.when(n % 11 < 9, 2).otherwise(1)})
-    out = session.zoom_fold(events, "user_id", ["ts", "event_id"], ["event_id"], "event_id long")
+    out = scan.zoom_scan(events, "user_id", ["ts", "event_id"], ["event_id"], "event_id long")
     return out.select("event_id", r6("zoom"), r6("start_zoom"), r6("start_distance"))
 
 

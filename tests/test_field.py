@@ -11,7 +11,7 @@ from isospark.operators.field import evaluate, with_field, with_time
 from isospark.plans import represent as R
 from isospark.sources import frames as FR
 from isospark.sources import lattice
-from isospark.streaming import session
+from isospark.streaming import scan, session
 
 
 def one(spark, *columns):
@@ -276,29 +276,46 @@ def flat(state):
     return (level, *(morph or (None,) * 4))
 
 
-def test_lod_trace_batch_and_stream(spark, tmp_path):
+def test_lod_trace(spark):
     events = spark.createDataFrame([(s, k, d, w) for s in (1, 2) for k, (d, w) in enumerate(TRACE)], "session long, seq long, delta double, desired int")
     batch = session.lod_fold(events, "session", ["seq"], ["seq"], SCHEMA)
     rows = sorted(tuple(r) for r in batch.collect())
     for r in rows:
         assert r[1:] == pytest.approx(flat(STATES[r[0]]), abs=1e-9) if r[2] is not None else r[1:] == flat(STATES[r[0]])
-    for n, part in enumerate(("seq < 4", "seq >= 4")):
-        events.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = session.lod_stream(stream, "session").writeStream.format("memory").queryName("lod_states").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
-    query.processAllAvailable()
-    query.stop()
-    assert sorted(tuple(r)[1:] for r in spark.table("lod_states").collect()) == rows
 
 
 def test_zoom_and_pinch(spark):
     """A pinch scales the zoom of its start, whatever other events do to the zoom meanwhile."""
     steps = [("in", 0.0, 0), ("touchmove", 50.0, 2), ("touchstart", 100.0, 2), ("touchmove", 200.0, 2), ("touchmove", 150.0, 2), ("wheel", 100.0, 0), ("touchmove", 50.0, 2), ("touchstart", 7.0, 1), ("touchend", 0.0, 1), ("touchmove", 900.0, 2), ("reset", 0.0, 0), ("touchstart", 10.0, 2), ("touchmove", 1000.0, 2), ("touchmove", 0.1, 2), ("out", 0.0, 0)]
     events = spark.createDataFrame([(1, k, *x) for k, x in enumerate(steps)], "session long, seq long, action string, amount double, touches int")
-    got = [r.zoom for r in session.zoom_fold(events, "session", ["seq"], ["seq"], "seq long").orderBy("seq").collect()]
+    got = [r.zoom for r in scan.zoom_scan(events, "session", ["seq"], ["seq"], "seq long").orderBy("seq").collect()]
     assert got == pytest.approx([1.28, 1.28, 1.28, 2.56, 1.92, 1.92 * math.exp(-0.125), 0.64, 0.64, 0.64, 0.64, 1.0, 1.0, 5.5, 0.1, 0.1])
 
 
+ACTIONS = ["in", "out", "reset", "wheel", "wheel", "touchstart", "touchmove", "touchmove", "touchmove", "touchend", "touchcancel", "else"]
+
+
+@pytest.mark.parametrize("block", [20, 333, 250_000])
+def test_zoom_scan_equals_steps(spark, monkeypatch, block):
+    """One session with most events spreads over the blocks and still has the rows of a step by step walk."""
+    monkeypatch.setattr(scan, "BLOCK", block)
+    rng = np.random.default_rng(block)
+    rows = []
+    for s, n in [(1, 5), (2, 900), (None, 40), (3, 1), (7, 200)]:
+        rows += [(s, k, str(rng.choice(ACTIONS)), None if rng.random() < 0.02 else float(rng.choice([-900, -90, 40, 150, 0.5, 3000])), int(rng.choice([1, 2, 2, 2, 0]))) for k in range(n)]
+    want, states = set(), {}
+    for s, k, action, amount, touches in rows:
+        states[s] = session.zoom_step(states.get(s, (1.0, 1.0, 0.0)), action, amount or 0.0, touches)
+        want.add((s, k, *(round(v, 7) for v in states[s])))
+    events = spark.createDataFrame(rows, "session long, seq long, action string, amount double, touches int").repartition(3)
+    out = scan.zoom_scan(events, "session", ["seq"], ["session", "seq"], "session long, seq long")
+    assert {(r[0], r[1], *(round(v + 0.0, 7) for v in r[2:])) for r in out.collect()} == want
+    if block == 20:
+        dealt = events.repartitionByRange(58, "session", "seq").where("session = 2").select(F.spark_partition_id().alias("p")).distinct().count()
+        assert dealt > 10
+    assert scan.zoom_scan(events.limit(0), "session", ["seq"], ["seq"], "seq long").count() == 0
+
+
 def test_scrub_and_modes(spark):
     steps = [("tick", 0, 0.0, 0.05), ("down", 1, 9.0, 0.0), ("tick", 0, 0.0, 0.05), ("move", 2, 1.0, 0.0), ("move", 1, 12.0, 0.0), ("toggle", 0, 0.0, 0.0), ("tick", 0, 0.0, 0.05), ("up", 2, 0.0, 0.0), ("cancel", 1, 0.0, 0.0), ("tick", 0, 0.0, 0.5), ("move", 1, 3.0, 0.0), ("input", 0, 18.0, 0.0), ("tick", 0, 0.0, 0.05), ("up", 1, 0.0, 0.0)]
     events = spark.createDataFrame([(1, k, *x) for k, x in enumerate(steps)], "session long, seq long, action string, pointer int, position double, delta double")
