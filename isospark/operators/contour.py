@@ -1,23 +1,29 @@
 """Contours: Marching Squares over a node lattice, and stitching of segments into loops.
 
-Cells look at their four corners by window within a row and a join to the next
-row. Thresholds are picked from sorted arrays by a cell's range, before rows are
-made of them. Segments are keyed by the edges that they join, never by
+Cells are found where the lattice is reconstructed, strip by strip, and only those
+that a threshold crosses become rows. Segments are keyed by the edges that they join, never by
 coordinates, so cells side by side agree exactly. Loops are ranked by pointer
 jumping over edges, and nested by the parity of a ray's crossings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..lineage import discard, written
+from . import spline
+from .stencil import single
 
 STEP = 1.0 / (P.BASE_GRID * P.SUBDIVISIONS)
 #: What a line belongs to.
 LINE = ["frame_id", "channel", "band"]
+#: Joins of a round of ranking.
+HOPS = 3
 #: Segments of each case as pairs of edges (top, right, bottom, left); the saddles 5 and 10 depend on the mean.
 CASES = {
     1: ("TL",), 2: ("RT",), 3: ("RL",), 4: ("BR",), 6: ("BT",), 7: ("BL",), 8: ("LB",), 9: ("TB",), 11: ("RB",), 12: ("LR",), 13: ("TR",), 14: ("LT",),
@@ -25,35 +31,43 @@ CASES = {
 }
 
 
-def corners(nodes: DataFrame, channels=P.CHANNELS) -> DataFrame:
-    """(frame_id, row, col and, for each channel, a struct of a, b, c, d): the corners of each cell of nodes (frame_id, py, px, channels), clockwise from the top left."""
-    along = Window.partitionBy("frame_id", "py").orderBy("px")
-    paired = nodes.select("frame_id", "py", "px", *channels, *[F.lead(c).over(along).alias(f"{c}_next") for c in channels]).where(F.col(f"{channels[0]}_next").isNotNull())
-    below = paired.select("frame_id", (F.col("py") - 1).alias("py"), "px", *[F.col(c).alias(f"{c}_d") for c in channels], *[F.col(f"{c}_next").alias(f"{c}_c") for c in channels])
-    four = [F.struct(F.col(c).alias("a"), F.col(f"{c}_next").alias("b"), F.col(f"{c}_c").alias("c"), F.col(f"{c}_d").alias("d")).alias(c) for c in channels]
-    return paired.join(below, ["frame_id", "py", "px"]).select("frame_id", F.col("py").alias("row"), F.col("px").alias("col"), *four)
+def crossings(grid: DataFrame, x_axis: DataFrame, y_axis: DataFrame, bands: DataFrame, channels=P.CHANNELS, strip: int | None = None) -> DataFrame:
+    """(frame_id, row, col, channel, band, threshold, a, b, c, d): cells of the node lattice of both axes with each threshold that passes through them.
 
-
-def steps(bands: DataFrame, channels=P.CHANNELS) -> DataFrame:
-    """One row a frame (or one row, where bands don't differ by frame): for each channel its bands as a sorted array of (threshold, band)."""
-    of = lambda c: F.sort_array(F.collect_list(F.when(F.col("channel") == c, F.struct(F.col("threshold").cast("double").alias("threshold"), F.col("band").cast("int").alias("band"))))).alias(f"{c}_steps")
-    return bands.groupBy(*[c for c in ("frame_id",) if c in bands.columns]).agg(*map(of, channels))
-
-
-def crossed(cells: DataFrame, keep: list[str], channels=P.CHANNELS) -> DataFrame:
-    """keep, channel, band, threshold, a, b, c, d: cells (corners) with each threshold of the arrays (channel)_steps that passes through them.
-
-    The thresholds between a cell's lowest and highest corner are picked from
-    the array, so a row is made for a hit alone.
+    a to d are the corners, clockwise from the top left, rounded to 32 bits.
+    bands: frame_id, channel, band, threshold. A strip of the lattice, with the
+    first row of the next, is reconstructed in one task, which searches a
+    channel's sorted thresholds for those above a cell's lowest corner, up to its
+    highest. So nodes are never rows; only hits leave the task.
     """
-
-    def hits(name: str) -> Column:
-        at = [F.col(f"{name}.{k}").alias(k) for k in "abcd"]
-        low, high = F.least(*at), F.greatest(*at)
-        inside = F.filter(f"{name}_steps", lambda t: (low < t.threshold) & (t.threshold <= high))
-        return F.transform(inside, lambda t: F.struct(F.lit(name).alias("channel"), t.band.alias("band"), t.threshold.alias("threshold"), *at))
-
-    return cells.select(*keep, F.inline(F.concat(*map(hits, channels))))
+    steps = bands.select("frame_id", F.col("channel").alias("axis"), F.col("band").cast("int").alias("pos"), F.lit(0).alias("src"), F.col("threshold").cast("double").alias("w"))
+    cells, axes = spline.strips(grid, x_axis, y_axis, channels, strip or spline.STRIP, 1, steps)
+    kind = grid.schema["frame_id"].dataType.simpleString()
+    names = ["frame_id", "row", "col", "channel", "band", "threshold", *"abcd"]
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), *(pa.float64(),) * 5]
+
+    def run(cells: pa.Table, axes: pa.Table) -> pa.Table:
+        found = [[np.zeros(0)] for _ in kinds]
+        if cells.num_rows:
+            py, px, values = spline.dense(cells, axes, channels)
+            for name, v in zip(channels, values, strict=True):
+                v = single(v)
+                at = [v[:-1, :-1], v[:-1, 1:], v[1:, 1:], v[1:, :-1]]
+                of = axes.filter(pc.equal(axes["axis"], name)).sort_by("w")
+                band, level = of["pos"].to_numpy(), of["w"].to_numpy()
+                low, high = (np.searchsorted(level, f.reduce(at).ravel(), "right") for f in (np.minimum, np.maximum))
+                hits = high - low
+                cell = np.repeat(np.arange(len(hits)), hits)
+                which = np.repeat(low, hits) + np.arange(len(cell)) - np.repeat(np.cumsum(hits) - hits, hits)
+                row, col = np.divmod(cell, max(1, len(px) - 1))
+                for out, column in zip(found, [py[row], px[col], np.repeat(name, len(cell)), band[which], level[which], *(x.ravel()[cell] for x in at)], strict=True):
+                    out.append(column)
+        columns = [pa.array(np.concatenate(c[1:] or c), k) for c, k in zip(found, kinds, strict=True)]
+        frame = (cells if cells.num_rows else axes)["frame_id"]
+        return pa.table([spline.repeated(frame, len(columns[0])), *columns], names=names)
+
+    shape = f"frame_id {kind}, row int, col int, channel string, band int, threshold double, a double, b double, c double, d double"
+    return cells.groupBy("frame_id", "strip").cogroup(axes.groupBy("frame_id", "part")).applyInArrow(run, shape)
 
 
 def _case() -> Column:
@@ -116,15 +130,19 @@ def directions(nodes: DataFrame) -> DataFrame:
 
 
 def jump(now: DataFrame) -> DataFrame:
-    """Every direction that has something ahead, twice as far."""
-    there = now.select(*LINE, F.col("tail").alias("ahead_tail"), F.col("head").alias("ahead_head"), *[F.col(c).alias(f"t_{c}") for c in ("ahead_tail", "ahead_head", "steps", "low", "at", "way", "last")])
-    far = now.where("ahead_tail is not null").join(there, [*LINE, "ahead_tail", "ahead_head"])
-    lower = F.col("t_low") < F.col("low")
-    pick = lambda a, b: F.when(lower, a).otherwise(F.col(b)).alias(b)
-    far = far.select(
-        *LINE, "tail", "head", F.col("t_ahead_tail").alias("ahead_tail"), F.col("t_ahead_head").alias("ahead_head"), (F.col("steps") + F.col("t_steps")).alias("steps"),
-        pick(F.col("t_low"), "low"), pick(F.col("steps") + F.col("t_at"), "at"), pick(F.col("t_way"), "way"), F.col("t_last").alias("last"), (lower | F.col("t_ahead_tail").isNull()).alias("moved"),
-    )
+    """Every direction that has something ahead, so many times as far: it follows what it points to, HOPS times."""
+    known = ("ahead_tail", "ahead_head", "steps", "low", "at", "way", "last")
+    there = now.select(*LINE, F.col("tail").alias("ahead_tail"), F.col("head").alias("ahead_head"), *[F.col(c).alias(f"t_{c}") for c in known])
+    far = now.where("ahead_tail is not null").withColumn("moved", F.lit(False))
+    for _ in range(HOPS):
+        met = far.join(there, [*LINE, "ahead_tail", "ahead_head"], "left")
+        on, lower = F.col("t_low").isNotNull(), F.coalesce(F.col("t_low") < F.col("low"), F.lit(False))
+        pick = lambda new, old, when: F.when(when, new).otherwise(F.col(old)).alias(old)  # noqa: E731, B023
+        far = met.select(
+            *LINE, "tail", "head", F.col("t_ahead_tail").alias("ahead_tail"), F.col("t_ahead_head").alias("ahead_head"), pick(F.col("steps") + F.col("t_steps"), "steps", on),
+            pick(F.col("t_low"), "low", lower), pick(F.col("steps") + F.col("t_at"), "at", lower), pick(F.col("t_way"), "way", lower), pick(F.col("t_last"), "last", on),
+            (F.col("moved") | lower | (on & F.col("t_ahead_tail").isNull())).alias("moved"),
+        )
     return far.union(now.where("ahead_tail is null").withColumn("moved", F.lit(False)).select(far.columns))
 
 
@@ -134,9 +152,9 @@ def stitch(found: DataFrame) -> DataFrame:
     Every edge has two segments at most, so a component is a cycle, or a chain at
     the border, which is closed all the same and begins at its smaller end. Both
     directions of all lines are ranked by pointer jumping: each round joins
-    every direction with the one it points to and doubles how far it sees, so a
-    loop of n edges takes log2(n) rounds and no task ever holds a line. Rounds
-    are written to the shared folder.
+    every direction with those that it points to and makes it see HOPS + 1 times
+    as far, so a loop of n edges takes log(n) rounds and no task ever holds a
+    line. Rounds are written to the shared folder.
     """
     nodes = written(near(found), "contour-edges")
     now = written(directions(nodes), "contour-ranks")

@@ -48,6 +48,21 @@ def lattice_axis(frames: DataFrame, first: Column, last: Column, start: Column,
     return _taps(axis, place, F.col("_size")).select("frame_id", "pos", "src", "w")
 
 
+def strips(grid: DataFrame, x_axis: DataFrame, y_axis: DataFrame, channels, strip: int, overlap: int = 0, more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What each strip (part) of `strip` output rows, and so many rows of the next one, needs: its grid rows, and its axes.
+
+    more: further rows (frame_id, axis, pos, src, w) that every strip of a frame gets with its axes.
+    """
+    names = ["pos", "src", "w"]
+    parts = F.sequence(F.greatest(F.lit(0), F.floor((F.col("pos") - overlap) / strip).cast("int")), F.floor(F.col("pos") / strip).cast("int"))
+    tall = y_axis.select("frame_id", F.explode(parts).alias("part"), F.lit("y").alias("axis"), *names)
+    needed = tall.select("frame_id", F.col("part").alias("strip"), F.col("src").alias("row")).distinct()
+    cells = grid.select("frame_id", "row", "col", *channels).join(needed, ["frame_id", "row"])
+    wide = x_axis.select("frame_id", F.lit("x").alias("axis"), *names)
+    wide = wide if more is None else wide.union(more.select("frame_id", "axis", *names))
+    return cells, tall.union(wide.join(tall.select("frame_id", "part").distinct(), "frame_id").select(tall.columns))
+
+
 def _axis(axes: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions in order, and four sources and weights of each."""
     part = axes.filter(pc.equal(axes["axis"], name))
@@ -56,30 +71,36 @@ def _axis(axes: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return pos[::4], src.reshape(-1, 4), w.reshape(-1, 4)
 
 
+def dense(cells: pa.Table, axes: pa.Table, channels) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Positions down and across a strip, and each channel there: along x for its grid rows, then along y."""
+    px, x_src, x_w = _axis(axes, "x")
+    py, y_src, y_w = _axis(axes, "y")
+    out, at, first = [], place(cells), cells["row"].to_numpy().min()
+    for c in channels:
+        v = matrix(cells, c, at)
+        lines = sum(v[:, x_src[:, k]] * x_w[:, k] for k in range(4))
+        out.append(sum(lines[y_src[:, k] - first] * y_w[:, k, None] for k in range(4)))
+    return py, px, out
+
+
+def repeated(value: pa.ChunkedArray, n: int) -> pa.Array:
+    """The first value of a column, n times."""
+    return value.slice(0, 1).combine_chunks().take(pa.array(np.zeros(n, np.int64)))
+
+
 def reconstruct(grid: DataFrame, x_axis: DataFrame, y_axis: DataFrame, channels=P.CHANNELS, strip: int | None = None) -> DataFrame:
-    """(frame_id, py, px, channels): along x for the grid rows of a strip of output rows, then along y."""
-    strip = strip or STRIP
-    tall = y_axis.select("frame_id", "pos", "src", "w", F.floor(F.col("pos") / strip).cast("int").alias("strip"))
-    needed = tall.select("frame_id", F.col("strip").alias("part"), F.col("src").alias("row")).distinct()
-    cells = grid.select("frame_id", "row", "col", *channels).join(needed, ["frame_id", "row"])
-    wide = x_axis.select("frame_id", "pos", "src", "w").join(tall.select("frame_id", "strip").distinct(), "frame_id")
-    axes = wide.select("frame_id", "strip", F.lit("x").alias("axis"), "pos", "src", "w").union(tall.select("frame_id", "strip", F.lit("y").alias("axis"), "pos", "src", "w"))
+    """(frame_id, py, px, channels) of the nodes of both axes."""
+    cells, axes = strips(grid, x_axis, y_axis, channels, strip or STRIP)
     schema = StructType([grid.schema["frame_id"], StructField("py", IntegerType()), StructField("px", IntegerType()), *(StructField(c, DoubleType()) for c in channels)])
 
     def run(cells: pa.Table, axes: pa.Table) -> pa.Table:
-        px, x_src, x_w = _axis(axes, "x")
-        py, y_src, y_w = _axis(axes, "y")
-        n = len(px) * len(py) if cells.num_rows else 0
-        first = cells["row"].to_numpy().min() if n else 0
-        out = []
-        for c in channels if n else ():
-            v = matrix(cells, c, place(cells))
-            lines = sum(v[:, x_src[:, k]] * x_w[:, k] for k in range(4))
-            out.append(pa.array(sum(lines[y_src[:, k] - first] * y_w[:, k, None] for k in range(4)).ravel()))
-        frame = cells["frame_id"].combine_chunks().take(pa.array(np.zeros(n, np.int64))) if n else pa.array([], axes["frame_id"].type)
-        return pa.table([frame, pa.array(np.repeat(py, len(px))[:n], pa.int32()), pa.array(np.tile(px, len(py))[:n], pa.int32()), *(out or [pa.array([], pa.float64())] * len(channels))], names=schema.names)
-
-    return cells.groupBy("frame_id", "part").cogroup(axes.groupBy("frame_id", "strip")).applyInArrow(run, schema)
+        if not cells.num_rows:
+            return pa.table([axes["frame_id"].slice(0, 0), *(pa.array([], pa.int32()),) * 2, *(pa.array([], pa.float64()),) * len(channels)], names=schema.names)
+        py, px, values = dense(cells, axes, channels)
+        columns = [repeated(cells["frame_id"], len(py) * len(px)), pa.array(np.repeat(py, len(px)), pa.int32()), pa.array(np.tile(px, len(py)), pa.int32())]
+        return pa.table([*columns, *(pa.array(v.ravel()) for v in values)], names=schema.names)
+
+    return cells.groupBy("frame_id", "strip").cogroup(axes.groupBy("frame_id", "part")).applyInArrow(run, schema)
 
 
 def reconstruct_points(grid: DataFrame, points: DataFrame, channels=P.CHANNELS) -> DataFrame:

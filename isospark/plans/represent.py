@@ -187,17 +187,11 @@ def node_bounds(bounded: DataFrame) -> DataFrame:
 
 
 def contour_cells(bounded: DataFrame, grid: DataFrame, bands: DataFrame) -> DataFrame:
-    """Cells of the contour lattice that a band's threshold crosses, with their corners."""
+    """Cells of the contour lattice that a band's threshold (frame_id, channel, band, threshold) crosses, with their corners."""
     placed = node_bounds(bounded)
     x_axis = spline.lattice_axis(placed, F.col("first_i"), F.col("last_i"), F.col("start_i"), F.col("end_i") - F.col("start_i") + 1)
     y_axis = spline.lattice_axis(placed, F.col("first_j"), F.col("last_j"), F.col("start_j"), F.col("end_j") - F.col("start_j") + 1)
-    nodes = spline.reconstruct(grid, x_axis, y_axis)
-    nodes = nodes.withColumns({c: F.col(c).cast("float").cast("double") for c in P.CHANNELS})
-    steps = contour.steps(bands)
-    placed = placed.join(steps, "frame_id") if "frame_id" in bands.columns else placed.join(F.broadcast(steps), F.lit(True))
-    sizes = ["first_i", "first_j", "rows", "columns"]
-    cells = contour.corners(nodes).join(placed.select("frame_id", *sizes, *[f"{c}_steps" for c in P.CHANNELS]), "frame_id")
-    return contour.crossed(cells, ["frame_id", "row", "col", *sizes])
+    return contour.crossings(grid, x_axis, y_axis, bands).join(placed.select("frame_id", "first_i", "first_j", "rows", "columns"), "frame_id")
 
 
 def areas(loops: DataFrame, frames: DataFrame) -> DataFrame:
@@ -218,7 +212,13 @@ def areas(loops: DataFrame, frames: DataFrame) -> DataFrame:
     return out.select("frame_id", "s.layer", "s.style", "channel", "band", "loop_id", "seq", "px", "py", "color", "s.alpha", "s.line_width")
 
 
-def render(frames: DataFrame, mode: str, smooth: bool = False, bands: DataFrame | None = None) -> DataFrame:
+def frame_bands(frames: DataFrame) -> DataFrame:
+    """The bands of each frame, with their own thresholds."""
+    each = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(b).alias("band"), F.lit(t).alias("threshold")) for c, b, t, _ in P.BANDS])
+    return frames.select("frame_id", F.inline(each))
+
+
+def render(frames: DataFrame, mode: str, smooth: bool = False) -> DataFrame:
     """One representation of frames: dots, squares, blur or areas.
 
     Dots and squares of frames that are between levels (fine and progress not
@@ -235,11 +235,11 @@ def render(frames: DataFrame, mode: str, smooth: bool = False, bands: DataFrame
         return blur_pixels(raster(frames))
     if mode != "areas":
         raise ValueError(f"unknown mode {mode}")
-    bands = bands if bands is not None else band_table(frames.sparkSession)
     bounded, grid = area_grid(frames, smooth)
+    bands = frame_bands(bounded)
     if smooth:
         general = stencil.box_blur(grid)
-        bands = remapped_bands(bounded, grid, general, bands)
+        bands = remapped_bands(bounded, grid, general, band_table(frames.sparkSession))
         grid = general
     return areas(contour.stitch(contour.segments(contour_cells(bounded, grid, bands))), frames)
 

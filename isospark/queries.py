@@ -260,8 +260,8 @@ def coverage_bands(spark, d):
 
 
 def _cells(spark, d):
-    frames = region_frames(spark, d)
-    return R.contour_cells(*R.area_grid(frames, False), R.band_table(spark))
+    bounded, grid = R.area_grid(region_frames(spark, d), False)
+    return R.contour_cells(bounded, grid, R.frame_bands(bounded))
 
 
 def contour_cells(spark, d):

@@ -25,6 +25,8 @@ from ..lineage import written
 
 #: Events of a block, about.
 BLOCK = 250_000
+#: Pinches in a row whose values are those of a step by step walk to the last bit; later ones may differ there.
+SETTLED = 8
 #: A bound that no zoom reaches.
 FREE = 1e300
 STATE = "zoom double, start_zoom double, start_distance double"
@@ -76,8 +78,17 @@ def prefixes(maps: Maps, starts: np.ndarray) -> Maps:
     return maps
 
 
-def of_events(action: np.ndarray, amount: np.ndarray, touches: np.ndarray, starts: np.ndarray, apart: float) -> tuple[Maps, np.ndarray]:
-    """Maps of ordered events, and the fingers' distance after each; apart is that before the first one."""
+class Pinches(NamedTuple):
+    """The fingers' distance before and after each event, which events begin a pinch, and which move one."""
+
+    before: np.ndarray
+    distance: np.ndarray
+    begins: np.ndarray
+    moves: np.ndarray
+
+
+def of_events(action: np.ndarray, amount: np.ndarray, touches: np.ndarray, starts: np.ndarray, apart: float) -> tuple[Maps, Pinches]:
+    """Maps of ordered events, and their pinches; apart is the fingers' distance before the first one."""
     n, place = len(action), np.arange(len(action))
     begins = (action == "touchstart") & (touches == 2)
     sets = begins | (np.isin(action, ("touchend", "touchcancel")) & (touches < 2))
@@ -96,7 +107,22 @@ def of_events(action: np.ndarray, amount: np.ndarray, touches: np.ndarray, start
     maps.low[0] = np.select([resets, clamped], [1.0, P.MIN_ZOOM], 0.0)
     maps.high[0] = np.select([resets, clamped], [1.0, P.MAX_ZOOM], FREE)
     maps.source[1] = np.where(begins, 0, 1)
-    return maps, distance
+    return maps, Pinches(before, distance, begins, moves)
+
+
+def settled(zoom: np.ndarray, start: np.ndarray, before: np.ndarray, amount: np.ndarray, starts: np.ndarray, pinches: Pinches) -> tuple[np.ndarray, np.ndarray]:
+    """Both values with the last step of a pinch done as its definition says, start * amount / distance, so ties round as they do there.
+
+    before is the zoom before the first event.
+    """
+    place = np.arange(len(zoom))
+    last = np.maximum.accumulate(np.where(pinches.begins, place, -1))
+    for _ in range(SETTLED):
+        moved = np.clip(start * amount / np.where(pinches.moves, pinches.before, 1.0), P.MIN_ZOOM, P.MAX_ZOOM)
+        zoom = np.where(pinches.moves, moved, zoom)
+        earlier = np.where(place > starts, np.append(0.0, zoom[:-1]), before)
+        start = np.where(last >= starts, earlier[last], start)
+    return zoom, start
 
 
 def _parts(block: pa.Table) -> tuple[pa.Table, np.ndarray, tuple]:
@@ -173,9 +199,9 @@ def zoom_scan(events: DataFrame, session: str, order: list[str], keep: list[str]
 
     def rows(block: pa.Table, state: pa.Table) -> pa.Table:
         block, starts, events = _parts(block)
-        maps, distance = of_events(*events, starts, state["apart"][0].as_py())
+        maps, pinches = of_events(*events, starts, state["apart"][0].as_py())
         zoom, start = (np.where(starts == 0, state[c][0].as_py(), 1.0) for c in ("zoom", "start"))
-        done = prefixes(maps, starts).of(zoom, start)
-        return pa.table([*(block[names.get(c, c)] for c in keep), pa.array(done[0]), pa.array(done[1]), pa.array(distance)], names=[*keep, "zoom", "start_zoom", "start_distance"])
+        done = settled(*prefixes(maps, starts).of(zoom, start), zoom, events[1], starts, pinches)
+        return pa.table([*(block[names.get(c, c)] for c in keep), *map(pa.array, done), pa.array(pinches.distance)], names=[*keep, "zoom", "start_zoom", "start_distance"])
 
     return by_block.cogroup(states.groupBy("block")).applyInArrow(rows, f"{schema}, {STATE}")

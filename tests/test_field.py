@@ -241,7 +241,7 @@ def test_contour_anchors(spark):
     base = frames(spark)
     bounded, grid = R.area_grid(base, False)
     assert grid.agg(F.sum("rain")).first()[0] == pytest.approx(3540.006806, abs=1e-4)
-    found = contour.segments(R.contour_cells(bounded, grid, R.band_table(spark))).cache()
+    found = contour.segments(R.contour_cells(bounded, grid, R.frame_bands(bounded))).cache()
     counts = {(r.channel, r.band): r["count"] for r in found.groupBy("channel", "band").count().collect()}
     assert [counts["rain", b] for b in range(5)] + [counts["storm", 0], counts["hail", 0]] == [1494, 1176, 994, 824, 696, 796, 440]
     edges = found.select("channel", "band", F.col("edge_a").alias("e")).union(found.select("channel", "band", "edge_b"))
