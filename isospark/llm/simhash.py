@@ -212,7 +212,7 @@ def keep_one_each(docs: DataFrame, length: int = similarity.SHINGLE, share: int
     nodes = cut(rows.drop("id", "k0", "k1", "digest").join(distinct.select("rid"), "rid", "left_semi"), "nodes")
     drop_cut(rows)
     plain = docs.select(text.alias("text"))
-    met = similarity.meetings(nodes)
+    met = similarity.meetings(nodes, share)
     pairs = similarity.candidates(closest(nodes).union(similarity.with_hubs(met)), nodes, share)
     edges = similarity.confirmed(pairs, nodes, plain, length, share, "first")
     groups = components(edges, "families").withColumnRenamed("node", "rid")

@@ -5,10 +5,15 @@ simhash.py; a shorter text is one shingle) have a Jaccard similarity of
 SIMILARITY hundredths or more. Fingerprints that are a few bits apart tell of
 the closest copies alone, so the filter completes their links by these:
 
-- Two linked sets of which one has n shingles share at least s*n of them, so
-  whatever order all shingles are put in, their prefixes of n - ceil(s*n) + 1
-  shingles have one in common. Shingles are ordered by their number in a sample
-  of texts, rare ones first. The sample only decides how many rows meet.
+- Two linked sets of n and m shingles, n <= m, share at least s*m of them, and at
+  least 2s/(1+s)*n. So whatever order all shingles are put in, the first one that
+  they share is among the first m - ceil(s*m) + 1 of the larger set (its prefix),
+  and among the first n - ceil(2s/(1+s)*n) + 1 of the smaller (its head). Sets
+  meet at a shingle only if it is in the head of one. Shingles are ordered by
+  their number in a sample of texts, rare ones first, so texts made from one
+  template that aren't similar enough have only shingles of their own in their
+  heads, and don't meet at the template's. The sample only decides how many rows
+  meet.
 - First each set is compared with hubs: at each shingle of its prefix, the first
   of the sets that meet there in HUBS orders: by how many prefix shingles a set
   has in common with others (the middle of a family of copies has the most), by
@@ -211,10 +216,15 @@ def both_long() -> Column:
     return (F.least("a.size", "b.size") >= LONG).alias("long")
 
 
-def meetings(nodes: DataFrame) -> DataFrame:
-    """(h, rid, hubs): nodes (rid, prefix) at each shingle that several have in their prefixes, and the first of them in some orders."""
-    entries = nodes.select(F.explode("prefix").alias("h"), "rid")
-    several = entries.groupBy("h").agg(F.min("rid").alias("low"), F.max("rid").alias("high")).where("low <> high").select("h")
+def head_size(size: Column, similarity: int) -> Column:
+    """Shingles of the head of a set: where the first shingle that it shares with a similar set of its size or more must be."""
+    return size + 1 - F.floor((2 * similarity * size + (99 + similarity)) / (100 + similarity)).cast("int")
+
+
+def meetings(nodes: DataFrame, similarity: int) -> DataFrame:
+    """(h, rid, head, hubs): nodes (rid, size, prefix) at each shingle of their prefixes that is in the head of one, and the first of them in some orders."""
+    entries = nodes.select(F.posexplode("prefix").alias("pos", "h"), "rid", "size").select("h", "rid", (F.col("pos") < head_size(F.col("size"), similarity)).alias("head"))
+    several = entries.groupBy("h").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.max("head").alias("any")).where("low <> high and any").select("h")
     met = cut(entries.join(several, "h"), "shared")
     common = met.join(met.groupBy("rid").agg(F.count("*").alias("n")), "rid")
     order = [F.struct(-F.col("n"), "rid"), F.struct("rid"), *[F.struct(F.xxhash64("rid", F.lit(k)), "rid") for k in range(2, HUBS)]]
@@ -236,5 +246,8 @@ def unconnected(met: DataFrame, nodes: DataFrame, groups: DataFrame, similarity:
     mixed = placed.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
     # Pairs with hubs have been judged.
     rest = placed.where(~F.array_contains("hubs", F.col("rid"))).drop("hubs").join(mixed, "h", "left_semi").join(nodes.select("rid", "size", *PARITIES), "rid")
-    apart = (F.col("a.rid") < F.col("b.rid")) & (F.col("a.component") != F.col("b.component"))
-    return rest.alias("a").join(rest.alias("b"), "h").where(apart & possible("a", "b", similarity)).select(F.col("a.rid").alias("u"), F.col("b.rid").alias("v"), both_long()).distinct()
+    # The smaller set of a pair (of equal ones, that of the smaller number) has the shingle in its head.
+    smaller = F.struct("a.size", "a.rid") < F.struct("b.size", "b.rid")
+    apart = smaller & (F.col("a.component") != F.col("b.component"))
+    pairs = rest.where("head").alias("a").join(rest.alias("b"), "h").where(apart & possible("a", "b", similarity))
+    return pairs.select(F.least("a.rid", "b.rid").alias("u"), F.greatest("a.rid", "b.rid").alias("v"), both_long()).distinct()

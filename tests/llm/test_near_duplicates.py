@@ -64,3 +64,44 @@ def test_pipeline_stage_drops_near_copies(spark):
     assert any((a ^ b).bit_count() > 2 for a in prints for b in prints)
     docs = spark.createDataFrame([*rows, (9, "another text of other words")], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {0, 9}
+
+
+def template(n):
+    """Texts of 104 words with three of their own at fixed places: 85 of 115 shingles in common, which isn't enough."""
+    base = [f"w{k}" for k in range(104)]
+    return [" ".join(f"own{i}x{k}" if k in (17, 50, 83) else w for k, w in enumerate(base)) for i in range(n)]
+
+
+def met_pairs(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    last = spark.sparkContext.broadcast(similarity.frequent(docs, "text", 5))
+    nodes = docs.select(F.col("doc_id").alias("rid"), similarity.features(F.col("text"), last, 5, 80).alias("r")).select("rid", "r.*")
+    met = similarity.meetings(nodes, 80)
+    return met.where("head").alias("a").join(met.alias("b"), "h").where("a.rid <> b.rid").count()
+
+
+def test_texts_of_a_template_do_not_all_meet(spark, monkeypatch):
+    """Pairs grow with the number of texts, not with its square, and nothing is dropped."""
+    monkeypatch.setattr(similarity, "ONE_OF", 2)
+    rows = list(enumerate(template(400)))
+    small, large = met_pairs(spark, rows[:100]), met_pairs(spark, rows)
+    assert large <= 4 * max(small, 100)
+    docs = spark.createDataFrame([*rows, (1000, rows[7][1] + " more")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_each(docs).collect()) == list(range(400))
+
+
+def test_sets_of_different_sizes_meet(spark, monkeypatch):
+    """Parts of a text from two thirds to all of it, and with words of their own: links equal a comparison of all pairs."""
+    monkeypatch.setattr(similarity, "ONE_OF", 2)
+    rng = random.Random(8)
+    rows = []
+    for f in range(4):
+        base = [f"f{f}w{k}" for k in range(90)]
+        for _ in range(30):
+            a = rng.randrange(20)
+            part = base[a : a + rng.randrange(60, 91)] + [f"y{rng.randrange(10**6)}" for _ in range(rng.randrange(12))]
+            rows.append((len(rows), " ".join(part)))
+    sets = {k: shingles(t) for k, t in rows}
+    label = brute.components(list(sets), lambda a, b: linked(sets[a], sets[b]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one_each(docs).collect()) == sorted(set(label.values()))
