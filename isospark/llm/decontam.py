@@ -131,10 +131,10 @@ class Benchmark:
 
     def __init__(self, items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
         context = items.sparkSession.sparkContext
-        rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("t is not null").toLocalIterator()
+        rows = items.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("t is not null").toLocalIterator()
         self.blocks, now, size = [], [], 0
         for r in rows:
-            now.append((r.i, r.t.encode()))
+            now.append((r.i, bytes(r.t)))
             size += len(now[-1][1])
             if size >= block_bytes:
                 self.blocks.append(context.broadcast(now))

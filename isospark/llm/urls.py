@@ -26,6 +26,8 @@ from .common import ascii_lower, table
 
 #: Up to so many rules are broadcast (a few hundred bytes each); more are joined by shuffling.
 BROADCAST_RULES = 100_000
+#: Token of all URLs, for rules without a whole token of their own.
+ANY = "*"
 
 
 @dataclass(frozen=True)
@@ -73,7 +75,7 @@ def index_rules(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     wanted = spark.createDataFrame([(t,) for t in literal], "token string")
     held = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(wanted) if len(literal) <= BROADCAST_RULES else wanted, "token")
     counts = {r.token: r["count"] for r in held.groupBy("token").count().collect()}
-    filed = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), r.pattern, r.verdict, r.rule) for r in rules]
+    filed = [(min(r.tokens, key=lambda t: (counts.get(t, 0), t), default=ANY), r.pattern, r.verdict, r.rule) for r in rules]
     return spark.createDataFrame(filed, "token string, pattern string, verdict string, rule string")
 
 
@@ -81,6 +83,8 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_id
     """page_id, host, path, rule, verdict of each row."""
     urls = split_url(pages, id_col, url_col)
     index = index_rules(urls, rules)
+    if not all(r.tokens for r in rules):
+        urls = urls.withColumn("tokens", F.concat("tokens", F.array(F.lit(ANY))))
     fetched = urls.withColumn("row", F.monotonically_increasing_id()).withColumn("token", F.explode_outer("tokens")).drop("tokens")
     fetched = fetched.join(F.broadcast(index) if len(rules) <= BROADCAST_RULES else index, "token", "left")
     fits = F.col("pattern").isNotNull() & F.expr("key rlike pattern")

@@ -124,6 +124,10 @@ def test_decontamination(spark, docs):
     assert {(r.doc_id, r.n_hit) for r in small.where("doc_id >= 100").collect()} == {(k, h) for k, _, h, _, _ in got if k >= 100}
     assert decontam.drop_contaminated(docs, items.limit(0)).count() == docs.count()
     assert decontam.drop_contaminated(docs, items).columns == docs.columns
+    # Bytes that aren't UTF-8 are compared as they are, on both sides.
+    raw = spark.range(1).selectExpr("1L item_id", "cast(X'61FF62' as string) text")
+    other = spark.range(1).selectExpr("1L doc_id", "cast(X'784161FF62' as string) text").union(spark.range(1).selectExpr("2L", "cast(X'412061FF62' as string)"))
+    assert {(r.doc_id, r.n_words, r.n_hit) for r in decontam.find_contamination(other, raw).collect()} == {(1, 1, 0), (2, 2, 1)}
 
 
 def test_licenses(spark, docs):
@@ -172,6 +176,10 @@ def test_url_rules(spark):
     assert [got[k].rule for k in range(len(cases))] == list(cases.values())
     assert (got[99].host, got[99].path, got[99].verdict) == ("", "", "allow") and got[None].verdict == "block" and got[98].verdict == "allow"
     assert urls.judge_urls(pages.limit(0), urls.BASE_RULES).count() == 0
+    # Rules without a whole token of their own, as their last one may go on.
+    bare = urls.BASE_RULES + (urls.prefix_rule("org", "", "block"), urls.prefix_rule("com", "/f", "block"), urls.prefix_rule("", "", "allow"))
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge_urls(pages, bare).collect()}
+    assert got[7] == ("org", "block") and got[8] == ("org/", "allow") and got[3] == ("com/fr/", "allow")
 
 
 def test_many_matches_in_one_text(spark):
