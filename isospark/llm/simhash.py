@@ -14,13 +14,14 @@ the distance may exceed the block's radius, by one. Each distinct fingerprint is
 replicated to those anchors, about 17 rows, and compared with the others there.
 There are 2^36 anchors, so unrelated fingerprints seldom meet at any scale.
 
-Fingerprints that share an anchor with another are compared through points: two
-differ in at most 2 bits if and only if some point is at most 1 bit from either,
-and that point's anchor is one they share. So each such fingerprint is joined by
-the 65 points within one bit of it, and those at one point (65 at most) are
-linked through the smallest. An anchor of a large family of near copies costs no
-more a fingerprint than another, and makes no pairs. Components follow by
-components.py.
+Fingerprints are compared anchor by anchor, at the anchors that several share: two
+of an anchor differ in at most 2 bits if some point of the anchor is at most 1 bit
+from either. So an anchor's fingerprints are sub-grouped by those of their points
+that lie within the covering radius of this anchor (each point has one anchor, so
+a fingerprint has 65 points over all its anchors), and those at one point (65 at
+most) are linked through the smallest. An anchor of a large family of near copies
+costs no more a fingerprint than another, and makes no pairs. Components follow
+by components.py.
 
 keep_one_each, the filter, links texts by the similarity of their word sets. It
 takes the fingerprints' links first, each confirmed on the words, and completes
@@ -143,6 +144,16 @@ def anchors(fingerprints: np.ndarray, codes: list[PerfectCode]) -> tuple[np.ndar
     return np.concatenate(rows), np.concatenate(found)
 
 
+def homes(points: np.ndarray, codes: list[PerfectCode]) -> np.ndarray:
+    """The one anchor within the covering radius of each point."""
+    x, out, at = points.view(np.uint64), np.zeros(len(points), np.int64), 0
+    for code in codes:
+        part = (x >> np.uint64(at) & np.uint64((1 << code.bits) - 1)).astype(np.int64)
+        out |= (part ^ code.leader[code.syndrome(part)]) << at
+        at += code.bits
+    return out
+
+
 def replicate(fingerprints: DataFrame) -> DataFrame:
     """(anchor, fp) for every fingerprint (fp long) and anchor it belongs to."""
 
@@ -156,16 +167,31 @@ def replicate(fingerprints: DataFrame) -> DataFrame:
     return fingerprints.select("fp").mapInArrow(run, "anchor bigint, fp bigint")
 
 
+def anchor_points(replicas: DataFrame) -> DataFrame:
+    """(anchor, point, fp): the points within one bit of a fingerprint that belong to the anchor of its replica."""
+
+    def run(batches):
+        codes = blocks()
+        flips = np.append(0, np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))).astype(np.uint64).view(np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                anchor, fp = (batch.column(k).slice(at, 4096).to_numpy(zero_copy_only=False) for k in (0, 1))
+                points = (fp[:, None] ^ flips).ravel()
+                mine = np.flatnonzero(homes(points, codes) == np.repeat(anchor, len(flips)))
+                row = mine // len(flips)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[row]), pa.array(points[mine]), pa.array(fp[row])], ["anchor", "point", "fp"])
+
+    return replicas.select("anchor", "fp").mapInArrow(run, "anchor bigint, point bigint, fp bigint")
+
+
 def links(fingerprints: DataFrame) -> DataFrame:
     """Edges (u, v) between distinct fingerprints (fp long) within the threshold, with the components of all such pairs."""
     replicas = cut(replicate(fingerprints), "replicas")
     shared = replicas.groupBy("anchor").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("anchor")
-    met = cut(replicas.join(shared, "anchor", "left_semi").select("fp").distinct(), "met")
+    points = cut(anchor_points(replicas.join(shared, "anchor", "left_semi")), "points")
     drop_cut(replicas)
-    points = met.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << p if p < 63 else -(1 << 63))) for p in range(64)])).alias("point"))
-    smallest = points.groupBy("point").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w").select("point", "v")
-    # Sizes of exploded rows are underestimated; the hint keeps them from being broadcast.
-    return points.join(smallest.hint("merge"), "point").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
+    smallest = points.groupBy("anchor", "point").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v <> w").select("anchor", "point", "v")
+    return points.join(smallest, ["anchor", "point"]).where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
 
 
 #: Keys with one of so many rows or more are joined by broadcast; there are no more of them than that.

@@ -108,6 +108,15 @@ def test_keep_one_each(spark, docs):
     assert [r.text for r in kept.where("doc_id is null").collect()] == ["no id"]
 
 
+def test_points_are_dealt_to_anchors_once(spark):
+    """A fingerprint's 65 points stand at its anchors, each at the one that covers it."""
+    prints = np.random.default_rng(9).integers(-(1 << 63), 1 << 63, 50, dtype=np.int64).tolist()
+    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    rows = simhash.anchor_points(simhash.replicate(df)).collect()
+    assert len(rows) == len({(r.fp, r.point) for r in rows}) == 65 * len(set(prints))
+    assert all(((r.fp ^ r.point) & (1 << 64) - 1).bit_count() <= 1 for r in rows)
+
+
 def test_decontamination(spark, docs):
     long = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     items = spark.createDataFrame([(1, long), (2, "a"), (3, None), (4, ""), (5, long), (None, "twice the id")], "item_id bigint, text string")
