@@ -459,6 +459,8 @@ SQL = {
     "events_hazard_counts": f"with {VALUES} select event_type, {state()} hazard_state, count(*) n, {r6('avg(rain)', 'avg_rain')} from v group by all",
     "field_lattice": f"with {REGION}, {grid()} {by_row('g')}",
     "lattice_band_counts": f"with {REGION}, {BANDS}, {grid()}, {long('g', 'l')}, {targets('l', 'tg')} select * from tg",
+    "cell_events": f"with {POINTS}, c as (select cast(floor(x * 32) as bigint) i, cast(floor(y * 32) as bigint) j, count(*) n, avg(value) mean from points group by all) "
+    f"select a.i, b.j, {r6('(a.i + 0.5e0) / 32', 'x')}, {r6('(b.j + 0.5e0) / 32', 'y')}, coalesce(n, 0) n, {r6('mean')} from range(0, 32) a(i), range(0, 32) b(j) left join c on c.i = a.i and c.j = b.j",
     "point_field_lineitem": f"with pts as (select l_returnflag, l_linestatus, (l_partkey % 128 + 0.5e0) / 128 x, (l_suppkey % 128 + 0.5e0) / 128 y, l_quantity / 51 t, 0.5e0 travel_x from lineitem), {field('pts', 'v')} "
     f"select l_returnflag, l_linestatus, count(*) n, {', '.join(r6(f'sum({c})', f'sum_{c}') for c in P.CHANNELS)}, {', '.join(r6(f'max({c})', f'max_{c}') for c in P.CHANNELS)} from v group by all",
     "strength": f"with {VALUES} select event_id, {', '.join(r6(strength(c, c), c) for c in P.CHANNELS)} from v",

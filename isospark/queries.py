@@ -19,7 +19,7 @@ from .operators import contour, coverage, spline, stencil
 from .operators.field import evaluate, with_field, with_time
 from .plans import represent as R
 from .sources import frames as FR
-from .sources import lattice
+from .sources import lattice, world
 from .streaming import scan, session
 
 
@@ -95,6 +95,16 @@ def lattice_band_counts(spark, d):
     return counts.select("frame_id", "channel", "band", "covered")
 
 
+def cell_events(spark, d):
+    """Events in each cell of level 2 over the unit square, those without any too."""
+    world.register(spark)
+    n = P.BASE_GRID // 4
+    cells = spark.read.format("world_lattice").option("lod", 2).load().where(f"i >= 0 and i < {n} and j >= 0 and j < {n}")
+    at = lambda c: F.floor(F.col(c) * n).cast("long")
+    counts = event_points(spark, d).groupBy(at("x").alias("i"), at("y").alias("j")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    return cells.join(counts, ["i", "j"], "left").select("i", "j", r6("x"), r6("y"), F.coalesce("n", F.lit(0)).alias("n"), r6("mean"))
+
+
 def point_field_lineitem(spark, d):
     points = table(spark, d, "lineitem").select(
         "l_returnflag", "l_linestatus", ((F.col("l_partkey") % 128 + 0.5) / 128).alias("x"), ((F.col("l_suppkey") % 128 + 0.5) / 128).alias("y"), (F.col("l_quantity") / 51).alias("t"), F.lit(0.5).alias("travel_x")
@@ -366,7 +376,7 @@ def lod_transition_fold(spark, d):
 
 
 NAMES = (
-    "events_hazard_counts field_lattice lattice_band_counts point_field_lineitem strength hazard_state dot_radius strong_rain square_color hazard_symbol symbol_vertices band_colors blur_opacity "
+    "events_hazard_counts field_lattice lattice_band_counts cell_events point_field_lineitem strength hazard_state dot_radius strong_rain square_color hazard_symbol symbol_vertices band_colors blur_opacity "
     "viewport_bounds travel_path select_lod lod_sample lod_hazard_group lod_parent_join dots_layers squares_cells dots_morph hazard_morph squares_morph gauss_smooth box_blur box_blur_3pass "
     "spline_raster spline_lattice spline_points blur_raster coverage_histogram coverage_threshold coverage_bands contour_cells contour_segments contour_loops loop_nesting area_layers area_layers_smooth "
     "timeline_fold timeline_pointer zoom_fold pinch_fold scrub_fold mode_fold canvas_size render_dots render_squares lod_transition_fold"

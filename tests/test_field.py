@@ -10,7 +10,7 @@ from isospark.operators import contour, coverage, lod, spline, stencil
 from isospark.operators.field import evaluate, with_field, with_time
 from isospark.plans import represent as R
 from isospark.sources import frames as FR
-from isospark.sources import lattice
+from isospark.sources import lattice, world
 from isospark.streaming import scan, session
 
 
@@ -66,6 +66,22 @@ def test_raw_grid_anchor(spark):
         assert tuple(r)[1:] == pytest.approx(want[r.frame_id], abs=1e-6)
 
 
+def test_lattice_source_takes_filters(spark, monkeypatch):
+    """Filters on rows leave fewer partitions, filters on columns shorter rows, and the cells are those of a plain filter."""
+    world.register(spark)
+    load = lambda: spark.read.format("world_lattice").option("lod", 1).option("travel_x", 0.25).load()
+    cells = {(r.i, r.j): (r.x, r.y) for r in load().collect()}
+    assert len(cells) == 118 * 98 and all((x, y) == ((i + 0.5) / 64, (j + 0.5) / 64) for (i, j), (x, y) in cells.items())
+    for condition, keep in [("j between 10 and 20 and i > 3", lambda i, j: 10 <= j <= 20 and i > 3), ("i = 5", lambda i, j: i == 5), ("j in (1, 4, 90) and i <= 0", lambda i, j: j in (1, 4, 90) and i <= 0), ("x < 0 and j < 0", lambda i, j: i < 0 and j < 0), ("i > 5 and i < 5", lambda i, j: False), ("i > 1 or j > 1", lambda i, j: i > 1 or j > 1)]:
+        assert {(r.i, r.j) for r in load().where(condition).collect()} == {c for c in cells if keep(*c)}
+    monkeypatch.setattr(world, "CELLS", 1000)
+    reader = world.LatticeReader({"lod": "0"})
+    whole = len(reader.partitions())
+    left = list(reader.pushFilters([world.GreaterThanOrEqual(("j",), 0), world.LessThan(("j",), 10), world.EqualTo(("x",), 1.0)]))
+    parts = reader.partitions()
+    assert len(left) == 1 and len(parts) < whole / 10 and (parts[0].first_j, parts[-1].last_j) == (0, 9)
+
+
 def test_viewports(spark):
     made = frames(spark, [(0, 0.5, 1280, 800, 1.0), (1, 0.5, 1280, 800, 0.1), (2, 0.5, 1280, 800, 5.5), (3, 0.5, 900, 900, 1.0), (4, 0.5, 900, 900, 0.1)])
     rows = {r.frame_id: r for r in made.withColumn("level", FR.continuous_lod(F.col("zoom"), F.col("field_pixels"))).collect()}
