@@ -20,9 +20,9 @@ def _spacing(step) -> Column:
     return step * F.col("field_pixels") * F.col("zoom")
 
 
-def _place(df: DataFrame, frames: DataFrame) -> DataFrame:
-    """Adds screen positions sx and sy and the spacing of cells."""
-    placed = df.join(frames.select(*SCREEN), "frame_id")
+def _place(df: DataFrame, frames: DataFrame, *more: str) -> DataFrame:
+    """Adds screen positions sx and sy and the spacing of cells, and more columns of frames."""
+    placed = df.join(frames.select(*SCREEN, *more), "frame_id")
     return placed.withColumns({"sx": world_to_screen(F.col("x"), F.col("center_x")), "sy": world_to_screen(F.col("y"), F.col("center_y")), "spacing": _spacing(F.col("step"))})
 
 
@@ -64,17 +64,19 @@ def squares(sampled: DataFrame) -> DataFrame:
 def morph_samples(frames: DataFrame) -> DataFrame:
     """Cells of the finer level (fine) with their parents' (fine + 1) values, both with group states.
 
-    frames have fine and progress. Parents are sampled once each and joined at floor(i / 2), floor(j / 2).
+    frames have fine and progress. Parents are made once each, and give their
+    children, at 2 i and 2 i + 1, 2 j and 2 j + 1.
     """
-    prepared = with_time(frames).withColumn("lod", F.col("fine"))
-    children = lod.sample(lattice.view_lattice(prepared, overscan=2 * P.OVERSCAN), KEYS)
-    step = F.pow(F.lit(2.0), F.col("fine")) / P.BASE_GRID
-    first = lambda c: S.half(F.floor(F.col(c) / step) - 2 * P.OVERSCAN)
-    last = lambda c: S.half(F.ceil(F.col(c) / step) + 2 * P.OVERSCAN - 1)
-    wide = lattice.cells(with_time(frames), first("min_x"), last("max_x"), first("min_y"), last("max_y")).withColumns({"lod": F.col("fine") + 1, "step": 2 * step})
-    parents = lod.sample(wide.withColumns({"x": (F.col("i") + 0.5) * F.col("step"), "y": (F.col("j") + 0.5) * F.col("step")}), KEYS)
-    parents = parents.select("frame_id", F.col("i").alias("parent_i"), F.col("j").alias("parent_j"), F.col("x").alias("parent_x"), F.col("y").alias("parent_y"), *[F.col(c).alias(f"parent_{c}") for c in (*P.CHANNELS, "state")])
-    joined = _place(lod.join_parents(children, parents), frames.select(*SCREEN, "progress").drop("progress")).join(frames.select("frame_id", "progress"), "frame_id")
+    step, over = F.pow(F.lit(2.0), F.col("fine")) / P.BASE_GRID, 2 * P.OVERSCAN
+    ends = {f"{side}_{k}": f(F.col(f"{side}_{c}") / step).cast("long") + d for c, k in (("x", "i"), ("y", "j")) for side, f, d in (("min", F.floor, -over), ("max", F.ceil, over - 1))}
+    sized = with_time(frames).withColumns({**ends, "lod": F.col("fine") + 1, "step": 2 * step})
+    wide = lattice.cells(sized, *[S.half(F.col(c)) for c in ("min_i", "max_i", "min_j", "max_j")])
+    wide = wide.withColumns({"x": (F.col("i") + 0.5) * F.col("step"), "y": (F.col("j") + 0.5) * F.col("step")})
+    found = lod.families(wide, [*KEYS, *ends]).withColumnsRenamed({"i": "parent_i", "j": "parent_j", "x": "parent_x", "y": "parent_y"})
+    found = found.withColumns({"lod": F.col("lod") - 1, "step": F.col("step") / 2, "i": 2 * F.col("parent_i") + F.col("child") % 2, "j": 2 * F.col("parent_j") + F.floor(F.col("child") / 2)})
+    seen = found.where("i between min_i and max_i and j between min_j and max_j").drop("child", *ends)
+    seen = seen.withColumns({"x": (F.col("i") + 0.5) * F.col("step"), "y": (F.col("j") + 0.5) * F.col("step")})
+    joined = _place(seen, frames.select(*SCREEN, "progress"), "progress")
     return joined.withColumns(
         {
             "parent_sx": world_to_screen(F.col("parent_x"), F.col("center_x")),
