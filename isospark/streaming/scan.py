@@ -79,12 +79,13 @@ def prefixes(maps: Maps, starts: np.ndarray) -> Maps:
 
 
 class Pinches(NamedTuple):
-    """The fingers' distance before and after each event, which events begin a pinch, and which move one."""
+    """The fingers' distance before and after each event, which events begin a pinch, which move one, and which leave the zoom as it is."""
 
     before: np.ndarray
     distance: np.ndarray
     begins: np.ndarray
     moves: np.ndarray
+    keeps: np.ndarray
 
 
 def of_events(action: np.ndarray, amount: np.ndarray, touches: np.ndarray, starts: np.ndarray, apart: float) -> tuple[Maps, Pinches]:
@@ -107,7 +108,7 @@ def of_events(action: np.ndarray, amount: np.ndarray, touches: np.ndarray, start
     maps.low[0] = np.select([resets, clamped], [1.0, P.MIN_ZOOM], 0.0)
     maps.high[0] = np.select([resets, clamped], [1.0, P.MAX_ZOOM], FREE)
     maps.source[1] = np.where(begins, 0, 1)
-    return maps, Pinches(before, distance, begins, moves)
+    return maps, Pinches(before, distance, begins, moves, ~(moves | resets | scales))
 
 
 def settled(zoom: np.ndarray, start: np.ndarray, before: np.ndarray, amount: np.ndarray, starts: np.ndarray, pinches: Pinches) -> tuple[np.ndarray, np.ndarray]:
@@ -116,10 +117,11 @@ def settled(zoom: np.ndarray, start: np.ndarray, before: np.ndarray, amount: np.
     before is the zoom before the first event.
     """
     place = np.arange(len(zoom))
-    last = np.maximum.accumulate(np.where(pinches.begins, place, -1))
+    last, changed = (np.maximum.accumulate(np.where(x, place, -1)) for x in (pinches.begins, ~pinches.keeps))
     for _ in range(SETTLED):
         moved = np.clip(start * amount / np.where(pinches.moves, pinches.before, 1.0), P.MIN_ZOOM, P.MAX_ZOOM)
         zoom = np.where(pinches.moves, moved, zoom)
+        zoom = np.where(changed >= starts, zoom[changed], zoom)
         earlier = np.where(place > starts, np.append(0.0, zoom[:-1]), before)
         start = np.where(last >= starts, earlier[last], start)
     return zoom, start
