@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from isospark import params as P
 from isospark.functions import scalar as S
-from isospark.operators import contour, coverage, lod, spline, stencil
+from isospark.operators import contour, coverage, spline, stencil
 from isospark.operators.field import evaluate, with_field, with_time
 from isospark.plans import represent as R
 from isospark.sources import frames as FR
