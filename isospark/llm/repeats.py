@@ -5,26 +5,28 @@ another text holds too (words fold A-Z and split at other ASCII). Suffixes are
 retained only where content selects them: a window's 5-word grams 1 to SPAN have
 one of smallest hash (leftmost if equal), and the suffix at that gram is
 retained, about one of 15 positions. Two equal windows select the same place, so
-no repeat is lost.
-
-1. Retained suffixes with equal first KEY words, which every window that selects
-   them contains, are brought together by a hash of those words. Suffixes alone
-   with their words are dropped (a collision only keeps one too many).
-2. The suffixes that remain are extended left and right in their texts to the
-   windows that selected them, and windows with equal words are brought together,
-   by 128 bits of hash.
-3. Windows confirmed side by side merge into maximal spans.
-
-Steps 1 and 2 group equal neighbours instead of sorting all suffixes and
-comparing each with the next. In a sorted array the next suffix shares most words
-to the right, another one most words to the left, and a third may be the only one
-that shares a whole window around the retained place; comparing neighbours alone
-would lose it. Grouping finds every such window, and a frequent passage is summed
-up before it is shuffled.
+no repeat is lost: both texts retain it, and agree on BEFORE words to its left
+and LENGTH to its right as far as the window goes.
+
+1. Suffixes whose first KEY words no other text retains are dropped (by a hash of
+   the words; a collision only keeps one too many). Suffixes that agree in all
+   words within reach of a window become one context, by the words themselves.
+2. Contexts are sorted by their words to the right, and again by those to the
+   left. Neighbours of different texts are compared word by word and extended
+   both ways; what they share says which windows are repeated. The neighbours in
+   the two orders share the most words to the right and to the left that any
+   context shares, which bounds what further ones could add.
+3. Where the bound leaves a window open (one context shares the left part,
+   another the right), the windows of its interval are compared whole.
+4. Windows side by side merge into maximal spans.
+
+A frequent passage is one context wherever its surroundings are out of reach;
+contexts at its ends differ, so the sort spreads them over ranges. Contexts at
+the ends of a range don't see all neighbours and are left to step 3.
 
 Exact copies are the same text, so they don't confirm each other's windows; each
-is reported as one span that covers it. The order of step 1 holds 12 bytes a
-retained suffix; texts are shuffled once, in step 2.
+is reported as one span that covers it. Texts are shuffled once, in step 2, and
+only those with suffixes that others retain, one of each group of exact copies.
 
 Defined cases: null and shorter texts hold no window; rows without id take no
 part; repeated rows of one id and text count once. Repeats within one text alone
@@ -40,6 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import as_bytes, cut, release, table
 from .decontam import words_of
@@ -47,7 +50,9 @@ from .decontam import words_of
 #: Words of a repeat, of a gram, grams among which a window selects, words of a key (a window's rest).
 LENGTH, GRAM, SPAN = 50, 5, 30
 KEY = LENGTH - SPAN + 1
-STEP, OTHER_STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Words before a place that a window which selects it can hold.
+BEFORE = SPAN - 1
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def rolling(h: np.ndarray, size: int, step: np.uint64 = STEP) -> np.ndarray:
@@ -112,54 +117,172 @@ def suffixes(text: Column) -> Column:
     return retained_suffixes.asNondeterministic()(text)
 
 
-def windows(text: Column, places: Column) -> Column:
-    """struct<body, starts, keys, more: further bits of the keys> of the windows that selected one of places."""
-
-    @F.arrow_udf("struct<body:bigint,starts:array<int>,keys:array<bigint>,more:array<bigint>>")
-    def extended(text: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        release()
-        for batch, wanted in text:
-            body, starts, keys, more = [], [], [], []
-            for raw, some in zip(as_bytes(batch), wanted, strict=True):
-                words = words_of(raw)
-                body.append(xxhash.xxh64_intdigest(b" ".join(words)))
-                h, selected = retained(words)
-                at = np.flatnonzero(np.isin(selected, some.values.to_numpy()))
-                starts.append(at.astype(np.int32))
-                keys.append(rolling(h, LENGTH)[at].view(np.int64))
-                # The words' own hashes differ too, so that a collision of words doesn't count in both.
-                other = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words)) if len(at) else h
-                more.append(rolling(other, LENGTH, OTHER_STEP)[at].view(np.int64) if len(at) else np.zeros(0, np.int64))
-            yield pa.StructArray.from_arrays([pa.array(np.array(body, np.uint64).view(np.int64)), _lists(starts, pa.int32()), _lists(keys, pa.int64()), _lists(more, pa.int64())], ["body", "starts", "keys", "more"])
-
-    return extended.asNondeterministic()(text, places)
-
-
-def _shared(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """keys, low and high of the keys (of rows with keys, body, doc_id) that more than one text holds; low and high are two ids of holders."""
-    held = rows.groupBy(*keys).agg(F.min("body").alias("a"), F.max("body").alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    return cut(held.where("a <> b").select(*keys, "low", "high"), label)
+def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words around each retained suffix (before: nearest first), a few thousand at a time. Rows: doc_id, body, text, places."""
+    release()
+    out = []
+    for batch in batches:
+        doc_ids, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        for doc_id, body, raw, places in zip(doc_ids, bodies, as_bytes(batch.column(2)), batch.column(3), strict=True):
+            words = words_of(raw)
+            if np.uint64(xxhash.xxh64_intdigest(b" ".join(words))).view(np.int64) != body:
+                continue  # another text of the same id
+            for place in places.values.to_pylist():
+                after = b" ".join([*words[place : place + LENGTH], b""])
+                before = b" ".join([*reversed(words[max(0, place - BEFORE) : place]), b""])
+                key = np.uint64(xxhash.xxh64_intdigest(b" ".join(words[place : place + KEY]))).view(np.int64)
+                out.append((doc_id, body, place, key, xxhash.xxh3_128_digest(before + b"|" + after), before, after))
+                if len(out) == 4096:
+                    yield _batch(out, CONTEXT)
+                    out = []
+    if out:
+        yield _batch(out, CONTEXT)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)
+
+
+def common(a: list[bytes], b: list[bytes]) -> int:
+    """The number of leading words that a and b share."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def window_bits(left: int, right: int) -> int:
+    """The windows within `left` words before a place and `right` from it on: bit a for the one that begins a words before."""
+    low, high = max(0, LENGTH - right), min(BEFORE, left)
+    return (1 << high + 1) - (1 << low) if low <= high else 0
+
+
+def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What sorted contexts share with the nearest ones of other texts. Rows: ctx, key, before, after, body (null: of several texts), low, high.
+
+    Held are the neighbouring contexts of one text, no more than the text has.
+    """
+    release()
+    key, last, run, unseen, out = None, None, [], True, []
+
+    def compare(x, y):
+        left, right = common(x[2], y[2]), common(x[3], y[3])
+        bits = window_bits(left, right)
+        low, high = (min(x[5], y[5]), max(x[6], y[6])) if bits else (None, None)
+        out.extend((z[0], z[1], bits, left, right, low, high) for z in (x, y))
+
+    def reach(x, bits=0):
+        out.append((x[0], x[1], bits, len(x[2]), len(x[3]), *(x[5:7] if bits else (None, None))))
+
+    for batch in batches:
+        for k in range(0, len(batch), 1024):
+            for ctx, row_key, before, after, body, low, high in zip(*(c.to_pylist() for c in batch.slice(k, 1024).columns), strict=True):
+                row = (ctx, row_key, before.split(), after.split(), body, low, high)
+                if row_key != key:
+                    unseen = key is None
+                    key, last, run = row_key, None, [row]
+                elif body is not None and run[-1][4] == body:
+                    run.append(row)
+                    if last:
+                        compare(last, row)
+                else:
+                    for x in run:
+                        compare(x, row)
+                    last, run, unseen = run[-1], [row], False
+                if body is None:
+                    reach(row, window_bits(len(row[2]), len(row[3])))
+                elif unseen:
+                    reach(row)
+            if out:
+                yield _batch(out, SHARED)
+                out = []
+    for x in run:
+        reach(x)
+    if out:
+        yield _batch(out, SHARED)
+
+
+def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The possible windows of contexts, in words. Rows: ctx, possible, known, before, after, a, b, low, high."""
+    release()
+    for batch in batches:
+        for k in range(0, len(batch), 256):
+            out = []
+            for ctx, possible, known, before, after, *held in zip(*(c.to_pylist() for c in batch.slice(k, 256).columns), strict=True):
+                left, right = before.split(), after.split()
+                for n in range(BEFORE + 1):
+                    if possible >> n & 1:
+                        out.append((ctx, 1 << n, not known >> n & 1, b" ".join([*left[:n][::-1], *right[: LENGTH - n]]), *held))
+            if out:
+                yield _batch(out, WINDOW)
+
+
+_LONG, _BYTES = pa.int64(), pa.binary()
+CONTEXT = pa.schema([("doc_id", _LONG), ("body", _LONG), ("place", pa.int32()), ("key", _LONG), ("ctx", _BYTES), ("before", _BYTES), ("after", _BYTES)])
+SHARED = pa.schema([("ctx", _BYTES), ("key", _LONG), ("bits", _LONG), ("left", pa.int32()), ("right", pa.int32()), ("low", _LONG), ("high", _LONG)])
+WINDOW = pa.schema([("ctx", _BYTES), ("bit", _LONG), ("open", pa.bool_()), ("window", _BYTES), ("a", _LONG), ("b", _LONG), ("low", _LONG), ("high", _LONG)])
+
+
+def _ddl(schema: pa.Schema) -> str:
+    names = {_LONG: "long", pa.int32(): "int", _BYTES: "binary", pa.bool_(): "boolean"}
+    return ", ".join(f"`{f.name}` {names[f.type]}" for f in schema)
+
+
+def repeated_windows(around: DataFrame) -> DataFrame:
+    """ctx, bits of the repeated windows, low and high (two ids of holders) of the contexts that hold any."""
+    held = [F.min("body").alias("a"), F.max("body").alias("b"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")]
+    distinct = cut(around.groupBy("ctx", "key", "before", "after").agg(*held), "contexts")
+    rows = distinct.select("ctx", "key", "before", "after", F.when(F.col("a") == F.col("b"), F.col("a")).alias("body"), "low", "high")
+    ordered = [rows.repartitionByRange("key", *by).sortWithinPartitions("key", *by).select(*rows.columns).mapInArrow(neighbours, _ddl(SHARED)) for by in (("after", "before"), ("before", "after"))]
+    found = [F.bit_or("bits").alias("bits"), F.min("low").alias("low"), F.max("high").alias("high")]
+    extended = ordered[0].union(ordered[1]).groupBy("ctx", "key").agg(*found, F.max("left").alias("left"), F.max("right").alias("right"))
+    first, end = F.greatest(F.lit(0), LENGTH - F.col("right")), F.least(F.lit(BEFORE), F.col("left")) + 1
+    possible = F.when(first < end, F.expr("shiftleft(1L, end)") - F.expr("shiftleft(1L, first)")).otherwise(F.lit(0))
+    extended = cut(extended.withColumn("first", first).withColumn("end", end).withColumn("possible", possible).drop("first", "end", "left", "right"), "extended")
+    unsettled = extended.where("possible & ~bits <> 0").select("key").distinct()
+    asked = extended.where("possible <> 0").join(unsettled, "key", "left_semi").select("ctx", "possible", F.col("bits").alias("known"))
+    asked = asked.join(distinct, "ctx").select("ctx", "possible", "known", "before", "after", "a", "b", "low", "high")
+    whole = cut(asked.mapInArrow(open_windows, _ddl(WINDOW)), "windows")
+    several = whole.groupBy("window").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("low").alias("low"), F.max("high").alias("high")).where("a <> b")
+    settled = whole.where("open").select("ctx", F.col("bit").alias("bits"), "window").join(several.select("window", "low", "high"), "window").select("ctx", "bits", "low", "high")
+    return extended.where("bits <> 0").select("ctx", "bits", "low", "high").union(settled).groupBy("ctx").agg(*found)
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, end_word (exclusive), other_doc_id (a document that shares words of it) of each maximal span."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     found = cut(texts.select("doc_id", suffixes(F.col("text")).alias("s")).where(f"s.n_words >= {LENGTH}").select("doc_id", "s.*"), "suffixes")
+    copies = cut(found.groupBy("body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high"), "copies")
     entries = found.select("doc_id", "body", F.explode(F.arrays_zip("places", "keys")).alias("e")).select("doc_id", "body", F.col("e.places").alias("place"), F.col("e.keys").alias("key"))
-    remaining = entries.join(_shared(entries, ["key"], "shared-suffixes").select("key"), "key").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    extended = texts.join(remaining, "doc_id").select("doc_id", windows(F.col("text"), F.col("places")).alias("w"))
-    extended = extended.select("doc_id", "w.body", F.explode(F.arrays_zip("w.starts", "w.keys", "w.more")).alias("e"))
-    extended = cut(extended.select("doc_id", "body", F.col("e.starts").alias("start"), F.col("e.keys").alias("key"), F.col("e.more").alias("more")), "windows")
-    confirmed = extended.join(_shared(extended, ["key", "more"], "shared-windows"), ["key", "more"])
-    per_doc = confirmed.groupBy("doc_id").agg(F.array_sort(F.collect_set("start")).alias("starts"), F.min("low").alias("low"), F.max("high").alias("high"))
-    first = F.filter("starts", lambda s, k: (k == 0) | (s > F.element_at("starts", k) + LENGTH))
-    last = F.filter("starts", lambda s, k: (k == F.size("starts") - 1) | (F.coalesce(F.try_element_at("starts", k + 2), s) > s + LENGTH))
-    spans = per_doc.select("doc_id", "low", "high", F.explode(F.arrays_zip(first.alias("a"), last.alias("b"))).alias("s"))
+    keys = cut(entries.groupBy("key").agg(F.min("body").alias("a"), F.max("body").alias("b")).where("a <> b").select("key"), "shared-suffixes")
+    remaining = entries.join(keys, "key").groupBy("doc_id", "body").agg(F.collect_set("place").alias("places"))
+    remaining = remaining.join(copies.select("body", "low"), "body", "left").where("low is null or low = doc_id")
+    around = cut(texts.join(remaining, "doc_id").select("doc_id", "body", "text", "places").mapInArrow(contexts, _ddl(CONTEXT)), "places")
+    marked = around.select("doc_id", "body", "place", "ctx").join(repeated_windows(around), "ctx")
+
+    # Runs of repeated windows around a place, then those that touch, in the order of a text.
+    has = lambda n: F.col("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), n)) != 0
+    places = F.sequence(F.lit(0), F.lit(BEFORE))
+    begins = F.filter(places, lambda n: has(n) & ~((n > 0) & has(F.greatest(n - 1, F.lit(0)))))
+    ends = F.filter(places, lambda n: has(n) & ~((n < BEFORE) & has(n + 1)))
+    runs = marked.select("doc_id", "body", "place", "low", "high", F.explode(F.arrays_zip(begins.alias("near"), ends.alias("far"))).alias("r"))
+    runs = runs.select("doc_id", "body", "low", "high", (F.col("place") - F.col("r.far")).alias("first"), (F.col("place") - F.col("r.near")).alias("last"))
+    text = Window.partitionBy("doc_id", "body").orderBy("first")
+    runs = runs.withColumn("reached", F.max("last").over(text.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = runs.withColumn("span", F.count_if(F.col("reached").isNull() | (F.col("first") > F.col("reached") + LENGTH)).over(text.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("doc_id", "body", "span").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min("low").alias("low"), F.max("high").alias("high"))
+    spans = cut(spans, "spans")
+
+    members = found.select("doc_id", "body", "n_words").distinct().join(copies, "body")
     other = F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low"))
-    passages = spans.select("doc_id", F.col("s.a").cast("long").alias("start_word"), (F.col("s.b") + LENGTH).cast("long").alias("end_word"), other.alias("other_doc_id"))
-    copies = cut(found.groupBy("body").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high"), "copies")
-    whole = found.select("doc_id", "body", "n_words").distinct().join(copies, "body").select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), other.alias("other_doc_id"))
-    return passages.union(whole).distinct()
+    columns = ["doc_id", F.col("first").cast("long").alias("start_word"), (F.col("last") + LENGTH).cast("long").alias("end_word"), other.alias("other_doc_id")]
+    of_copies = spans.drop("doc_id").join(members.where("doc_id <> low").select("body", "doc_id"), "body")
+    whole = members.select("doc_id", F.lit(0).cast("long").alias("start_word"), F.col("n_words").alias("end_word"), other.alias("other_doc_id"))
+    return spans.select(*columns).union(of_copies.select(*columns)).union(whole).groupBy("doc_id", "start_word", "end_word").agg(F.min("other_doc_id").alias("other_doc_id"))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from isospark.llm import bpe, repeats, tokens, topk, toxicity
+from isospark.llm.common import cut
 from isospark.llm.decontam import words_of
 
 from . import brute
@@ -217,6 +218,30 @@ def test_repeats(spark, docs):  # noqa: F811
     assert repeats.find_repeats(df.limit(0)).count() == 0
 
 
+def test_repeats_whose_parts_meet_in_different_texts(spark, monkeypatch):
+    """Around one core, texts share some words to the left with some and some to the right with others."""
+    rng = random.Random(5)
+    core, lefts, rights = [f"c{k}" for k in range(24)], [[f"l{n}x{k}" for k in range(45)] for n in range(3)], [[f"r{n}x{k}" for k in range(45)] for n in range(3)]
+    rows = []
+    for k in range(90):
+        a, b = rng.randrange(1, 45), rng.randrange(1, 45)
+        parts = [f"a{k}"] + rng.choice(lefts)[45 - a :] + core + rng.choice(rights)[:b] + [f"z{k}"]
+        rows.append((k, " ".join(parts * rng.choice((1, 1, 2)))))
+    asked = []
+    monkeypatch.setattr(repeats, "cut", lambda df, label: asked.append((label, out := cut(df, label))) or out)
+    got = {}
+    for r in repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == brute_repeats(rows)
+    assert dict(asked)["windows"].where("open").count() > 0
+
+
+def test_common_words():
+    words = [b"a", b"b", b"c"]
+    assert [repeats.common(words, x) for x in ([], [b"x"], [b"a", b"c", b"c"], words, words + [b"d"])] == [0, 0, 1, 3, 3]
+    assert [repeats.window_bits(left, right) for left, right in ((0, 49), (0, 50), (29, 21), (40, 50), (3, 48))] == [0, 1, 1 << 29, (1 << 30) - 1, 0b1100]
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage against its plain version, on what the one before kept."""
     corpus, labels = toxic_corpus(spark, 240)
