@@ -243,9 +243,10 @@ def repeated_windows(around: DataFrame) -> DataFrame:
     first, end = F.greatest(F.lit(0), LENGTH - F.col("right")), F.least(F.lit(BEFORE), F.col("left")) + 1
     possible = F.when(first < end, F.expr("shiftleft(1L, end)") - F.expr("shiftleft(1L, first)")).otherwise(F.lit(0))
     extended = cut(extended.withColumn("first", first).withColumn("end", end).withColumn("possible", possible).drop("first", "end", "left", "right"), "extended")
-    unsettled = extended.where("possible & ~bits <> 0").select("key").distinct()
-    asked = extended.where("possible <> 0").join(unsettled, "key", "left_semi").select("ctx", "possible", F.col("bits").alias("known"))
-    asked = asked.join(distinct, "ctx").select("ctx", "possible", "known", "before", "after", "a", "b", "low", "high")
+    # A window lies at the same place in all contexts that hold it, so those open in no context of an interval aren't looked at.
+    wanted = cut(extended.where("possible & ~bits <> 0").groupBy("key").agg(F.bit_or(F.expr("possible & ~bits")).alias("wanted")), "unsettled")
+    asked = extended.join(wanted, "key").where("possible & wanted <> 0").select("ctx", F.expr("possible & wanted").alias("possible"), F.col("bits").alias("known"))
+    asked = asked.join(distinct.join(wanted.select("key"), "key"), "ctx").select("ctx", "possible", "known", "before", "after", "a", "b", "low", "high")
     whole = cut(asked.mapInArrow(open_windows, _ddl(WINDOW)), "windows")
     several = whole.groupBy("window").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.min("low").alias("low"), F.max("high").alias("high")).where("a <> b")
     settled = whole.where("open").select("ctx", F.col("bit").alias("bits"), "window").join(several.select("window", "low", "high"), "window").select("ctx", "bits", "low", "high")
