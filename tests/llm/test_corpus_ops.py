@@ -218,7 +218,7 @@ def test_repeats(spark, docs):  # noqa: F811
     assert repeats.find_repeats(df.limit(0)).count() == 0
 
 
-def test_repeats_whose_parts_meet_in_different_texts(spark, monkeypatch):
+def test_repeats_whose_parts_meet_in_different_texts(spark, tmp_path, monkeypatch):
     """Around one core, texts share some words to the left with some and some to the right with others."""
     rng = random.Random(5)
     core, lefts, rights = [f"c{k}" for k in range(24)], [[f"l{n}x{k}" for k in range(45)] for n in range(3)], [[f"r{n}x{k}" for k in range(45)] for n in range(3)]
@@ -230,7 +230,8 @@ def test_repeats_whose_parts_meet_in_different_texts(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(repeats, "cut", lambda df, label: asked.append((label, out := cut(df, label))) or out)
     got = {}
-    for r in repeats.find_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in repeats.op4_repeats(spark, str(tmp_path)).collect():
         got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
     assert got == brute_repeats(rows)
     assert dict(asked)["windows"].where("open").count() > 0
