@@ -139,7 +139,9 @@ def square_color(spark, d):
 
 def _symbols(spark, d):
     values = event_values(spark, d).withColumn("state", S.hazard_state(F.col("storm"), F.col("hail")))
-    return values.withColumns({"kind": S.hazard_kind(F.col("state")), "radius": S.hazard_radius(F.col("storm"), F.col("hail"), F.col("state"), 11.5)}).where("radius > 0")
+    symbol = F.struct(S.hazard_kind(F.col("state")).alias("kind"), S.hazard_radius(F.col("storm"), F.col("hail"), F.col("state"), 11.5).alias("radius"))
+    # As in band_colors: rows of an array, since a filter would evaluate the field once more for each use of state and radius.
+    return values.select("event_id", "x", "y", F.inline(F.filter(F.array(symbol), lambda s: s.radius > 0)))
 
 
 def hazard_symbol(spark, d):
@@ -153,10 +155,12 @@ def symbol_vertices(spark, d):
 
 def band_colors(spark, d):
     """The colour of the highest rain band that each event reaches."""
-    rain = sorted((t, h) for c, _, t, h in P.BANDS if c == "rain")
-    reached = F.filter(F.array(*[F.struct(F.lit(t).alias("t"), F.lit(h).alias("color")) for t, h in rain]), lambda b: b.t <= F.col("rain"))
-    shown = event_values(spark, d).select("event_id", (F.size(reached) - 1).alias("band"), F.try_element_at(reached, F.size(reached)).alias("top")).where("band >= 0")
-    rgb = S.hex_to_rgb(F.col("top.color"))
+    rain = sorted((b, t, h) for c, b, t, h in P.BANDS if c == "rain")
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(t).alias("t"), F.lit(h).alias("color")) for b, t, h in rain])
+    reached = F.filter(bands, lambda b: b.t <= F.col("rain"))
+    # Rows come of the array: a filter on it would move below the field and evaluate all of it once more for each band.
+    shown = event_values(spark, d).select("event_id", F.inline(F.slice(reached, -1, 1)))
+    rgb = S.hex_to_rgb(F.col("color"))
     return shown.select("event_id", "band", *[rgb[k].alias(c) for k, c in enumerate("rgb")])
 
 

@@ -53,6 +53,21 @@ def test_scalar_edges(spark):
     assert one(spark, S.colour_string(S.rgb(P.HAIL_RGB)).alias("v")).v == "rgb(255 212 0)"
 
 
+def test_field_is_evaluated_once(spark, tmp_path):
+    from isospark import queries as Q
+
+    events = spark.sql("select id event_id, id % 300 user_id, 'a' event_type, timestamp_micros(id * 1237000000) ts, 1.0D value from range(500)").union(spark.sql("select 500L, 1L, 'a', cast(null as timestamp), 1.0D"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    out = Q.band_colors(spark, str(tmp_path))
+    parts = sum(c == "rain" for c, *_ in P.COMPONENTS)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("EXP(") == parts
+    assert Q.hazard_symbol(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("EXP(") == len(P.COMPONENTS) - parts
+    rain = {r.event_id: r.rain for r in Q.event_values(spark, str(tmp_path)).collect()}
+    bands = sorted((t, b, h) for c, b, t, h in P.BANDS if c == "rain")
+    want = {i: max((b, *bytes.fromhex(h[1:])) for t, b, h in bands if t <= v) for i, v in rain.items() if v is not None and v >= bands[0][0]}
+    assert {r.event_id: (r.band, r.r, r.g, r.b) for r in out.collect()} == want and 0 < len(want) < 500
+
+
 def test_raw_grid_anchor(spark):
     base = spark.createDataFrame([(k, t, 0.5) for k, t in enumerate((0.25, 0.5, 0.75))], "frame_id long, t double, travel_x double")
     bounded = lattice.grid_bounds(base)
