@@ -7,14 +7,22 @@ holds the phrases that end at the same places, its longest and shortest one, the
 number of those places, and its suffix link. The states are found level by
 level: end positions are grouped by their last word, then by the word before
 it, and so on, so a group's parent is its suffix link, and a group with as many
-places as its parent is in one state with it. Each state's phrases are
-enumerated with its count, and Spark adds the counts of all shards.
-
-Two earlier passes keep the third one small, and lose nothing: a phrase that is
-found LEAST times has only words, and only pairs of neighbouring words, that are
-found as often. Words are counted first, then pairs of frequent words, by hashes;
-both sets reach the tasks as bit sets of a fixed size (FILTER_BITS at most), which
-may let further words and pairs pass but hold none back.
+places as its parent is in one state with it.
+
+Words are counted first: a phrase that is found LEAST times has only words that are
+found as often. These are numbered over all shards (Lexicon), and other words end a
+piece as stops do. A shard then gives one row for each state with places of its own,
+those that none of the states linked to it has: its longest phrase and the number of
+these places. That is a row a word at most, whatever is frequent. A phrase's count is
+the sum over all states whose longest phrase ends with it, so Spark deals the rows by
+their last two words, sorts them by their words from the last one on, and each
+partition adds neighbours up.
+
+The lexicon is broadcast, so its size is bounded (LEXICON_WORDS, LEXICON_BYTES). With
+more frequent words than that, each state's phrases are enumerated with its count as
+texts, and Spark adds these. A pass before it then counts pairs of frequent words, by
+hashes; words and pairs reach the tasks as bit sets of a fixed size (FILTER_BITS at
+most), which may let further words and pairs pass but hold none back.
 
 A candidate inside a longer candidate that is found almost as often is dropped.
 Phrases with one more word are enough for that, as counts only fall with length:
@@ -43,7 +51,9 @@ from .common import as_bytes, cut, drop_cut, release, table
 #: Words of the longest phrase, occurrences of a candidate, hundredths of its count that subsume a phrase, rows a language.
 LONGEST, LEAST, SUBSUMED, TOP = 4, 30, 80, 2000
 #: Words of a shard, bytes of text that are split at once, bits of a filter at least and at most.
-SHARD_WORDS, CHUNK, FEWEST_BITS, FILTER_BITS = 1 << 21, 1 << 20, 1 << 16, 1 << 28
+SHARD_WORDS, CHUNK, FEWEST_BITS, FILTER_BITS = 1 << 20, 1 << 20, 1 << 16, 1 << 28
+#: Words of the lexicon and their bytes at most. Words that make up one in so many of all are heavy.
+LEXICON_WORDS, LEXICON_BYTES, HEAVY = 1 << 22, 1 << 26, 256
 #: Seed of the hash of a language, which is the seed of its words' hashes (as Spark's xxhash64 of both).
 SEED = 42
 
@@ -164,7 +174,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             for lang, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 for found in tokens(raw or b""):
                     counts.setdefault(lang, Counter()).update(found)
-                if sum(map(len, counts.values())) >= SHARD_WORDS // 8:
+                if sum(map(len, counts.values())) >= SHARD_WORDS // 4:
                     yield from emit()
         yield from emit()
 
@@ -271,22 +281,154 @@ def phrase_counts(texts: DataFrame, frequent, pairs) -> DataFrame:
     return parts.groupBy("lang", F.col("phrase").cast("string").alias("phrase"), "words").agg(F.sum("a").alias("a"))
 
 
+class Lexicon:
+    """Frequent words with their language, numbered from 1 by descending count."""
+
+    def __init__(self, found: pa.Table, total: int):
+        n = found["n"].to_numpy()
+        order = np.argsort(-n, kind="stable")
+        self.heavy = int((n * HEAVY >= total).sum())
+        named = found["lang"].combine_chunks().dictionary_encode()
+        self.langs, self.lang = named.dictionary.to_pylist(), named.indices.to_numpy()[order]
+        words = found["word"].combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+        self.at = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1)
+        self.bytes = words.buffers()[2].to_pybytes()
+        h = found["h"].to_numpy().view(np.uint64)[order]
+        self.order = np.argsort(h).astype(np.int32)
+        self.hashes = h[self.order]
+
+    def exact(self) -> bool:
+        """Whether all hashes differ, so that one comparison finds a word."""
+        return bool((self.hashes[1:] != self.hashes[:-1]).all())
+
+    def word(self, number: int) -> bytes:
+        return self.bytes[self.at[number - 1] : self.at[number]]
+
+    def numbers(self, lang: str, shard: Shard) -> np.ndarray:
+        """Numbers by the shard's own; 0 for words that aren't frequent."""
+        h = shard.hashes(lang)
+        out = np.zeros(len(h), np.int32)
+        if lang in self.langs:
+            code, place = self.langs.index(lang), np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            words = list(shard.words)
+            for k in np.flatnonzero(self.hashes[place] == h).tolist():
+                number = int(self.order[place[k]]) + 1
+                if k and self.lang[number - 1] == code and self.word(number) == words[k]:
+                    out[k] = number
+        return out
+
+
+def lexicon(common: DataFrame, total: DataFrame) -> Lexicon | None:
+    """The lexicon of the words common, or None where it would be too large to be broadcast."""
+    size = common.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)).alias("b")).first()
+    if size.n == 0 or size.n > LEXICON_WORDS or size.b > LEXICON_BYTES:
+        return None
+    made = Lexicon(common.select("lang", "word", "n", F.xxhash64("lang", "word").alias("h")).toArrow(), total.agg(F.sum("n")).first()[0])
+    return made if made.exact() else None
+
+
+def own_windows(texts: DataFrame, known) -> DataFrame:
+    """(last, before, n): longest phrases of states with places of their own, as numbers of the lexicon (a broadcast).
+
+    last has the last word's number in its upper half and that of the one before it in its lower half; before
+    has those of the two words before them, or 0.
+    """
+
+    def run(batches):
+        release()
+        for lang, shard in _shards(batches):
+            ids = known.value.numbers(lang, shard)[shard.ids()]
+            states = automaton(ids, np.ones(len(ids), bool))
+            link = states["link"]
+            below = np.bincount(link[link >= 0], states["count"][link >= 0], len(link))
+            own = states["count"] - below.astype(np.int64)
+            here = (own > 0) & (states["longest"] > 1)
+            end, longest, own = states["end"][here], states["longest"][here], own[here]
+            back = lambda j: np.where(j < longest, ids[end - j], 0).astype(np.int64)
+            columns = [back(0) << 32 | back(1), back(2) << 32 | back(3), own]
+            for part in range(0, len(end), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[part : part + 100_000]) for c in columns], ["last", "before", "n"])
+
+    return texts.mapInArrow(run, "last long, before long, n long")
+
+
+def suffix_counts(windows: DataFrame, heavy: int, least: int) -> DataFrame:
+    """(last, before, a): ends of windows of two to four words, with their counts, if these are least or more.
+
+    Windows that end with two heavy words are dealt by the word before them too, so no task has all of a
+    frequent pair; counts of such pairs are added up from several tasks.
+    """
+    low = (1 << 32) - 1
+    both = (F.shiftright("last", 32) <= heavy) & (F.col("last").bitwiseAND(F.lit(low)) <= heavy)
+    dealt = windows.repartition("last", F.when(both, F.shiftright("before", 32)).otherwise(F.lit(0))).sortWithinPartitions("last", "before")
+
+    def run(batches):
+        # The end of each length that the rows so far end with, and its sum.
+        held: dict[int, tuple[int, int, int]] = {}
+
+        def rows(k, last, before, n):
+            keep = n >= least
+            if k == 2:
+                keep |= (last >> 32 <= heavy) & (last & low <= heavy)
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (last, before, n)], ["last", "before", "a"])
+
+        for batch in batches:
+            last, before, n = (c.to_numpy() for c in batch.columns)
+            for k, has, end in ((2, None, before * 0), (3, before > 0, before & ~low), (4, before & low > 0, before)):
+                x, y, z = (last, end, n) if has is None else (last[has], end[has], n[has])
+                if not len(x):
+                    continue
+                if k in held:
+                    x, y, z = (np.concatenate([[v], c]) for v, c in zip(held[k], (x, y, z), strict=True))
+                first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
+                x, y, z = x[first], y[first], np.add.reduceat(z, first)
+                held[k] = (x[-1], y[-1], z[-1])
+                yield rows(k, x[:-1], y[:-1], z[:-1])
+        for k, values in held.items():
+            yield rows(k, *(np.array([v], np.int64) for v in values))
+
+    return dealt.mapInArrow(run, "last long, before long, a long").groupBy("last", "before").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+
+
+def spelled(counts: DataFrame, known) -> DataFrame:
+    """(lang, phrase, words, a) of (last, before, a), by the lexicon (a broadcast)."""
+
+    def run(batches):
+        names = known.value
+        for batch in batches:
+            last, before = (batch.column(k).to_numpy() for k in range(2))
+            found = [[int(w) for w in row if w] for row in np.stack([before & 0xFFFFFFFF, before >> 32, last & 0xFFFFFFFF, last >> 32], axis=1)]
+            lang = [names.langs[names.lang[row[-1] - 1]] for row in found]
+            text = [b" ".join(map(names.word, row)) for row in found]
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(text, pa.binary()), pa.array(list(map(len, found)), pa.int32()), batch.column(2)], ["lang", "phrase", "words", "a"])
+
+    return counts.mapInArrow(run, "lang string, phrase binary, words int, a long").withColumn("phrase", F.col("phrase").cast("string"))
+
+
+def frequent_phrases(texts: DataFrame, common: DataFrame, total: DataFrame, least: int) -> DataFrame:
+    """(lang, phrase, words, a): phrases of two words or more that are found `least` times, of the words common."""
+    spark = texts.sparkSession
+    if names := lexicon(common, total):
+        known = spark.sparkContext.broadcast(names)
+        return cut(spelled(suffix_counts(own_windows(texts, known), names.heavy, least), known), "phrases")
+    frequent = spark.sparkContext.broadcast(bit_set(common.select(F.xxhash64("lang", "word").alias("h"))))
+    pairs = cut(pair_counts(texts, frequent).where(F.col("n") >= least).select("h"), "word-pairs")
+    linked = spark.sparkContext.broadcast(bit_set(pairs))
+    drop_cut(pairs)
+    return cut(phrase_counts(texts, frequent, linked).where(F.col("a") >= least), "phrases")
+
+
 def _share(words: str, first: str, count: str) -> Column:
     return F.expr(f"array_join(slice({words}, {first}, {count}), ' ')")
 
 
 def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, subsumed: int = SUBSUMED, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first `top` candidates."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     words = cut(word_counts(texts), "words")
     total = words.groupBy("lang").agg(F.sum("n").alias("n"))
     common = words.where(F.col("n") >= least)
-    frequent = spark.sparkContext.broadcast(bit_set(common.select(F.xxhash64("lang", "word").alias("h"))))
-    pairs = cut(pair_counts(texts, frequent).where(F.col("n") >= least).select("h"), "word-pairs")
-    linked = spark.sparkContext.broadcast(bit_set(pairs))
-    drop_cut(pairs)
-    found = cut(phrase_counts(texts, frequent, linked).where(F.col("a") >= least), "phrases")
+    found = frequent_phrases(texts, common, total, least)
 
     # Parts of candidates are candidates or frequent words, so their counts are all here.
     parts = cut(found.select("lang", "phrase", F.col("a").alias("f")).union(common.select("lang", "word", "n")), "parts")

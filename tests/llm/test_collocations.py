@@ -53,6 +53,37 @@ def test_mine_equals_brute_force(spark, monkeypatch, shard):
     assert got == brute(rows, 6, 40)
 
 
+@pytest.mark.parametrize("changed", [{"LEXICON_WORDS": 1}, {"HEAVY": 1}, {"HEAVY": 9}])
+def test_other_ways_equal_brute_force(spark, monkeypatch, changed):
+    for name, value in {"SHARD_WORDS": 300, **changed}.items():
+        monkeypatch.setattr(C, name, value)
+    rows = texts(5, 150)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = sorted(tuple(r) for r in C.mine(spark.createDataFrame(rows, SCHEMA).repartition(3), least=6, top=40).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == brute(rows, 6, 40)
+
+
+def test_rows_grow_with_the_words_alone(spark):
+    """Words from a small vocabulary: with five times the text most pairs become frequent, which were rare."""
+    rng = random.Random(8)
+    made = [(i, " ".join(str(rng.randrange(60)) for _ in range(400)), "en", "") for i in range(100)]
+    counts = []
+    for n in (20, 100):
+        seen = spark.createDataFrame(made[:n], SCHEMA).select("lang", "text").coalesce(1)
+        words = C.word_counts(seen)
+        names = C.lexicon(words.where("n >= 6"), words.groupBy("lang").agg({"n": "sum"}).toDF("lang", "n"))
+        known = spark.sparkContext.broadcast(names)
+        counts.append(C.own_windows(seen, known).count())
+        assert counts[-1] <= 400 * n
+        found = {tuple(r) for r in C.frequent_phrases(seen, words.where("n >= 6"), words.select("lang", "n"), 6).collect()}
+        old = C.phrase_counts(seen, spark.sparkContext.broadcast(np.full(1 << 10, -1, np.int64).view(np.uint64)), spark.sparkContext.broadcast(np.full(1 << 10, -1, np.int64).view(np.uint64)))
+        assert found == {tuple(r) for r in old.where("a >= 6").collect()}
+    assert counts[1] <= 5.2 * counts[0]
+
+
 def test_empty_tables(spark):
     assert C.mine(spark.createDataFrame([], SCHEMA)).count() == 0
     assert C.mine(spark.createDataFrame([(1, None, None, None), (2, "one two", "en", "")], SCHEMA)).count() == 0
